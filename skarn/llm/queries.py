@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import balanced, groups, leakage, packing, pieces, visual
+from skarn.llm import balanced, crosssplit, groups, leakage, packing, pieces, visual
 from skarn.plans.shared import materialize, ship
 from skarn.sources.tables import table
 
@@ -50,6 +50,21 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.assign_splits(materialize(groups.record_groups(_records(spark, sf_dir)), "p3-groups"))
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return crosssplit.cross_split_overlaps(table(spark, sf_dir, "benchmark_seed"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _overlaps(spark, sf_dir)
+    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and source."""
+    return crosssplit.overlap_report(materialize(_overlaps(spark, sf_dir), "p5-pairs"), table(spark, sf_dir, "benchmark_seed"))
+
+
 LIMITS = {"all_doc_chunks": 4_000, "all_postman_chunks": 6_000}
 
 
@@ -97,7 +112,7 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_sample, p3_found, p3_splits, p6_found, p6_pieces, p7_containers, p7_report, p8_found)
+    for f in (p1_found, p1_report, p1_sample, p3_found, p3_splits, p5_found, p5_report, p6_found, p6_pieces, p7_containers, p7_report, p8_found)
     + (p8_overlaps, p9_found, p9_canonical)
 }
 
