@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import balanced, crosssplit, groups, leakage, packing, pieces, visual
+from skarn.llm import balanced, crosssplit, groups, leakage, packing, pieces, truncation, visual
 from skarn.plans.shared import materialize, ship
 from skarn.sources.tables import table
 
@@ -34,6 +34,30 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced.balanced_sample(rows, report)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    requests = table(spark, sf_dir, "all_postman_chunks").select(
+        F.lit("all_postman_chunks").alias("table_name"), F.col("row_no").alias("row_key"), F.col("source_file").alias("source"),
+        "path", none.alias("question"), "text",
+    )
+    answers = table(spark, sf_dir, "eval_results").select(
+        F.lit("eval_results").alias("table_name"), F.col("result_id").alias("row_key"), F.col("config").alias("source"),
+        none.alias("path"), "question", F.col("generated_answer").alias("text"),
+    )
+    return requests.unionByName(answers)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return truncation.cut_texts(_texts(spark, sf_dir)).where("cut").select("table_name", "row_key")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut rows per source file and per configuration."""
+    ship(spark)
+    return truncation.cut_share(truncation.cut_texts(_texts(spark, sf_dir)))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "sft_train").select(F.col("example_id").alias("record_id"), groups.message_keys().alias("keys"))
     tasks = table(spark, sf_dir, "benchmark_seed").select(F.col("id").alias("record_id"), groups.task_keys().alias("keys"))
@@ -112,7 +136,7 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_sample, p3_found, p3_splits, p5_found, p5_report, p6_found, p6_pieces, p7_containers, p7_report, p8_found)
+    for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p5_found, p5_report, p6_found, p6_pieces, p7_containers, p7_report, p8_found)
     + (p8_overlaps, p9_found, p9_canonical)
 }
 
