@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import balanced, crosssplit, groups, leakage, packing, pieces, truncation, visual
+from skarn.llm import balanced, crosssplit, defects, groups, leakage, packing, pieces, truncation, visual
 from skarn.plans.shared import materialize, ship
 from skarn.sources.tables import table
 
@@ -74,6 +74,11 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.assign_splits(materialize(groups.record_groups(_records(spark, sf_dir)), "p3-groups"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return defects.defective_pairs(table(spark, sf_dir, "eval_results"))
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return crosssplit.cross_split_overlaps(table(spark, sf_dir, "benchmark_seed"))
@@ -136,7 +141,7 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p5_found, p5_report, p6_found, p6_pieces, p7_containers, p7_report, p8_found)
+    for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p5_found, p5_report, p6_found, p6_pieces, p7_containers, p7_report, p8_found)
     + (p8_overlaps, p9_found, p9_canonical)
 }
 
