@@ -31,12 +31,12 @@ from skarn.plans.skew import salted_join
 
 PASSAGE = 3
 #: Share of a record's passages that a training text must hold to be compared.
-SHARED = 0.4
+SHARED = 0.6
 #: Coverage of question and answer each, and share of equal words, from which a pair is reported.
 COVERAGE = 0.3
 SAME_WORDS = 0.72
 SHARD_RECORDS = 2_500
-BLOCK_RECORDS = 15_000
+BLOCK_RECORDS = 4_000
 BREAK = "\n"
 
 
@@ -88,7 +88,10 @@ def _scan(min_coverage: float, min_same: float):
             for passage, who in owners.items():
                 automaton.add_word(f" {passage} ", who)
             automaton.make_automaton()
-            records = list(zip(evaluation["class"], evaluation["q"], evaluation["a"], strict=True))
+            records = [
+                (name, q, a, set(passages(q)) | set(passages(a)))
+                for name, q, a in zip(evaluation["class"], evaluation["q"], evaluation["a"], strict=True)
+            ]
             for name, q, a in zip(train["class"], train["q"], train["a"], strict=True):
                 found: set[int] = set()
                 for _, who in automaton.iter(f" {q} {BREAK} {a} "):
@@ -96,8 +99,11 @@ def _scan(min_coverage: float, min_same: float):
                 if not found:
                     continue
                 held_q, held_a = set(passages(q)), set(passages(a))
+                held = held_q | held_a
                 for n in found:
-                    other, eq, ea = records[n]
+                    other, eq, ea, theirs = records[n]
+                    if len(held & theirs) < SHARED * len(theirs):
+                        continue
                     cover_q, cover_a = coverage(eq, held_q), coverage(ea, held_a)
                     if cover_q < min_coverage or cover_a < min_coverage:
                         continue
