@@ -130,7 +130,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def record_groups(records: DataFrame) -> DataFrame:
     """(record_id, keys array) -> (record_id, group_id, members): group_id is the smallest record_id of the group."""
-    keyed = materialize(records.select("record_id", F.array_sort("keys").alias("keys")), "p3-records")
+    # rows of a repeated id share one more key, the id itself
+    repeated = records.groupBy("record_id").agg(F.count("*").alias("n")).where("n > 1").select("record_id", F.lit(True).alias("again"))
+    marked = salted_join(records.select("record_id", "keys"), repeated, "record_id", "left")
+    own = F.when(F.col("again"), F.array(F.concat(F.lit("r:"), "record_id"))).otherwise(F.array().cast("array<string>"))
+    keyed = materialize(marked.select("record_id", F.array_sort(F.array_distinct(F.concat("keys", own))).alias("keys")), "p3-records")
     chained = F.transform(
         F.sequence(F.lit(1), F.size("keys") - 1), lambda i: F.struct(F.col("keys")[i - 1].alias("a"), F.col("keys")[i].alias("b"))
     )
@@ -140,16 +144,7 @@ def record_groups(records: DataFrame) -> DataFrame:
     alone = first.where("key IS NULL").select("record_id", F.lit(None).cast("string").alias("component"))
     joined = salted_join(first.where("key IS NOT NULL"), component.withColumnRenamed("vertex", "key"), "key", "left", "record_id")
     placed = joined.select("record_id", F.coalesce("component", "key").alias("component"))
-    # a repeated id may stand with different keys: its components are one group as well
     placed = placed.unionByName(alone).distinct()
-    several = placed.where("component IS NOT NULL").groupBy("record_id").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    twice = several.where("a <> b").select("a", "b")
-    if not twice.isEmpty():
-        merged = components(placed.join(twice.select("a").distinct(), placed["component"] == F.col("a"), "left_semi").select(
-            F.col("record_id").alias("a"), F.col("component").alias("b")).unionByName(twice))
-        placed = placed.join(merged.select(F.col("vertex").alias("component"), F.col("component").alias("joint")), "component", "left").select(
-            "record_id", F.coalesce("joint", "component").alias("component")
-        ).distinct()
     placed = materialize(placed, "p3-placed")
     groups = placed.where("component IS NOT NULL").groupBy("component").agg(
         F.min("record_id").alias("group_id"), F.count("*").alias("members")
