@@ -26,9 +26,11 @@ _ONE_WORD = re.compile(r"^\S+$")
 
 _PATHS = re.compile(r"/[A-Za-z][^\s`\"',;)]*(?=([\s`\"',;).]))")
 _PARAM_VALUES = re.compile(r"=([A-Za-z0-9_.]+)(?=[,\n])")
-_NUMBERS = re.compile(r"(\w+) \d+\.(?=([\d\s]))")
+_NUMBERS = re.compile(r" \d+\.(?=([\d\s]))")
 _UNIT = {"`": re.compile(r"(\S+) `[^`\n]*`$"), ")": re.compile(r"(\(\w+)[^()\n]*\)$"), '"': re.compile(r'(\S+) "[^"\n]*"$')}
-_UNITS = re.compile(r"(\S+) (?:(`)[^`\n]*`|(\")[^\"\n]*\")(?=\W)|(\(\w+)[^()\n]*\)(?=\W)")
+_UNITS = re.compile(r" (?:`[^`\n]*`|\"[^\"\n]*\")(?=\W)|(\(\w+)[^()\n]*\)(?=\W)")
+#: Marks and closing numbers stand within this many characters of the end.
+_TAIL = 120
 #: What stands for no answer at all.
 STAND_IN = re.compile(
     r"[\[(<{\"'*]*(?:n\s?/\s?a|none|null|nil|nan|empty|blank|no (?:response|answer|output|content|reply)(?: (?:given|provided|available|generated))?|not available|tbd|undefined)?[\])>}\"'*.]*[-–—_.…\s]*",
@@ -63,7 +65,7 @@ def ending(text: str | None, path: str | None = None) -> tuple[int, str]:
     if stands_for_nothing(text):
         return COMPLETE, ""
     t = plain(text).rstrip()
-    if MARK.search(t):
+    if MARK.search(t[-_TAIL:]):
         return CUT, "mark"
     if _ONE_WORD.match(t) and "/" not in t:
         return COMPLETE, ""
@@ -91,7 +93,7 @@ def ending(text: str | None, path: str | None = None) -> tuple[int, str]:
     if not first_line and _OPENING.match(last):
         return CUT, "opening"
     if _TERMINAL.search(t):
-        if number := _NUMBER_END.search(t):
+        if number := _NUMBER_END.search(t[-_TAIL:]):
             return DOUBT, "n:" + number.group(1)
         return COMPLETE, ""
     if last.startswith(("{", "}")) or t.endswith("```") or t.endswith("}\n```"):
@@ -116,12 +118,22 @@ def closing_counts(text: str, counts: Counter) -> None:
     for value in _PARAM_VALUES.findall(text):
         counts["v:" + value, 0] += 1
         counts["v:" + value, 1] += 1
-    for before, after in _NUMBERS.findall(text):
-        counts["n:" + before, 0] += 1
-        if not after.isdigit():
-            counts["n:" + before, 1] += 1
-    for before, tick, quote, paren in _UNITS.findall(text):
-        counts[f"u:{_shape(paren)} )" if paren else f"u:{_shape(before)} {tick or quote}", 0] += 1
+    for match in _NUMBERS.finditer(text):
+        before = _word_before(text, match.start())
+        if before.isalnum():
+            counts["n:" + before, 0] += 1
+            if not match.group(1).isdigit():
+                counts["n:" + before, 1] += 1
+    for match in _UNITS.finditer(text):
+        if paren := match.group(1):
+            counts[f"u:{_shape(paren)} )", 0] += 1
+        elif before := _word_before(text, match.start()):
+            counts[f"u:{_shape(before)} {text[match.start() + 1]}", 0] += 1
+
+
+def _word_before(text: str, at: int) -> str:
+    """The word that ends at ``at``."""
+    return text[max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1 : at]
 
 
 def closes(text: str, key: str, counts: Counter) -> None:
