@@ -147,18 +147,60 @@ QUERIES: dict[str, Query] = {
 
 _CANONICAL = "regexp_replace(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', '_', 'g')"
 
-SQL: dict[str, str] = {
-    "p1_found": f"""
+_NEED = "greatest(min_rows, (target_per_10000::BIGINT * draw + 9999) // 10000)::BIGINT"
+_LABELS = f"""
         WITH rows AS (
             SELECT {_CANONICAL.format("module")} AS m, {_CANONICAL.format("category")} AS c, {_CANONICAL.format("difficulty")} AS d
             FROM benchmark_seed
         ), counted AS (SELECT m, c, d, count(*) AS n FROM rows GROUP BY ALL),
-        size AS (SELECT count(*) // 5 AS draw FROM benchmark_seed)
-        SELECT module, category, difficulty
-        FROM sample_targets CROSS JOIN size LEFT JOIN counted
-          ON m = {_CANONICAL.format("module")} AND c = {_CANONICAL.format("category")} AND d = {_CANONICAL.format("difficulty")}
-        WHERE coalesce(n, 0) < greatest(min_rows, (target_per_10000::BIGINT * draw + 9999) // 10000)
+        size AS (SELECT count(*) // 5 AS draw FROM benchmark_seed),
+        t AS (SELECT module, category, difficulty, target_per_10000, min_rows, {_NEED} AS needed, coalesce(n, 0) AS available
+              FROM sample_targets CROSS JOIN size LEFT JOIN counted
+              ON m = {_CANONICAL.format("module")} AND c = {_CANONICAL.format("category")} AND d = {_CANONICAL.format("difficulty")})"""
+_WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _counted(name: str, column: str) -> str:
+    """CTEs: words of a column with their counts, and the number of words, by record."""
+    return f"""{name} AS (SELECT id, split, w, count(*) AS c FROM (SELECT id, split, unnest({_WORDS.format(visual.canonical_sql(column))}) AS w FROM b) GROUP BY ALL),
+        {name}n AS (SELECT id, split, sum(c) AS n FROM {name} GROUP BY ALL)"""
+
+
+def _alike(name: str) -> str:
+    return f"""(SELECT x.id AS t, y.id AS e FROM {name} x JOIN {name} y ON x.w = y.w AND x.split = 'train' AND y.split IN ('dev', 'test')
+        JOIN {name}n xn ON xn.id = x.id JOIN {name}n yn ON yn.id = y.id GROUP BY x.id, y.id, xn.n, yn.n HAVING sum(least(x.c, y.c)) >= {crosssplit.SAME_WORDS} * greatest(xn.n, yn.n))"""
+
+
+_SAID = """list_transform(list_filter(messages, lambda x: coalesce(x.role, '') <> 'system' AND x.content IS NOT NULL), lambda x:
+            CASE WHEN starts_with(x.content, 'Context:') AND contains(x.content, chr(10) || chr(10) || 'Question:')
+                 THEN regexp_replace(x.content, '(?s)\\AContext:.*?\\n\\nQuestion:', ' ') ELSE x.content END)"""
+_TASK_SQL = "'b:' || lower(regexp_extract({0}, '{1}', 1)) || '-' || lower(regexp_extract({0}, '{1}', 2)) || '-' || regexp_extract({0}, '{1}', 3)::BIGINT"
+
+SQL: dict[str, str] = {
+    "p1_report": _LABELS
+    + " SELECT *, least(needed, available) AS drawn, least(needed, available) - needed AS residual, available >= needed AS met FROM t",
+    "p3_found": f"""
+        WITH RECURSIVE m AS (SELECT example_id AS record_id, array_to_string({_SAID}, chr(10)) AS t FROM sft_train),
+        k AS (
+            SELECT record_id, 'p:' || regexp_replace(regexp_replace(lower(p), '[^a-z0-9]', '', 'g'), '([a-z])0+([0-9])', '\\1\\2') AS key FROM (
+                SELECT record_id, unnest(list_concat(regexp_extract_all(t, '{groups.ASKED}', 1), regexp_extract_all(t, '{groups.WROTE}', 1))) AS p FROM m)
+            UNION SELECT record_id, 't:' || x::BIGINT FROM (SELECT record_id, unnest(regexp_extract_all(t, '{groups.TICKET}', 1)) AS x FROM m)
+            UNION SELECT record_id, {_TASK_SQL.format("x", groups.TASK)} FROM (SELECT record_id, unnest(regexp_extract_all(t, '{groups.TASK}')) AS x FROM m)
+            UNION SELECT id, {_TASK_SQL.format("id", groups.TASK)} FROM benchmark_seed),
+        e AS (SELECT DISTINCT a.record_id AS a, b.record_id AS b FROM k a JOIN k b USING (key)),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT a AS record_id, min(b) AS group_id FROM r GROUP BY a HAVING count(DISTINCT b) > 1
+    """,
+    "p5_found": f"""
+        WITH b AS (SELECT id, split, question, expected_answer FROM benchmark_seed), {_counted("q", "question")}, {_counted("a", "expected_answer")}
+        SELECT least(t, e) AS id_a, greatest(t, e) AS id_b FROM {_alike("q")} JOIN {_alike("a")} USING (t, e)
+    """,
+    "p9_canonical": f"SELECT doc_id, c AS canonical_text, c <> text AS changed FROM (SELECT doc_id, text, {visual.canonical_sql('text')} AS c FROM documents)",
+    "p9_found": f"""
+        WITH v AS (SELECT doc_id, text, {visual.canonical_sql("text")} AS c FROM documents)
+        SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.c = b.c AND a.doc_id < b.doc_id AND a.text <> b.text
     """,
+    "p1_found": _LABELS + " SELECT module, category, difficulty FROM t WHERE available < needed",
     "p6_found": """
         WITH texts AS (
             SELECT 'all_doc_chunks' AS table_name, row_no, text, 4000 AS size FROM all_doc_chunks
