@@ -15,9 +15,13 @@ OPERATION_VERB = "^(get|post|put|patch|delete|create|update|fetch|list)[A-Z]"
 CAPITALISED_PHRASE = r"\b[A-Z][A-Za-z\-]+(?: [A-Z][A-Za-z\-]+){1,4}\b"
 
 
+#: White space of any script, as Python's str.strip sees it.
+SPACE = r"[\s\p{Z}\x85\x1c-\x1f\x0b]"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def strip_html(c: Column) -> Column:

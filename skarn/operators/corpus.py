@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skarn.functions.text import default_text
+from skarn.plans.shared import materialize
+from skarn.plans.skew import salted_join
 
 METADATA = ("module", "doc_type", "source_file", "section", "method", "path")
 
@@ -40,14 +42,16 @@ def dedup_ids(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     The global position is the row's number in its range plus the rows of the ranges before, so no task holds all rows.
     """
     numbered = global_position(df, order)
-    repeat = F.row_number().over(Window.partitionBy(id_col).orderBy("position")) > 1
-    return numbered.withColumn("unique_id", F.when(repeat, F.concat_ws("_", F.col(id_col), F.col("position").cast("string"))).otherwise(F.col(id_col)))
+    first = numbered.groupBy(id_col).agg(F.min("position").alias("_first"))
+    joined = salted_join(numbered, first, id_col, "left", "position")
+    repeat = F.col("position") > F.col("_first")
+    return joined.withColumn("unique_id", F.when(repeat, F.concat_ws("_", F.col(id_col), F.col("position").cast("string"))).otherwise(F.col(id_col))).drop("_first")
 
 
 def global_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """A running number from 0 in the order of ``order`` (together unique), without a single-partition sort."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    local = ranged.withColumn("_mono", F.monotonically_increasing_id())
+    local = materialize(ranged.withColumn("_mono", F.monotonically_increasing_id()), "position")  # the numbers must not be drawn twice
     part, at = F.shiftright("_mono", 33), F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = local.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,42 +21,55 @@ def merge_new(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -
     return existing.unionByName(first)
 
 
-def _by_hash(df: DataFrame, strata: list[str], key: str, seed: int = SEED) -> DataFrame:
-    """Place of each row in its stratum, by digest, and the stratum's size."""
-    order = Window.partitionBy(*strata).orderBy(hash_order(seed, F.col(key).cast("string")), F.col(key))
-    return df.withColumns({"_place": F.row_number().over(order), "_size": F.count("*").over(Window.partitionBy(*strata))})
+#: Ranges of the digest that are counted before rows are ranked.
+PREFIX = 4
+
+
+def mark_lowest(df: DataFrame, strata: list[str], key: str, quota: Callable[[Column], Column], seed: int = SEED, name: str = "chosen") -> DataFrame:
+    """Mark the ``quota(n)`` rows of each stratum with the smallest digests of ``key`` (ties by key); n is its size.
+
+    Rows are counted by stratum and digest prefix; only the one range in which the quota ends is ranked, so a stratum
+    that holds a third of all rows is still spread over all ranges.
+    """
+    digest = hash_order(seed, F.col(key).cast("string"))
+    rows = df.withColumns({"_h": digest, "_p": F.substring(digest, 1, PREFIX), "_s": F.to_json(F.struct(*strata)) if strata else F.lit("")})
+    counts = rows.groupBy("_s", "_p").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_s").orderBy("_p"))
+    sizes = counts.withColumns({"_before": upto - F.col("_c"), "_n": F.sum("_c").over(Window.partitionBy("_s"))})
+    left = sizes.select("_s", "_p", (quota(F.col("_n")).cast("long") - F.col("_before")).alias("_left"))
+    ranked = rows.join(left, ["_s", "_p"]).withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_h", key)))
+    return ranked.withColumn(name, F.col("_r") <= F.col("_left")).drop("_h", "_p", "_s", "_left", "_r")
 
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, share: float = 0.3, seed: int = SEED) -> DataFrame:
     """Test gets max(1, round-half-even(share * n)) rows of each stratum."""
-    placed = _by_hash(df, strata, key, seed)
-    test = F.col("_place") <= F.greatest(F.lit(1), F.bround(F.col("_size") * F.lit(share), 0).cast("int"))
-    return placed.withColumn("subset", F.when(test, "test").otherwise("dev")).drop("_place", "_size")
+    test = mark_lowest(df, strata, key, lambda n: F.greatest(F.lit(1), F.bround(n * F.lit(share), 0)), seed)
+    return test.withColumn("subset", F.when(F.col("chosen"), "test").otherwise("dev")).drop("chosen")
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, up: bool = False, seed: int = SEED) -> DataFrame:
-    """n divided by the number of strata from each stratum, rounded down (at least 1) or up, n in all at most."""
+    """n divided by the number of strata from each stratum, rounded down (at least 1) or up, n in all at most.
+
+    Each task keeps its own best of a stratum before the shuffle (a limit by rank), so a hot stratum costs little.
+    """
     groups = df.select(*strata).distinct().count()
     per = -(-n // max(1, groups)) if up else max(1, n // max(1, groups))
-    chosen = _by_hash(df, strata, key, seed).where(F.col("_place") <= per).drop("_place", "_size")
-    return chosen.orderBy(*strata, hash_order(seed, F.col(key).cast("string")), key).limit(n) if up else chosen
+    digest = hash_order(seed, F.col(key).cast("string"))
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(digest, F.col(key)))
+    chosen = df.withColumn("_place", place).where(F.col("_place") <= per).drop("_place")
+    return chosen.orderBy(*strata, digest, key).limit(n) if up else chosen
 
 
 def train_val_split(df: DataFrame, key: str, share: float = 0.05, seed: int = SEED) -> DataFrame:
     """Validation gets the max(1, floor(share * n)) rows with the smallest digests."""
-    n = df.count()
-    n_val = max(1, int(share * n))
-    digest = hash_order(seed, F.col(key).cast("string"))
-    last = df.select(digest.alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(n_val)
-    edge = last.agg(F.max(F.struct("h", "k")).alias("e"))
-    inside = F.struct(digest.alias("h"), F.col(key).alias("k")) <= F.col("e")
-    return df.crossJoin(F.broadcast(edge)).withColumn("subset", F.when(inside, "val").otherwise("train")).drop("e")  # edge: one row
+    val = mark_lowest(df, [], key, lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(share))), seed)
+    return val.withColumn("subset", F.when(F.col("chosen"), "val").otherwise("train")).drop("chosen")
 
 
 def round_robin(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
     """One row of each group in turn, until n."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("turn", turn).orderBy("turn", group, *order).limit(n)
+    return df.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", group, *order).limit(n)
 
 
 def upweight(df: DataFrame, column: str, weights: dict[str, int]) -> DataFrame:

@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def _strip(c: str) -> str:
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({c}, '\\A{text.SPACE}+|{text.SPACE}+\\z', '', 'g')"
 
 
 def _norm_path(c: str) -> str:
@@ -114,13 +114,14 @@ def strip_html(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.strip_html(F.col("text"))).alias("digest"))
 
 
-_CLEAN = _strip(
-    "array_to_string(list_filter(string_split(regexp_replace(regexp_replace({0}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), chr(10)), "
-    f"lambda l: NOT (length({_strip('l')}) BETWEEN 1 AND 3 AND NOT regexp_matches({_strip('l')}, '^\\p{{{{L}}}}'))), chr(10))"
-)
+def _clean(c: str) -> str:
+    spaced = f"regexp_replace(regexp_replace({c}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g')"
+    bare = _strip("l")
+    kept = f"lambda l: NOT (length({bare}) BETWEEN 1 AND 3 AND NOT regexp_matches({bare}, '^\\p{{L}}'))"
+    return _strip(f"array_to_string(list_filter(string_split({spaced}, chr(10)), {kept}), chr(10))")
 
 
-@query(f"SELECT row_no, length({_CLEAN.format('text')}) AS chars, md5({_CLEAN.format('text')}) AS digest FROM all_doc_chunks")
+@query(f"SELECT row_no, length({_clean('text')}) AS chars, md5({_clean('text')}) AS digest FROM all_doc_chunks")
 def clean_text(spark, d):
     cleaned = text.clean_text(F.col("text"))
     return table(spark, d, "all_doc_chunks").select("row_no", F.length(cleaned).cast("long").alias("chars"), F.md5(cleaned).alias("digest"))
@@ -134,7 +135,7 @@ def truncate_text(spark, d):
     return table(spark, d, "all_postman_chunks").select("row_no", F.md5(text.truncate(F.col("text"))).alias("digest"))
 
 
-@query(f"SELECT row_no, section FROM all_doc_chunks WHERE length({_CLEAN.format('text')}) >= 100")
+@query(f"SELECT row_no, section FROM all_doc_chunks WHERE length({_clean('text')}) >= 100")
 def chunk_min_len(spark, d):
     return table(spark, d, "all_doc_chunks").where(F.length(text.clean_text(F.col("text"))) >= ingest.LEAST).select("row_no", "section")
 
