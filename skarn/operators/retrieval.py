@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from skarn.functions.text import CAMEL_PIECE, TOKEN, subqueries
 from skarn.functions.text import tokens as token_column
 from skarn.plans.plugins import EMBEDDERS, RERANKERS, plugin
+from skarn.plans.shared import materialize
+from skarn.plans.spread import spread
 
 QUERY_BLOCK = 2_000
 RRF = 60
@@ -67,7 +69,7 @@ def _ranked(partial: DataFrame | None, k: int, corpus: DataFrame) -> DataFrame:
 
 
 def _search(queries: DataFrame, columns: list[str], corpus: DataFrame, scan: Callable[[pd.DataFrame], Callable], k: int) -> DataFrame:
-    partial = None
+    partial, corpus = None, spread(corpus)
     for block in _blocks(queries, columns):
         found = corpus.mapInPandas(scan(block), "query_id long, doc_id long, score double")
         partial = found if partial is None else partial.unionByName(found)
@@ -120,14 +122,22 @@ def text_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, embedder: str =
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """BM25 with k1 1.5, b 0.75; negative idf becomes 0.25 of the mean idf over all terms. Documents that share no term
     with the query score 0 and follow by id. Corpus statistics cover every document."""
-    counted = corpus.select("doc_id", token_column(F.col("text")).alias("t"))
-    size = counted.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
-    df = counted.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", (F.log(F.lit(float(size.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    # one pass: every term with its documents, and one marker a document that carries the lengths
+    marker = "\x00"
+    counted = spread(corpus.select("text")).select(token_column(F.col("text")).alias("t"))
+    terms = F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(marker)))).alias("term")
+    stats = materialize(
+        counted.select(F.size("t").alias("n"), terms).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == marker, F.col("n"))).alias("length")),
+        "bm25-terms",
+    )
+    size = stats.where(F.col("term") == marker).first()
+    rows = float(size.df) if size else 0.0
+    mean = (size.length / size.df if size else 1.0) or 1.0
+    df = stats.where(F.col("term") != marker)
+    idf = df.select("term", (F.log(F.lit(rows) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     floor = EPSILON * (idf.agg(F.avg("idf")).first()[0] or 0.0)
     asked = queries.select(F.explode(F.array_distinct(token_column(F.col("question")))).alias("term")).distinct()
     weights = {r.term: r.idf if r.idf >= 0 else floor for r in idf.join(asked, "term").collect()}  # terms of the query set
-    mean = float(size["mean"] or 1.0) or 1.0
 
     def scan(block: pd.DataFrame):
         counts = [Counter(t for t in tokenise(q) if t in weights) for q in block["question"]]
