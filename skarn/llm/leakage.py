@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.chars import plain
+from skarn.plans.spread import spread
 
 #: Positions read by each mask; the ones between may differ. 20 words with 2 changed hold a run of six (first mask); with
 #: 3 changed they hold runs of four and two on both sides of a changed word (second mask); the third bridges two changes.
@@ -207,7 +208,7 @@ def leaked_items(
 ) -> DataFrame:
     """Pairs of a document and a held-out item it contains: (doc_id, item_id, matched_words, item_words, changed_words)."""
     spark = docs.sparkSession
-    corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
+    corpus = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")))
     queries = (
         items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
         .where("text IS NOT NULL AND item_id IS NOT NULL")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.plans.shared import materialize
+from skarn.plans.spread import spread
 
 CAPACITY = 2_048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -63,7 +64,7 @@ def _count(path: str):
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_count(tokenizer), "doc_id long, n_tokens int")
+    return spread(rows).mapInArrow(_count(tokenizer), "doc_id long, n_tokens int")
 
 
 class _Free:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.chars import REPLACEMENTS
+from skarn.plans.spread import spread
 
 #: Rows of one class that a pair task holds on each side.
 BLOCK_ROWS = 2_000
@@ -68,7 +69,7 @@ def visual_digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, look, raw): 128-bit digests of the visible form and of the string itself."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     sql = f"SELECT id, unhex(md5({canonical_sql('text')})) AS look, unhex(md5(text)) AS raw FROM batch"
-    return rows.mapInArrow(_run(sql), "id long, look binary, raw binary")
+    return spread(rows).mapInArrow(_run(sql), "id long, look binary, raw binary")
 
 
 def visual_classes(digests: DataFrame) -> DataFrame:
