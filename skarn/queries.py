@@ -41,9 +41,13 @@ _VERSIONED = r"/[\w{}\-.]+/v\d+/[\w{}\-./]*"
 
 
 def _paths_sql(c: str) -> str:
+    return f"list_distinct({_every_path_sql(c)})"
+
+
+def _every_path_sql(c: str) -> str:
     found = f"list_concat(regexp_extract_all(coalesce({c}, ''), '{_METHOD_PATH}', 1), regexp_extract_all(coalesce({c}, ''), '{_VERSIONED}'))"
     normal = f"list_transform({found}, lambda p: {_norm_path('p')})"
-    return f"list_distinct(list_filter({normal}, lambda p: length(p) - length(replace(p, '/', '')) >= 2 AND regexp_matches(p, '[a-z]')))"
+    return f"list_filter({normal}, lambda p: length(p) - length(replace(p, '/', '')) >= 2 AND regexp_matches(p, '[a-z]'))"
 
 
 _TOKENS = (
@@ -791,3 +795,138 @@ def grounding_check(spark, d):
 def trim_to_budget(spark, d):
     trimmed = training.trim(training.ground(_retrieved(spark, d), _lookup(spark, d)), budget=2_000)
     return trimmed.select("query_id", F.size("chunks").alias("n"), "grounded", "grounded_after_trim")
+
+
+# -- rows, joins and set operations of the evaluation flow ----------------------------------------------------------
+
+
+@query("SELECT result_id, task_id, config, use_rag, coalesce(num_chunks_retrieved, 0) AS n_chunks, round(latency_seconds, 2) AS latency FROM eval_results")
+def eval_rows(spark, d):
+    return table(spark, d, "eval_results").select(
+        "result_id", "task_id", "config", "use_rag", F.coalesce("num_chunks_retrieved", F.lit(0)).alias("n_chunks"), F.round("latency_seconds", 2).alias("latency")
+    )
+
+
+@query("SELECT id, coalesce(required_operations, []) AS required_operations, coalesce(evaluation_criteria, '') AS criteria, coalesce(source, 'unknown') AS source FROM benchmark_seed")
+def default_fill(spark, d):
+    return table(spark, d, "benchmark_seed").select(
+        "id", F.coalesce("required_operations", F.array().cast("array<string>")).alias("required_operations"),
+        F.coalesce("evaluation_criteria", F.lit("")).alias("criteria"), F.coalesce("source", F.lit("unknown")).alias("source"),
+    )
+
+
+@query(
+    r"""SELECT row_no, contains(text, 'body:') OR contains(text, 'Body:') AS has_body, len(regexp_extract_all(text, '(?m)^Step \d+:')) AS steps
+        FROM all_postman_chunks WHERE text IS NOT NULL"""
+)
+def request_shape(spark, d):
+    steps = F.size(F.regexp_extract_all("text", F.lit(r"(?m)^Step \d+:"), 0)).cast("long")
+    has_body = F.contains("text", F.lit("body:")) | F.contains("text", F.lit("Body:"))
+    return table(spark, d, "all_postman_chunks").where("text IS NOT NULL").select("row_no", has_body.alias("has_body"), steps.alias("steps"))
+
+
+@query(r"SELECT row_no, string_split(regexp_extract(text, '(?m)^Query parameters: (.*)$', 1), ', ')[1:5] AS parameters FROM all_postman_chunks WHERE contains(text, 'Query parameters: ')")
+def query_parameters(spark, d):
+    listed = F.regexp_extract("text", r"(?m)^Query parameters: (.*)$", 1)
+    rows = table(spark, d, "all_postman_chunks").where(F.contains("text", F.lit("Query parameters: ")))
+    return rows.select("row_no", F.slice(F.split(listed, ", "), 1, 5).alias("parameters"))
+
+
+@query(
+    f"""SELECT id, array_to_string(list_transform(list_filter(l, lambda p, i: list_position(l, p) = i), lambda p, i: i || '. ' || p), chr(10)) AS steps
+        FROM (SELECT id, {_every_path_sql("expected_answer")} AS l FROM benchmark_seed) WHERE len(l) > 0"""
+)
+def numbered_steps(spark, d):
+    found = paths.extract(F.col("expected_answer"))
+    numbered = F.array_join(F.transform(found, lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), "\n")
+    return table(spark, d, "benchmark_seed").where(F.size(found) > 0).select("id", numbered.alias("steps"))
+
+
+@query(
+    """SELECT row_no, '`' || method || ' ' || path || '`.' || CASE WHEN s = '' THEN '' WHEN ends_with(s, '.') THEN ' ' || s ELSE ' ' || s || '.' END AS answer FROM (
+       SELECT row_no, method, path, regexp_replace(coalesce(section, ''), '^\\s+|\\s+$', '', 'g') AS s FROM all_postman_chunks WHERE method IS NOT NULL AND path IS NOT NULL)"""
+)
+def call_answers(spark, d):
+    rows = table(spark, d, "all_postman_chunks").where("method IS NOT NULL AND path IS NOT NULL")
+    none = F.array().cast("array<string>")
+    return rows.select("row_no", training.call_answer(F.col("method"), F.col("path"), F.lit(None), F.col("section"), none).alias("answer"))
+
+
+@query("SELECT config, CASE WHEN NOT use_rag THEN 'plain' WHEN prompt_style = 'strict' THEN 'strict' ELSE 'grounded' END AS prompt FROM run_configs")
+def system_prompts(spark, d):
+    return table(spark, d, "run_configs").select("config", training.system_prompt(F.col("use_rag"), F.col("prompt_style"), "plain", "grounded", "strict").alias("prompt"))
+
+
+@query(
+    """SELECT result_id, md5('Score 1 to 5. QUESTION:' || chr(10) || coalesce(question, '') || chr(10) || chr(10) || 'EXPECTED ANSWER:' || chr(10) || coalesce(expected_answer, '')
+       || chr(10) || chr(10) || 'GENERATED ANSWER:' || chr(10) || coalesce(generated_answer, '') || chr(10) || chr(10) || '{"score": 1}') AS digest FROM eval_results"""
+)
+def judge_prompts(spark, d):
+    template = 'Score 1 to 5. QUESTION:\n{question}\n\nEXPECTED ANSWER:\n{expected_answer}\n\nGENERATED ANSWER:\n{generated_answer}\n\n{"score": 1}'
+    prompt = training.judge_prompt(template, ["question", "expected_answer", "generated_answer"])
+    return table(spark, d, "eval_results").select("result_id", F.md5(prompt).alias("digest"))
+
+
+@query("SELECT result_id, task_id, config FROM eval_results e WHERE NOT EXISTS (SELECT 1 FROM eval_results s WHERE s.score > 0 AND s.task_id = e.task_id AND s.config = e.config)")
+def resume_unscored(spark, d):
+    from skarn.streaming.incremental import unjudged
+
+    rows = table(spark, d, "eval_results")
+    return unjudged(rows.select("result_id", "task_id", "config"), rows.select("task_id", "config", "score")).select("result_id", "task_id", "config")
+
+
+@query("SELECT b.category, e.config, count(*) AS n FROM eval_results e JOIN benchmark_seed b ON e.task_id = b.id GROUP BY ALL")
+def results_with_tasks(spark, d):
+    tasks = table(spark, d, "benchmark_seed").select(F.col("id").alias("task_id"), F.col("category").alias("task_category"))
+    joined = table(spark, d, "eval_results").select("task_id", "config").join(tasks, "task_id")
+    return joined.groupBy(F.col("task_category").alias("category"), "config").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c.config, b.id AS task_id FROM benchmark_seed b CROSS JOIN run_configs c WHERE b.split = 'test'")
+def planned_runs(spark, d):
+    configs = F.broadcast(table(spark, d, "run_configs").select("config"))  # a fixed table of 12 rows
+    return table(spark, d, "benchmark_seed").where("split = 'test'").select(F.col("id").alias("task_id")).crossJoin(configs).select("config", "task_id")
+
+
+@query(
+    "SELECT task_id FROM eval_results WHERE config = 'mini3-rag' AND task_id IS NOT NULL INTERSECT SELECT task_id FROM eval_results WHERE config = 'mid7-rag' AND task_id IS NOT NULL"
+)
+def common_tasks(spark, d):
+    rows = table(spark, d, "eval_results").where("task_id IS NOT NULL")
+    return rows.where("config = 'mini3-rag'").select("task_id").intersect(rows.where("config = 'mid7-rag'").select("task_id"))
+
+
+@query("SELECT id FROM benchmark_seed EXCEPT SELECT task_id FROM eval_results")
+def unanswered_tasks(spark, d):
+    return table(spark, d, "benchmark_seed").select("id").exceptAll(table(spark, d, "eval_results").select(F.col("task_id").alias("id")).distinct()).distinct()
+
+
+@query(f"WITH {_SCORES} SELECT task AS task_id, count(*) AS configs FROM sc GROUP BY 1 HAVING count(*) >= 3")
+def well_covered_tasks(spark, d):
+    scores = evaluation.task_scores(table(spark, d, "eval_results"))
+    return scores.groupBy(F.col("task").alias("task_id")).agg(F.count("*").alias("configs")).where("configs >= 3")
+
+
+@query(
+    """SELECT category, config, mean_score FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY mean_score DESC, config) AS r FROM (
+       SELECT category, config, round(avg(score), 6) AS mean_score FROM eval_results WHERE score > 0 GROUP BY ALL)) WHERE r = 1"""
+)
+def best_config(spark, d):
+    means = evaluation.scored(table(spark, d, "eval_results")).groupBy("category", "config").agg(F.round(F.avg("score"), 6).alias("mean_score"))
+    best = means.groupBy("category").agg(F.min_by(F.struct("config", "mean_score"), F.struct(-F.col("mean_score"), "config")).alias("b"))
+    return best.select("category", "b.config", "b.mean_score")
+
+
+@query(f"SELECT result_id FROM eval_results WHERE score > 0 ORDER BY {_ORDER.format('result_id')}, result_id LIMIT 118")
+def second_judge_sample(spark, d):
+    key = F.col("result_id")
+    return evaluation.scored(table(spark, d, "eval_results")).orderBy(text.hash_order(42, key.cast("string")), key).limit(118).select("result_id")
+
+
+@query("SELECT coalesce(retrieval, 'none') AS retrieval, e.use_rag, count(*) AS n, round(avg(e.num_chunks_retrieved), 6) AS mean_chunks FROM eval_results e JOIN run_configs USING (config) GROUP BY ALL")
+def chunks_by_retrieval(spark, d):
+    configs = F.broadcast(table(spark, d, "run_configs").select("config", "retrieval"))  # a fixed table of 12 rows
+    joined = table(spark, d, "eval_results").select("config", "use_rag", "num_chunks_retrieved").join(configs, "config")
+    return joined.groupBy(F.coalesce("retrieval", F.lit("none")).alias("retrieval"), "use_rag").agg(
+        F.count("*").alias("n"), F.round(F.avg("num_chunks_retrieved"), 6).alias("mean_chunks")
+    )
