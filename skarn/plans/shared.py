@@ -18,8 +18,7 @@ _shipped: set[str] = set()
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset (local tests)."""
-    conf = spark.sparkContext.getConf()
-    if named := conf.get("spark.checkpoint.dir", None):
+    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
         return named
     own = os.path.join(tempfile.gettempdir(), f"skarn-shared-{spark.sparkContext.applicationId}")
     if not os.path.isdir(own):
