@@ -169,9 +169,9 @@ def balanced_sample(
         F.concat_ws("|", *labels).alias("stratum"),
         F.when(F.col("available") > 0, F.col("target_rows") / F.col("available")).otherwise(F.lit(0.0)).alias("p"),
     )
-    # a repeated id is drawn or not row by row, so rows are told apart by all their columns and a running number
-    whole = F.xxhash64(*[F.col(c) for c in rows.columns])
-    numbered = rows.select(F.col(id_col).alias("id"), *[canonical_label(c).alias(k) for c, k in zip(labels, keys, strict=True)], whole.alias("row"))
+    # rows of one id and stratum share a digest; they are drawn row by row all the same
+    digest = F.xxhash64(F.col(id_col), *[F.col(c) for c in labels])
+    numbered = rows.select(F.col(id_col).alias("id"), *[canonical_label(c).alias(k) for c, k in zip(labels, keys, strict=True)], digest.alias("row"))
     open_rows = (
         numbered.join(strata, keys)
         .select("id", "stratum", "row", "p")
