@@ -5,9 +5,10 @@ an evaluation record (question or answer). An automaton of a shard's passages sc
 that a training text matches are merged into a coverage of each evaluation record. Pairs that cover enough of the
 question and of the answer are then compared word by word.
 
-The automata hold each record's rarest passages only, by counts over all rows: if a training text shares at least the
-share ``SHARED`` of a record's passages, it holds at least one of the rarest ``1 - SHARED`` of them, so nothing is lost,
-while phrases that stand in a large part of all texts start no comparison. The coverage is taken over all passages.
+The automata hold each record's rarest passages only, by counts over all rows. If a training text shares at least T of a
+record's n passages, T being the share ``SHARED`` of n, it holds at least ``HITS`` of the rarest n - T + ``HITS``: all but
+n - T of any selection are shared. So a record is compared if that many different passages of it are hit, nothing is
+lost, and phrases that stand in a large part of all texts start no comparison. The coverage is taken over all passages.
 
 Records with the same normalised question and answer are one class; classes are scanned, and members come back by a
 salted join, so a third of all rows being copies costs one scan. Shards have ``shard_records`` evaluation classes,
@@ -20,9 +21,10 @@ names other than train, dev and test are ignored. Empty tables: empty result. Ve
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.chars import words
@@ -32,6 +34,8 @@ from skarn.plans.skew import salted_join
 PASSAGE = 3
 #: Share of a record's passages that a training text must hold to be compared.
 SHARED = 0.6
+#: Different rare passages that must be hit before a record is compared (all T, if T is smaller).
+HITS = 5
 #: Coverage of question and answer each, and share of equal words, from which a pair is reported.
 COVERAGE = 0.3
 SAME_WORDS = 0.72
@@ -79,29 +83,36 @@ def _scan(min_coverage: float, min_same: float):
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        owners: dict[str, list[int]] = {}
+        numbers: dict[str, int] = {}
+        owners: list[list[int]] = []
         for n, rare in enumerate(evaluation["rare"]):
             for passage in rare:
-                owners.setdefault(passage, []).append(n)
+                k = numbers.setdefault(passage, len(owners))
+                if k == len(owners):
+                    owners.append([])
+                owners[k].append(n)
         out = []
         if owners and len(train):
-            for passage, who in owners.items():
-                automaton.add_word(f" {passage} ", who)
+            for passage, k in numbers.items():
+                automaton.add_word(f" {passage} ", k)
             automaton.make_automaton()
-            records = [
-                (name, q, a, set(passages(q)) | set(passages(a)))
-                for name, q, a in zip(evaluation["class"], evaluation["q"], evaluation["a"], strict=True)
-            ]
+            need = evaluation["need"].tolist()
+            columns = (evaluation["class"], evaluation["q"], evaluation["a"])
+            records = list(zip(*columns, strict=True))
+            kept: dict[int, set[str]] = {}
             for name, q, a in zip(train["class"], train["q"], train["a"], strict=True):
-                found: set[int] = set()
-                for _, who in automaton.iter(f" {q} {BREAK} {a} "):
-                    found.update(who)
+                hit = {k for _, k in automaton.iter(f" {q} {BREAK} {a} ")}
+                counts = Counter(chain.from_iterable(map(owners.__getitem__, hit)))
+                found = [n for n, c in counts.items() if c >= need[n]]
                 if not found:
                     continue
                 held_q, held_a = set(passages(q)), set(passages(a))
                 held = held_q | held_a
                 for n in found:
-                    other, eq, ea, theirs = records[n]
+                    other, eq, ea = records[n]
+                    if n not in kept:
+                        kept[n] = set(passages(eq)) | set(passages(ea))
+                    theirs = kept[n]
                     if len(held & theirs) < SHARED * len(theirs):
                         continue
                     cover_q, cover_a = coverage(eq, held_q), coverage(ea, held_a)
@@ -131,23 +142,42 @@ def cross_split_overlaps(
     chosen = rows.select(F.col(id_col).cast("string").alias("id"), side.alias("side"), F.col(question).alias("question"), F.col(answer).alias("answer"))
     normal = chosen.where("id IS NOT NULL AND side IS NOT NULL").mapInPandas(_normal, "id string, side string, q string, a string")
     normal = materialize(
-        normal.where("q <> '' AND a <> ''").withColumn("class", F.md5(F.concat_ws("\n", "q", "a"))), "p5-normal"
+        normal.where("q <> '' AND a <> ''").withColumn("class", F.unhex(F.md5(F.concat_ws("\n", "q", "a")))), "p5-normal"
     )
     classes = materialize(normal.select("class", "side", "q", "a").dropDuplicates(["class", "side"]), "p5-classes")
 
-    def grams(column: str):
-        w = F.split(column, " ")
-        n = F.greatest(F.size(w) - (PASSAGE - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(w, i, PASSAGE), " "))
-
-    gram = F.explode(F.array_distinct(F.concat(grams("q"), grams("a")))).alias("passage")
-    listed = classes.where("side = 'eval'").select("class", gram)
-    counts = classes.select(gram).groupBy("passage").agg(F.count("*").alias("df"))
-    # a passage that stands in one record only cannot start a comparison, but counts towards the record's passages
-    ranked = listed.join(counts, "passage").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "passage"))).alias("all"))
-    keep = (F.size("all") - F.ceil(F.size("all") * F.lit(SHARED)) + 1).cast("int")
-    rare = ranked.select("class", F.transform(F.filter(F.slice("all", F.lit(1), keep), lambda g: g["df"] > 1), lambda g: g["passage"]).alias("rare"))
-    evaluation = classes.where("side = 'eval'").join(rare, "class").select("class", "q", "a", "rare")
+    def starts(w: Column) -> Column:
+        return F.sequence(F.lit(0), F.greatest(F.size(w) - PASSAGE, F.lit(0)))
+
+    def digest(w: Column, i: Column) -> Column:
+        return F.xxhash64(*[F.get(w, i + k) for k in range(PASSAGE)])
+
+    def digests_of(c: str) -> Column:
+        return F.transform(starts(F.col(c)), lambda i: digest(F.col(c), i))
+
+    split_words = classes.withColumns({"wq": F.split("q", " "), "wa": F.split("a", " ")})
+    digests = F.array_distinct(F.concat(digests_of("wq"), digests_of("wa")))
+    counts = split_words.select(F.explode(digests).alias("passage")).groupBy("passage").agg(F.count("*").alias("df"))
+    asked = split_words.where("side = 'eval'")
+    ranked = (
+        asked.select("class", F.explode(digests).alias("passage"))
+        .join(counts, "passage")
+        .groupBy("class")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "passage"))).alias("all"))
+    )
+    least = F.ceil(F.size("all") * F.lit(SHARED)).cast("int")
+    need = F.least(F.lit(HITS), least)
+    # a passage that stands in one record only cannot be hit, but counts among the record's passages
+    chosen = F.transform(F.filter(F.slice("all", F.lit(1), F.size("all") - least + need), lambda g: g["df"] > 1), lambda g: g["passage"])
+    rare = ranked.select("class", need.alias("need"), chosen.alias("chosen"))
+
+    def spelled(c: str) -> Column:
+        w = F.col(c)
+        return F.transform(
+            F.filter(starts(w), lambda i: F.array_contains("chosen", digest(w, i))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(PASSAGE)), " ")
+        )
+
+    evaluation = asked.join(rare, "class").select("class", "q", "a", "need", F.array_distinct(F.concat(spelled("wq"), spelled("wa"))).alias("rare"))
     evaluation = materialize(evaluation, "p5-eval")
     train = classes.where("side = 'train'").select("class", "q", "a")
     shards = max(1, -(-evaluation.count() // shard_records))
@@ -158,7 +188,7 @@ def cross_split_overlaps(
     right = evaluation.withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
-    schema = "train_class string, eval_class string, question_coverage double, answer_coverage double, question_same double, answer_same double"
+    schema = "train_class binary, eval_class binary, question_coverage double, answer_coverage double, question_same double, answer_same double"
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_scan(min_coverage, min_same), schema)
     found = materialize(found, "p5-found")
     members = normal.select("id", "side", "class")
