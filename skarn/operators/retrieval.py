@@ -1,8 +1,8 @@
 """Retrieval of a stated query set against a whole corpus: dense, filtered, BM25, fused, reranked, multi-query.
 
-The query set goes to the tasks in blocks of bounded size; every batch of the corpus is scored against a block with one
-matrix product and leaves only its ``k`` best rows a query. What is shuffled is therefore k rows a query and task, not
-queries times rows. Scores are rounded to six places and ties go to the smaller id.
+The query set goes to the tasks in blocks of bounded size; slices of the corpus are scored against a block with one matrix
+product, and a task keeps only the ``k`` best rows of each query. What is shuffled is therefore k rows a query and task,
+not queries times rows. Scores are rounded to six places and ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from skarn.plans.plugins import EMBEDDERS, RERANKERS, plugin
 from skarn.plans.shared import materialize
 from skarn.plans.spread import spread
 
-QUERY_BLOCK = 2_000
+QUERY_BLOCK = 1_000
+#: Documents scored against a block of queries at once, so a task holds blocks times slices of numbers at most.
+SLICE = 256
 RRF = 60
 POOL = 30
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -50,15 +52,33 @@ def _blocks(queries: DataFrame, columns: list[str], size: int = QUERY_BLOCK) ->
         yield pd.DataFrame(rows, columns=columns)
 
 
-def best(query_ids: np.ndarray, doc_ids: np.ndarray, scores: np.ndarray, k: int, allowed: np.ndarray | None = None) -> pd.DataFrame:
-    """The k best documents of one batch for each query; ``scores`` is queries by documents."""
-    scores = np.round(scores, 6)
-    if allowed is not None:
-        scores = np.where(allowed, scores, -np.inf)
-    order = np.lexsort((np.broadcast_to(doc_ids, scores.shape), -scores), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(query_ids)), order.shape[1])
-    out = pd.DataFrame({"query_id": query_ids[rows], "doc_id": doc_ids[order.ravel()], "score": scores[rows, order.ravel()]})
-    return out[np.isfinite(out["score"])]
+class Best:
+    """The k best documents of each query among all that a task has seen; scores rounded, ties to the smaller id."""
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.query_ids, self.k = query_ids, k
+        self.scores, self.docs = np.empty((len(query_ids), 0)), np.empty((len(query_ids), 0), dtype=np.int64)
+
+    def add(self, doc_ids: np.ndarray, scores: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """``scores`` is queries by documents; documents that are not ``allowed`` for a query are left out."""
+        scores = np.round(scores, 6)
+        if allowed is not None:
+            scores = np.where(allowed, scores, -np.inf)
+        scores = np.concatenate([self.scores, scores], axis=1)
+        docs = np.concatenate([self.docs, np.broadcast_to(doc_ids, (len(self.query_ids), len(doc_ids)))], axis=1)
+        order = np.lexsort((docs, -scores), axis=1)[:, : self.k]
+        self.scores, self.docs = np.take_along_axis(scores, order, 1), np.take_along_axis(docs, order, 1)
+
+    def frame(self) -> pd.DataFrame:
+        rows = np.repeat(np.arange(len(self.query_ids)), self.scores.shape[1])
+        out = pd.DataFrame({"query_id": self.query_ids[rows], "doc_id": self.docs.ravel(), "score": self.scores.ravel()})
+        return out[np.isfinite(out["score"])]
+
+
+def _slices(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), size):
+            yield pdf.iloc[at : at + size]
 
 
 def _ranked(partial: DataFrame | None, k: int, corpus: DataFrame) -> DataFrame:
@@ -86,16 +106,16 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, with_filter: b
         ids, modules = block["query_id"].to_numpy(), block["module"].to_numpy() if with_filter else None
 
         def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+            found = Best(ids, k)
+            for pdf in _slices(batches, SLICE):
                 v = np.array(pdf["vector"].tolist(), dtype=np.float64)
                 v /= np.maximum(np.sqrt((v**2).sum(axis=1, keepdims=True)), 1e-300)
                 docs = pdf["doc_id"].to_numpy()
                 allowed = ids[:, None] != docs[None, :] if exclude_self else np.ones((len(ids), len(docs)), dtype=bool)
                 if with_filter:
                     allowed = allowed & (modules[:, None] == pdf["module"].to_numpy()[None, :])
-                yield best(ids, docs, q @ v.T, k, allowed)
+                found.add(docs, q @ v.T, allowed)
+            yield found.frame()
 
         return run
 
@@ -109,10 +129,10 @@ def text_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, embedder: str =
         def run(batches):
             model = plugin(EMBEDDERS, embedder)
             q = model.embed(block["question"].tolist())
-            ids = block["query_id"].to_numpy()
-            for pdf in batches:
-                if len(pdf):
-                    yield best(ids, pdf["doc_id"].to_numpy(), q @ model.embed(pdf["text"].tolist()).T, k)
+            found = Best(block["query_id"].to_numpy(), k)
+            for pdf in _slices(batches, SLICE):
+                found.add(pdf["doc_id"].to_numpy(), q @ model.embed(pdf["text"].tolist()).T)
+            yield found.frame()
 
         return run
 
@@ -149,16 +169,16 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
         ids = block["query_id"].to_numpy()
 
         def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+            found = Best(ids, k)
+            for pdf in _slices(batches, SLICE):
                 d = np.zeros((len(pdf), q.shape[1]))
                 for n, text in enumerate(pdf["text"]):
                     every = tokenise(text)
                     share = K1 * (1 - B + B * len(every) / mean)
                     for t, c in Counter(t for t in every if t in terms).items():
                         d[n, terms[t]] = c * (K1 + 1) / (c + share)
-                yield best(ids, pdf["doc_id"].to_numpy(), q @ d.T, k)
+                found.add(pdf["doc_id"].to_numpy(), q @ d.T)
+            yield found.frame()
 
         return run
 
