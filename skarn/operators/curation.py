@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skarn.functions import paths, text
 from skarn.functions.text import hash_order
+from skarn.plans.shared import materialize
+from skarn.plans.spread import spread
 
 SEED = 42
 
@@ -121,13 +124,52 @@ def audit_paths(tasks: DataFrame, valid: DataFrame, key: str, text_col: str) ->
     return judged.groupBy(key).agg(F.count("*").alias("cited"), F.count("ok").alias("verified"), F.count_if(F.col("ok").isNull()).alias("missing"))
 
 
-def verify_claims(tasks: DataFrame, methods: DataFrame, phrases: DataFrame, operations: DataFrame, suppress_bare: bool = False) -> DataFrame:
+#: Phrases of one automaton. More are looked up in further passes over the texts, so a task's memory is bounded.
+BLOCK_PHRASES = 100_000
+
+
+def _holds(phrases: list[str]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for n, phrase in enumerate(phrases):
+            automaton.add_word(phrase, n)
+        automaton.make_automaton()
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = {n for t in batch.column(0).to_pylist() if t for _, n in automaton.iter(t)} - seen
+            seen |= fresh
+            yield pa.RecordBatch.from_arrays([pa.array([phrases[n] for n in sorted(fresh)], pa.string())], names=["phrase"])
+
+    return scan
+
+
+def contained(phrases: DataFrame, texts: DataFrame, block_phrases: int = BLOCK_PHRASES) -> DataFrame:
+    """The phrases (phrase) that stand anywhere in a text of the first column of ``texts``; both in lower case.
+
+    One map-only pass over the texts for each block of distinct phrases; no text is shuffled.
+    """
+    asked = materialize(phrases.select("phrase").where("phrase <> ''").distinct(), "asked-phrases")
+    blocks = -(-asked.count() // block_phrases)
+    found = asked.limit(0)
+    if not blocks:
+        return found
+    searched = spread(texts.select(F.col(texts.columns[0]).alias("text")))
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(blocks)))
+    for block in range(blocks):
+        if rows := [r.phrase for r in numbered.where(F.col("block") == block).orderBy("phrase").toLocalIterator()]:
+            found = found.unionByName(searched.mapInArrow(_holds(rows), "phrase string"))
+    return found.distinct()
+
+
+def verify_claims(tasks: DataFrame, methods: DataFrame, texts: DataFrame, operations: DataFrame, suppress_bare: bool = False) -> DataFrame:
     """Findings of each task joined by " | " and a verdict, CLEAN or CHECK.
 
-    ``tasks``: (id, category, expected_answer); ``methods``: (path, methods); ``phrases``: capitalised phrases of the
-    documents, lower case (phrase); ``operations``: known operation ids, lower case (operation). A corpus-wide substring
-    search is replaced by equi-joins on what the documents hold. ``suppress_bare``: any finding on a path with a method
-    hides those on bare paths of that task.
+    ``tasks``: (id, category, expected_answer); ``methods``: (path, methods); ``texts``: every text of the corpus, lower
+    case, in its first column; ``operations``: known operation ids, lower case (operation). A capitalised phrase is
+    attested if any text contains it. ``suppress_bare``: any finding on a path with a method hides those on bare paths of
+    that task.
     """
     answer = F.col("expected_answer")
     calls = F.arrays_zip(
@@ -156,7 +198,8 @@ def verify_claims(tasks: DataFrame, methods: DataFrame, phrases: DataFrame, oper
     said = tasks.where("category = 'config_advisory'").select(
         "id", F.explode(F.array_distinct(F.regexp_extract_all(answer, F.lit(text.CAPITALISED_PHRASE), 0))).alias("p")
     )
-    on_phrases = said.join(phrases, F.lower("p") == F.col("phrase"), "left_anti").select(
+    said = said.withColumn("phrase", F.lower("p"))
+    on_phrases = said.join(contained(said, texts), "phrase", "left_anti").select(
         "id", F.concat(F.lit("CONTROL/SETTING NOT FOUND IN DOCS: '"), "p", F.lit("'")).alias("note")
     )
     notes = on_calls.unionByName(on_bare).unionByName(on_operations).unionByName(on_phrases)

@@ -512,11 +512,10 @@ def audit_paths(spark, d):
 @query()
 def verify_claims(spark, d):
     requests, sections = table(spark, d, "all_postman_chunks"), table(spark, d, "all_doc_chunks")
-    phrase = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(text.CAPITALISED_PHRASE), 0)))
-    phrases = sections.select(phrase.alias("p")).select(F.lower("p").alias("phrase")).distinct()
+    texts = sections.select(F.lower("text").alias("text")).unionAll(requests.select(F.lower("text").alias("text")))
     named = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(text.OPERATION_ID), 0)))
     operations = requests.select(named.alias("o")).select(F.lower("o").alias("operation")).distinct()
-    return curation.verify_claims(table(spark, d, "benchmark_seed"), curation.path_methods(requests), phrases, operations)
+    return curation.verify_claims(table(spark, d, "benchmark_seed"), curation.path_methods(requests), texts, operations)
 
 
 # -- evaluation -----------------------------------------------------------------------------------------------------

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from skarn import queries
 from skarn.functions import paths, text
 from skarn.operators import corpus, curation, evaluation, ingest, retrieval, training
 from skarn.plans import plugins
@@ -231,6 +233,35 @@ def test_claims(spark):
     assert got["b"] == ("CLEAN", "") and "PATH NOT IN CORPUS: POST /no/v1/where" in got["c"][1] and got["d"][0] == "CLEAN"
 
 
+def test_control_phrases_are_looked_up_as_substrings_of_every_text(spark):
+    said = "See In Setup. Late Fee Window. Rate Plan Code. Fee Window Late. No Such Phrase."
+    tasks = spark.createDataFrame([("a", "config_advisory", said), ("b", "x", said)], "id string, category string, expected_answer string")
+    methods = spark.createDataFrame([("/rsv/v1/stays/{}", ["POST"])], "path string, methods array<string>")
+    texts = spark.createDataFrame([("login setup; open the late fee windows",), ("the new rate plan code list entry",), (None,), ("see in setup",)], "text string")
+    none = spark.createDataFrame([("x",)], "operation string")
+    got = {r.id: r.findings for r in curation.verify_claims(tasks, methods, texts, none).collect()}
+    missing = [f"CONTROL/SETTING NOT FOUND IN DOCS: '{p}'" for p in ("Fee Window Late", "No Such Phrase")]
+    assert got == {"a": " | ".join(missing), "b": ""}
+    phrases = spark.createDataFrame([("in setup",), ("late fee window",), ("no",), ("new rate",)], "phrase string")
+    assert sorted(r.phrase for r in curation.contained(phrases, texts, block_phrases=1).collect()) == ["in setup", "late fee window", "new rate"]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_claims_equal_a_search_of_all_texts(spark, size):
+    folder = f"/root/testdata/{size}"
+    read = lambda t, *c: spark.read.parquet(f"{folder}/{t}.parquet").select(*c).collect()
+    everything = "\n".join((r.text or "").lower() for t in ("all_doc_chunks", "all_postman_chunks") for r in read(t, "text"))
+    want = {
+        (r.id, p)
+        for r in read("benchmark_seed", "id", "category", "expected_answer")
+        if r.category == "config_advisory"
+        for p in re.findall(text.CAPITALISED_PHRASE, r.expected_answer or "", re.ASCII)
+        if p.lower() not in everything
+    }
+    rows = queries.QUERIES["verify_claims"](spark, folder).collect()
+    assert {(r.id, p) for r in rows for p in re.findall(r"NOT FOUND IN DOCS: '(.*?)'", r.findings)} == want
+
+
 def test_plugins():
     assert plugins.plugin(plugins.EMBEDDERS, "hash").embed(["a b", ""]).shape == (2, 64)
     with pytest.raises(KeyError):
