@@ -135,21 +135,29 @@ def chi_square_tail(x: float, df: int) -> float:
 
 def friedman(scores: DataFrame) -> DataFrame:
     """Mean rank of each configuration over the tasks that all answered, place, and the chi-square statistic."""
+    every = scores.select("task").distinct().withColumn("category", F.lit("ALL"))
+    return friedman_by(scores, every, least=1).drop("category")
+
+
+def friedman_by(scores: DataFrame, categories: DataFrame, least: int = 3) -> DataFrame:
+    """Friedman ranks for each category of ``categories`` (task, category, distinct), over the tasks that every
+    configuration of ``scores`` answered. Categories with fewer than ``least`` such tasks are left out."""
     k = scores.select("config").distinct().agg(F.count("*").alias("k"))
     complete = scores.groupBy("task").agg(F.count("*").alias("have")).crossJoin(F.broadcast(k)).where("have = k").select("task", "k")  # k: one row
     full = scores.join(complete, "task")
     _, rank = average_rank(["task"], F.desc("score"))
-    ranked = full.withColumn("rank", rank("score"))
-    sums = ranked.groupBy("config").agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.first("k").alias("k"))
-    ties = full.groupBy("task", "score").agg(F.count("*").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("tie"))
-    every = Window.partitionBy()  # one row a configuration
+    ranked = full.withColumn("rank", rank("score")).join(categories, "task")
+    sums = ranked.groupBy("category", "config").agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.first("k").alias("k")).where(F.col("n") >= least)
+    ties = ranked.groupBy("category", "task", "score").agg(F.count("*").alias("t")).groupBy("category").agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("tie"))
+    every = Window.partitionBy("category")  # one row a configuration
     n, kk = F.col("n").cast("double"), F.col("k").cast("double")
     raw = 12 / (n * kk * (kk + 1)) * F.sum(F.col("r") ** 2).over(every) - 3 * n * (kk + 1)
-    correction = 1 - F.col("tie") / (n * kk * (kk**2 - 1))
-    return sums.crossJoin(F.broadcast(ties)).select(
+    correction = 1 - F.try_divide(F.col("tie"), n * kk * (kk**2 - 1))
+    return sums.join(ties, "category").select(
+        "category",
         "config",
         F.round(F.col("r") / n, 6).alias("mean_rank"),
-        F.row_number().over(Window.orderBy(F.round(F.col("r") / n, 6), "config")).alias("place"),
+        F.row_number().over(every.orderBy(F.round(F.col("r") / n, 6), "config")).alias("place"),
         F.col("n").alias("tasks"),
         F.round(F.try_divide(raw, correction), 6).alias("chi_square"),
     )

@@ -642,10 +642,29 @@ _AREAS = "sc AS (SELECT coalesce(module, 'none') || '/' || coalesce(category, 'n
         round((12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - tie / (n * k * (k * k - 1))), 6) AS chi_square FROM s, t, x, kk"""
 )
 def friedman_ranks(spark, d):
+    """Over areas (module/category) in place of tasks, as its SQL has it; ``friedman_tasks`` ranks task by task."""
     area = F.concat(F.coalesce("module", F.lit("none")), F.lit("/"), F.coalesce("category", F.lit("none")))
     return evaluation.friedman(evaluation.task_scores(table(spark, d, "eval_results").withColumn("area", area), "area"))
 
 
+@query(
+    f"""WITH {_SCORES}, kk AS (SELECT count(DISTINCT config)::DOUBLE AS k FROM sc), f AS (SELECT * FROM sc WHERE task IN (SELECT task FROM sc GROUP BY 1 HAVING count(*) = (SELECT k FROM kk))),
+    c AS (SELECT DISTINCT task_id AS task, category FROM eval_results WHERE score > 0 AND category IS NOT NULL UNION SELECT task_id, 'ALL' FROM eval_results WHERE score > 0),
+    r AS (SELECT *, rank() OVER (PARTITION BY task ORDER BY score DESC) + (count(*) OVER (PARTITION BY task, score) - 1) / 2.0 AS rk FROM f),
+    s AS (SELECT category, config, sum(rk)::DOUBLE AS r, count(*)::DOUBLE AS n FROM r JOIN c USING (task) GROUP BY ALL HAVING count(*) >= 3),
+    t AS (SELECT category, sum(c * c * c - c)::DOUBLE AS tie FROM (SELECT category, task, score, count(*) AS c FROM f JOIN c USING (task) GROUP BY ALL) GROUP BY 1),
+    x AS (SELECT category, sum(r * r) AS ss FROM s GROUP BY 1)
+    SELECT category, config, round(r / n, 6) AS mean_rank, row_number() OVER (PARTITION BY category ORDER BY round(r / n, 6), config) AS place, n::BIGINT AS tasks,
+        round((12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / nullif(1 - tie / nullif(n * k * (k * k - 1), 0), 0), 6) AS chi_square
+    FROM s JOIN t USING (category) JOIN x USING (category), kk"""
+)
+def friedman_tasks(spark, d):
+    results = table(spark, d, "eval_results")
+    judged = evaluation.scored(results).select(F.col("task_id").alias("task"), "category")
+    categories = judged.where("category IS NOT NULL").union(judged.withColumn("category", F.lit("ALL"))).distinct()
+    return evaluation.friedman_by(evaluation.task_scores(results), categories)
+
+
 _RATERS = """pr AS (SELECT a.score AS human, b.score AS judge FROM (SELECT task_id, min(score) AS score FROM eval_results WHERE score > 0 AND config = 'mini3-rag' GROUP BY 1) a
     JOIN (SELECT task_id, max(score) AS score FROM eval_results WHERE score > 0 AND config = 'mid7-rag' GROUP BY 1) b USING (task_id))"""
 

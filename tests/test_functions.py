@@ -18,6 +18,7 @@ from skarn.plans import plugins
 from skarn.plans.skew import salted_join
 from skarn.sources import formats
 from skarn.streaming.incremental import index_stream, unjudged
+from tests.compare import compare, connect
 
 
 def one(spark, column, **values):
@@ -233,6 +234,23 @@ def test_claims(spark):
     assert got["b"] == ("CLEAN", "") and "PATH NOT IN CORPUS: POST /no/v1/where" in got["c"][1] and got["d"][0] == "CLEAN"
 
 
+def test_friedman_ranks_complete_tasks_by_category(spark, tmp_path):
+    rows = [(f"{c}{t}", config, c, (t + n) % 5 + 1) for c, size in (("a", 4), ("b", 2)) for t in range(size) for n, config in enumerate("xyz")]
+    rows += [("a9", "x", "a", 5), ("a0", "x", None, 1), ("a1", "y", "a", -1)]
+    spark.createDataFrame(rows, "task_id string, config string, category string, score int").write.parquet(f"{tmp_path}/eval_results.parquet")
+    got = queries.QUERIES["friedman_tasks"](spark, str(tmp_path))
+    mine, theirs, only_mine, only_theirs = compare(got, queries.SQL["friedman_tasks"], connect(str(tmp_path)))
+    assert (mine, only_mine, only_theirs) == (theirs, [], [])
+    assert {(r.category, r.tasks) for r in got.collect()} == {("a", 4), ("ALL", 6)}
+    scores = evaluation.task_scores(spark.read.parquet(f"{tmp_path}/eval_results.parquet")).toPandas().pivot(index="task", columns="config", values="score").dropna()
+    ranks = scores.rank(axis=1, ascending=False)
+    n, k = ranks.shape
+    tie = sum(int(c) ** 3 - int(c) for _, row in scores.iterrows() for c in row.value_counts())
+    chi = (12 / (n * k * (k + 1)) * float((ranks.sum() ** 2).sum()) - 3 * n * (k + 1)) / (1 - tie / (n * k * (k * k - 1)))
+    every = {r.config: r for r in got.collect() if r.category == "ALL"}
+    assert all(abs(every[c].mean_rank - ranks[c].mean()) < 1e-6 and abs(every[c].chi_square - chi) < 1e-5 for c in "xyz")
+
+
 def test_control_phrases_are_looked_up_as_substrings_of_every_text(spark):
     said = "See In Setup. Late Fee Window. Rate Plan Code. Fee Window Late. No Such Phrase."
     tasks = spark.createDataFrame([("a", "config_advisory", said), ("b", "x", said)], "id string, category string, expected_answer string")
