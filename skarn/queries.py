@@ -714,15 +714,30 @@ def _bootstrap_sql(source: str, group: str, value: str, order: str) -> str:
 
 @query(f"WITH {_SCORES}, {_bootstrap_sql('sc', 'config', 'score', 'task')} SELECT g AS config, n, mean, ci_low, ci_high FROM ci")
 def bootstrap_ci(spark, d):
-    return evaluation.bootstrap(evaluation.task_scores(table(spark, d, "eval_results")), "config", "score", "task")
+    """The 100 replicates of its SQL; ``bootstrap_ci_full`` draws all."""
+    return evaluation.bootstrap_drawn(evaluation.task_scores(table(spark, d, "eval_results")), "config", "score", "task", replicates=100)
+
+
+@query()
+def bootstrap_ci_full(spark, d):
+    return evaluation.bootstrap(evaluation.task_scores(table(spark, d, "eval_results")), "config", "score")
+
+
+def _comparisons(spark, d) -> DataFrame:
+    return _diffs(spark, d).withColumn("comparison", F.concat("label_a", F.lit(" -> "), "label_b"))
 
 
 @query(
     f"WITH {_PAIRED}, {_bootstrap_sql('df', '''label_a || ' -> ' || label_b''', 'diff', 'task')} SELECT g AS comparison, n, mean, ci_low, ci_high FROM ci"
 )
 def paired_bootstrap(spark, d):
-    diffs = _diffs(spark, d).withColumn("comparison", F.concat("label_a", F.lit(" -> "), "label_b"))
-    return evaluation.bootstrap(diffs, "comparison", "diff", "task")
+    """The 100 replicates of its SQL; ``paired_bootstrap_full`` draws all."""
+    return evaluation.bootstrap_drawn(_comparisons(spark, d), "comparison", "diff", "task", replicates=100)
+
+
+@query()
+def paired_bootstrap_full(spark, d):
+    return evaluation.bootstrap(_comparisons(spark, d), "comparison", "diff")
 
 
 # -- training sets --------------------------------------------------------------------------------------------------

@@ -251,6 +251,21 @@ def test_friedman_ranks_complete_tasks_by_category(spark, tmp_path):
     assert all(abs(every[c].mean_rank - ranks[c].mean()) < 1e-6 and abs(every[c].chi_square - chi) < 1e-5 for c in "xyz")
 
 
+def test_bootstrap_draws_ten_thousand_resamples_like_brute_force(spark):
+    values = {"a": [1.0, 2.0, 2.0, 3.5, 5.0, 5.0, 4.0], "b": [0.0, 0.0, 0.0, 1.0], "c": [2.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None)], "g string, v double")
+    means = evaluation.resampled_means(df, "g", "v").toPandas()
+    rng = np.random.default_rng(1)
+    for r in evaluation.bootstrap(df, "g", "v").collect():
+        own, drawn = np.array(values[r.g]), means[means["g"] == r.g]
+        assert r.n == len(own) and sorted(drawn["rep"]) == list(range(10_000))
+        brute = own[rng.integers(0, len(own), (10_000, len(own)))].mean(axis=1)
+        assert abs(drawn["m"].mean() - brute.mean()) < 0.05 and abs(drawn["m"].std() - brute.std()) < 0.03
+        assert np.allclose([r.ci_low, r.ci_high], np.percentile(drawn["m"], [2.5, 97.5]), atol=1e-6)
+        assert np.allclose([r.ci_low, r.ci_high], np.percentile(brute, [2.5, 97.5]), atol=0.08)
+    assert evaluation.bootstrap(df, "g", "v").collect() == evaluation.bootstrap(df.repartition(5), "g", "v").collect()
+
+
 def test_control_phrases_are_looked_up_as_substrings_of_every_text(spark):
     said = "See In Setup. Late Fee Window. Rate Plan Code. Fee Window Late. No Such Phrase."
     tasks = spark.createDataFrame([("a", "config_advisory", said), ("b", "x", said)], "id string, category string, expected_answer string")
