@@ -18,7 +18,9 @@ columns are ignored. Empty tables: empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +83,12 @@ class Index:
             join = np.concatenate if hashes else lambda _: np.zeros(0, dtype=np.int64)
             self.seeds.append((mask, h[order], join(owners)[order], join(offsets)[order]))
 
-    def hits(self, ids: np.ndarray) -> dict[int, dict[int, tuple[int, int]]]:
-        """Item number -> {diagonal: (text position, item position)} of the seed hits in one text of word numbers."""
-        found: dict[int, dict[int, tuple[int, int]]] = {}
+    def hits(self, ids: np.ndarray) -> dict[int, dict[int, set[int]]]:
+        """Item number -> {diagonal: item positions} of the seed hits in one text of word numbers.
+
+        A diagonal is text position less item position; all its hits are kept.
+        """
+        found: dict[int, dict[int, set[int]]] = {}
         for mask, hashes, owners, offsets in self.seeds:
             last = len(ids) - mask[-1]
             if last <= 0 or not len(hashes):
@@ -98,8 +103,8 @@ class Index:
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             for k in np.nonzero(hi > lo)[0]:
                 for s in range(lo[k], hi[k]):
-                    where = (int(at[k]), int(offsets[s]))
-                    found.setdefault(int(owners[s]), {}).setdefault(where[0] - where[1], where)
+                    position = int(offsets[s])
+                    found.setdefault(int(owners[s]), {}).setdefault(int(at[k]) - position, set()).add(position)
         return found
 
 
@@ -116,10 +121,23 @@ def _resync(item: list[str], k: int, stream: str, p: int) -> tuple[int, int, int
     return None
 
 
-def _extend(item: list[str], k: int, stream: str, p: int, tolerance: int) -> list[int]:
-    """Changed words counted at each item word from ``k`` on, as far as the text follows the item."""
+class Stream:
+    """The letters of a text's words and where each word starts, forwards and backwards."""
+
+    def __init__(self, tokens: list[str]):
+        self.letters, self.starts = "".join(tokens), list(accumulate(map(len, tokens), initial=0))
+        self.back = self.letters[::-1]
+        self.back_starts = [len(self.back) - p for p in reversed(self.starts)]
+
+
+def _extend(item: list[str], k: int, stream: str, starts: list[int], p: int, tolerance: int) -> list[int]:
+    """Changed words counted at each item word from ``k`` on, as far as the text follows the item from letter ``p`` on.
+
+    Where the item is not found again close by, one word counts as replaced by one word of the text. The budget starts
+    with the changes that a stretch of the whole item may have, as the words beyond the hit count too.
+    """
     out: list[int] = []
-    budget, since = 2, 0
+    budget, since = max(2, (len(item) + tolerance // 2) // tolerance), 0
     while k < len(item):
         if stream.startswith(item[k], p):
             p += len(item[k])
@@ -129,8 +147,12 @@ def _extend(item: list[str], k: int, stream: str, p: int, tolerance: int) -> lis
             if since == tolerance - 3:
                 budget, since = budget + 1, 0
             continue
-        if budget <= 0 or (nxt := _resync(item, k, stream, p)) is None:
+        if budget <= 0:
             break
+        if (nxt := _resync(item, k, stream, p)) is None:
+            if (after := bisect_right(starts, p)) >= len(starts) - 1:
+                break
+            nxt = k + 1, starts[after], 1
         new_k, p, cost = nxt
         budget -= cost
         if new_k == k:  # a word put in: charged to the word before
@@ -142,29 +164,50 @@ def _extend(item: list[str], k: int, stream: str, p: int, tolerance: int) -> lis
     return out
 
 
-def overlap(item: list[str], tokens: list[str], at: int, position: int, tolerance: int = TOLERANCE) -> tuple[int, int]:
-    """Longest stretch of item words around the hit that stands in the text in order: (words, changed words inside).
+def overlap(item: list[str], text: Stream, at: int, position: int, tolerance: int = TOLERANCE, least: int = 1) -> tuple[int, int, int, int]:
+    """Longest stretch of item words around the hit that stands in the text in order: (words, changed words inside, first
+    item word, end of the equal words that follow the hit).
 
     The text is followed letter by letter without white space and punctuation, so hyphenation at line ends, quote marks
     and mark-up inside words do not count as changes. The stretch starts and ends with equal words and has at most about
-    one changed word in ``tolerance``.
+    one changed word in ``tolerance``. Stretches of fewer than ``least`` words are not looked for.
     """
-    reach = len(item) * 2 + 8
-    right = "".join(tokens[at : at + reach])
-    left = "".join(tokens[max(0, at - reach) : at])[::-1]
-    after = _extend(item, position, right, 0, tolerance)
-    before = _extend([w[::-1] for w in item[:position][::-1]], 0, left, 0, tolerance)
+    after = _extend(item, position, text.letters, text.starts, text.starts[at], tolerance)
+    start = len(text.letters) - text.starts[at]
+    before = _extend([w[::-1] for w in item[::-1]], len(item) - position, text.back, text.back_starts, start, tolerance)
     cost = before[::-1] + after
+    equal = position + next((k for k, c in enumerate(after) if c), len(after))
     n = len(cost)
+    if cost.count(0) < least - (least + tolerance // 2) // tolerance:  # a longer stretch needs no fewer equal words
+        return 0, 0, position, equal
     total = [0]
     for c in cost:
         total.append(total[-1] + c)
-    for length in range(n, 0, -1):
+    for length in range(n, least - 1, -1):
         for i in range(n - length + 1):
             j = i + length - 1
             if cost[i] == 0 and cost[j] == 0 and (changed := total[j] - total[i]) * tolerance <= length + tolerance // 2:
-                return length, changed
-    return 0, 0
+                return length, changed, position - len(before) + i, equal
+    return 0, 0, position, equal
+
+
+def longest(item: list[str], text: Stream, hits: dict[int, set[int]], tolerance: int = TOLERANCE, least: int = 1) -> tuple[int, int]:
+    """Longest stretch around any hit, the one with fewest changed words: (words, changed words inside).
+
+    Hits inside a stretch already verified on their diagonal are covered by it.
+    """
+    best = (0, 0)
+    for diagonal, positions in hits.items():
+        done: list[tuple[int, int]] = []
+        for q in sorted(positions):
+            if any(lo <= q < hi for lo, hi in done):
+                continue
+            length, changed, first, equal = overlap(item, text, diagonal + q, q, tolerance, least)
+            done += [(first, first + length), (q, equal)]
+            best = max(best, (length, -changed))
+            if best == (len(item), 0):
+                return best
+    return best[0], -best[1]
 
 
 def _scan(index: Index, min_words: int, tolerance: int):
@@ -177,10 +220,13 @@ def _scan(index: Index, min_words: int, tolerance: int):
                     continue
                 tokens = tokens_of(text)
                 ids = np.fromiter((number(w, 0) for w in tokens), dtype=np.int64, count=len(tokens))
-                for n, hits in index.hits(ids).items():
+                found = index.hits(ids)
+                stream = Stream(tokens) if found else None
+                for n, hits in found.items():
                     item_id, item = index.items[n]
-                    length, changed = max(overlap(item, tokens, at, q, tolerance) for at, q in hits.values())
-                    if length >= min(min_words, len(item)):
+                    least = min(min_words, len(item))
+                    length, changed = longest(item, stream, hits, tolerance, least)
+                    if length >= least:
                         out.append((doc_id, item_id, length, len(item), changed))
                 if index.short and ids.any():
                     for key, item_ids in index.short.items():

@@ -35,6 +35,16 @@ def test_passages(spark):
     assert got[0, 1] == (60, 0) and got[1, 1] == (20, 0) and got[3, 1][1] > 0
 
 
+def test_changes_close_together(spark):
+    def changed(*places):
+        return around([("changed" if n in places else w) for n, w in enumerate(ITEM)])
+
+    got = scan(spark, [changed(10, 12), changed(10, 11, 12), changed(47, 49), changed(10, 12, 30, 31, 32), changed(8, 9, 10, 11, 12, 13, 14, 15, 16)])
+    assert got == {(0, 1): (60, 2), (1, 1): (60, 3), (2, 1): (60, 2), (3, 1): (60, 5), (4, 1): (43, 0)}
+    short = [("changed" if 3 <= n <= 5 else w) for n, w in enumerate(ITEM[:20])]
+    assert scan(spark, [around(short)]) == {(0, 1): (20, 3)}
+
+
 def test_changed_too_much(spark):
     every_fourth = [("changed" if n % 4 == 2 else w) for n, w in enumerate(ITEM)]
     assert scan(spark, [around(every_fourth)]) == {}
