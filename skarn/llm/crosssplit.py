@@ -1,18 +1,23 @@
 """Problem 5: the same or nearly the same records across splits.
 
+Criterion: question and answer each share ``SAME_WORDS`` of their words (of the longer text). Equal words are taken to
+stand in the same order; a word that moved counts as changed.
+
 Method: Aho-Corasick automata over sharded, normalised evaluation passages. A passage is ``PASSAGE`` successive words of
-an evaluation record (question or answer). An automaton of a shard's passages scans the training texts; the intervals
-that a training text matches are merged into a coverage of each evaluation record. Pairs that cover enough of the
-question and of the answer are then compared word by word.
+an evaluation record (question or answer), fewer in texts so short that a changed word could break every longer one. An
+automaton of a shard's passages scans the training texts, in which each word is one letter; the intervals that a
+training text matches are merged into a coverage of each evaluation record.
 
-The automata hold each record's rarest passages only, by counts over all rows. If a training text shares at least T of a
-record's n passages, T being the share ``SHARED`` of n, it holds at least ``HITS`` of the rarest n - T + ``HITS``: all but
-n - T of any selection are shared. So a record is compared if that many different passages of it are hit, nothing is
-lost, and phrases that stand in a large part of all texts start no comparison. The coverage is taken over all passages.
+No pair that meets the criterion is lost. A text of n words of which at most a share 1 - ``SAME_WORDS`` changed, was left
+out or put in loses at most ``(1 - SAME_WORDS) * PASSAGE * n`` passages (a changed or missing word breaks up to
+``PASSAGE`` of them, one put in ``PASSAGE`` - 1). What is left, T, is the number of passages a training text must share.
+Of any d - T + k of a record's d passages at least k are then shared, so the automata hold the d - T + k that are rarest
+in their shard, k being the smaller of T and ``HITS``, and a record is compared where k different ones are hit. Phrases
+of the house style, the most frequent passages, so start no comparison; the count against T and the coverage take all.
 
 Records with the same normalised question and answer are one class; classes are scanned, and members come back by a
-salted join, so a third of all rows being copies costs one scan. Shards have ``shard_records`` evaluation classes,
-blocks ``block_records`` training classes; every shard meets every block once, as a stated query set against all rows.
+salted join, so a third of all rows being copies costs one scan. The evaluation classes are a stated query set against
+all training classes: shards of ``shard_records`` of the one meet blocks of ``block_records`` of the other, each once.
 
 Defined results. A null or wordless question or answer is never part of a pair. Repeated ids: pairs are distinct. Split
 names other than train, dev and test are ignored. Empty tables: empty result. Very long texts are compared whole.
@@ -21,27 +26,31 @@ names other than train, dev and test are ignored. Empty tables: empty result. Ve
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.chars import words
 from skarn.plans.shared import materialize
 from skarn.plans.skew import salted_join
+from skarn.plans.spread import spread
 
 PASSAGE = 3
-#: Share of a record's passages that a training text must hold to be compared.
-SHARED = 0.6
-#: Different rare passages that must be hit before a record is compared (all T, if T is smaller).
-HITS = 5
-#: Coverage of question and answer each, and share of equal words, from which a pair is reported.
-COVERAGE = 0.3
+#: Share of equal words of question and answer each from which a pair is reported.
 SAME_WORDS = 0.72
-SHARD_RECORDS = 2_500
-BLOCK_RECORDS = 4_000
-BREAK = "\n"
+#: Different rare passages that must be hit before a record is compared (all T, if T is smaller).
+HITS = 6
+SHARD_RECORDS = 5_000
+BLOCK_RECORDS = 8_000
+#: Letters for words start here, above the surrogates; there are a million.
+_FIRST = 0xE000
+_LAST = 0x10FFFF
+#: In an automaton a letter is spelled as digits of this base, those of each place from an alphabet of their own, so that
+#: no node has more than _BASE children and matches start and end with a letter.
+_BASE, _PLACES = 32, 4
 
 
 def _normal(batches):
@@ -51,77 +60,148 @@ def _normal(batches):
         yield pd.DataFrame({"id": pdf["id"], "side": pdf["side"], "q": q, "a": a})
 
 
-def passages(text: str) -> list[str]:
-    """All passages of a normalised text; a text of fewer words is one passage."""
-    w = text.split(" ")
-    return [" ".join(w[i : i + PASSAGE]) for i in range(max(1, len(w) - PASSAGE + 1))] if text else []
+def _broken(n: int, size: int, same: float) -> int:
+    """Most passages of ``size`` words that a text of n words can lose while it keeps the share ``same`` of its words."""
+    return int((1 - same) * size * n + 1e-9)
+
+
+def passage_size(n: int, same: float = SAME_WORDS) -> int:
+    """Words of a passage in a text of n words: ``PASSAGE``, or fewer where changed words could break all of that size."""
+    for size in range(PASSAGE, 1, -1):
+        if n - size + 1 > _broken(n, size, same):
+            return size
+    return 1
+
+
+def passages(text: str, size: int) -> list[str]:
+    """All passages of a text whose letters are words."""
+    return [text[i : i + size] for i in range(len(text) - size + 1)]
 
 
-def coverage(text: str, held: set[str]) -> float:
-    """Share of the words of ``text`` inside passages of ``held``, overlapping intervals merged."""
-    w = text.split(" ")
+def coverage(text: str, size: int, held: set[str]) -> float:
+    """Share of the letters of ``text`` inside passages of ``held``, overlapping intervals merged."""
     covered, end = 0, 0
-    for i, passage in enumerate(passages(text)):
+    for i, passage in enumerate(passages(text, size)):
         if passage in held:
-            stop = min(len(w), i + PASSAGE)
-            covered += stop - max(i, end)
-            end = stop
-    return covered / len(w)
+            covered += i + size - max(i, end)
+            end = i + size
+    return covered / max(1, len(text))
 
 
-def same_words(a: str, b: str) -> float:
-    """Share of equal words of two normalised texts, whatever their order."""
-    x, y = Counter(a.split(" ")), Counter(b.split(" "))
-    more = max(sum(x.values()), sum(y.values()))
-    return sum((x & y).values()) / more
+def bag(text: Sequence[str]) -> frozenset[tuple[str, int] | str]:
+    """The words of a text, the second and later of a kind numbered, so that bags meet as sets do."""
+    seen: dict[str, int] = {}
+    out = set()
+    for w in text:
+        if w in out:
+            seen[w] = k = seen.get(w, 1) + 1
+            out.add((w, k))
+        else:
+            out.add(w)
+    return frozenset(out)
 
 
-def _scan(min_coverage: float, min_same: float):
-    schema_columns = ["train_class", "eval_class", "question_coverage", "answer_coverage", "question_same", "answer_same"]
+def same_words(a: Sequence[str], b: Sequence[str]) -> float:
+    """Share of equal words (or letters that stand for words) of two texts, whatever their order."""
+    return len(bag(a) & bag(b)) / max(1, len(a), len(b))
 
-    def run(key, train: pd.DataFrame, evaluation: pd.DataFrame) -> pd.DataFrame:
+
+class _Letters:
+    """One letter a word. Words beyond the last letter share it: nothing is lost by that, and pairs found are then
+    compared by their words."""
+
+    def __init__(self):
+        self.known: dict[str, str] = {}
+        self.spelling: dict[int, str] = {ord("\n"): "\n"}
+
+    def _add(self, word: str) -> None:
+        n = min(_LAST - _FIRST, len(self.known))
+        self.known[word] = chr(_FIRST + n)
+        self.spelling[_FIRST + n] = "".join(chr(0x100 + place * _BASE + (n // _BASE**place) % _BASE) for place in range(_PLACES))
+
+    def __call__(self, text: str) -> str:
+        known = self.known
+        for w in text.split(" "):
+            if w not in known:
+                self._add(w)
+        return "".join([known[w] for w in text.split(" ")])
+
+
+class Shard:
+    """The rarest passages of a shard's evaluation records in one automaton."""
+
+    def __init__(self, records: list[tuple[str, str]], same: float = SAME_WORDS):
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        numbers: dict[str, int] = {}
-        owners: list[list[int]] = []
-        for n, rare in enumerate(evaluation["rare"]):
-            for passage in rare:
-                k = numbers.setdefault(passage, len(owners))
-                if k == len(owners):
-                    owners.append([])
-                owners[k].append(n)
+        self.letters, self.same, self.texts = _Letters(), same, records
+        self.records = [(self.letters(q), self.letters(a)) for q, a in records]
+        own, self.total = [], []
+        for q, a in self.records:
+            sizes = passage_size(len(q), same), passage_size(len(a), same)
+            held = set(passages(q, sizes[0])) | set(passages(a, sizes[1]))
+            own.append((held, sizes))
+            self.total.append(max(1, len(held) - _broken(len(q), sizes[0], same) - _broken(len(a), sizes[1], same)))
+        counts = Counter(p for held, _ in own for p in held)
+        self.sizes = [sizes for _, sizes in own]
+        self.held = [held for held, _ in own]
+        self.bags = [(bag(q), bag(a)) for q, a in self.records]
+        self.need = np.minimum(np.array(self.total, dtype=np.int64), HITS)
+        owners: dict[str, list[int]] = {}
+        for n, held in enumerate(self.held):
+            rarest = sorted(held, key=lambda p: (counts[p], p))[: len(held) - self.total[n] + int(self.need[n])]
+            for passage in rarest:
+                owners.setdefault(passage, []).append(n)
+        self.automaton = ahocorasick.Automaton()
+        self.owners = []
+        for k, (passage, records_of) in enumerate(owners.items()):
+            self.automaton.add_word(passage.translate(self.letters.spelling), k)
+            self.owners.append(np.array(records_of, dtype=np.int32))
+        if owners:
+            self.automaton.make_automaton()
+
+    def matches(self, q: str, a: str) -> list[tuple[int, float, float, float, float]]:
+        """(record, question coverage, answer coverage, equal words of each) for the records that the pair repeats."""
+        if not self.owners:
+            return []
+        known, said = self.letters.known.get, (q, a)
+        q, a = ("".join([known(w, "\n") for w in t.split(" ")]) for t in (q, a))
+        hit = {k for _, k in self.automaton.iter(f"{q}\n{a}".translate(self.letters.spelling))}
+        if not hit:
+            return []
+        counts = np.bincount(np.concatenate([self.owners[k] for k in hit]), minlength=len(self.records))
+        found = np.nonzero(counts >= self.need)[0].tolist()
+        if not found:
+            return []
+        out, same = [], self.same
+        bag_q, bag_a = bag(q), bag(a)
+        for n in found:
+            theirs_q, theirs_a = self.bags[n]
+            alike_a = len(bag_a & theirs_a) / max(len(bag_a), len(theirs_a))
+            if alike_a < same or (alike_q := len(bag_q & theirs_q) / max(len(bag_q), len(theirs_q))) < same:
+                continue
+            if len(self.letters.known) > _LAST - _FIRST:
+                alike_q, alike_a = (same_words(x.split(" "), y.split(" ")) for x, y in zip(said, self.texts[n], strict=True))
+                if min(alike_q, alike_a) < same:
+                    continue
+            sizes, (eq, ea) = self.sizes[n], self.records[n]
+            held_q, held_a = set(passages(q, sizes[0])), set(passages(a, sizes[1]))
+            theirs = self.held[n]
+            if len(theirs & (held_q | held_a)) >= self.total[n]:
+                out.append((n, coverage(eq, sizes[0], held_q), coverage(ea, sizes[1], held_a), alike_q, alike_a))
+        return out
+
+
+def _scan(same: float):
+    names = ["train_class", "eval_class", "question_coverage", "answer_coverage", "question_same", "answer_same"]
+
+    def run(key, train: pd.DataFrame, evaluation: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if owners and len(train):
-            for passage, k in numbers.items():
-                automaton.add_word(f" {passage} ", k)
-            automaton.make_automaton()
-            need = evaluation["need"].tolist()
-            columns = (evaluation["class"], evaluation["q"], evaluation["a"])
-            records = list(zip(*columns, strict=True))
-            kept: dict[int, set[str]] = {}
+        if len(train) and len(evaluation):
+            shard = Shard(list(zip(evaluation["q"], evaluation["a"], strict=True)), same)
+            classes = evaluation["class"].tolist()
             for name, q, a in zip(train["class"], train["q"], train["a"], strict=True):
-                hit = {k for _, k in automaton.iter(f" {q} {BREAK} {a} ")}
-                counts = Counter(chain.from_iterable(map(owners.__getitem__, hit)))
-                found = [n for n, c in counts.items() if c >= need[n]]
-                if not found:
-                    continue
-                held_q, held_a = set(passages(q)), set(passages(a))
-                held = held_q | held_a
-                for n in found:
-                    other, eq, ea = records[n]
-                    if n not in kept:
-                        kept[n] = set(passages(eq)) | set(passages(ea))
-                    theirs = kept[n]
-                    if len(held & theirs) < SHARED * len(theirs):
-                        continue
-                    cover_q, cover_a = coverage(eq, held_q), coverage(ea, held_a)
-                    if cover_q < min_coverage or cover_a < min_coverage:
-                        continue
-                    alike_q, alike_a = same_words(q, eq), same_words(a, ea)
-                    if alike_q >= min_same and alike_a >= min_same:
-                        out.append((name, other, cover_q, cover_a, alike_q, alike_a))
-        return pd.DataFrame(out, columns=schema_columns)
+                out += [(name, classes[n], *figures) for n, *figures in shard.matches(q, a)]
+        return pd.DataFrame(out, columns=names)
 
     return run
 
@@ -132,7 +212,6 @@ def cross_split_overlaps(
     split: str = "split",
     question: str = "question",
     answer: str = "expected_answer",
-    min_coverage: float = COVERAGE,
     min_same: float = SAME_WORDS,
     shard_records: int = SHARD_RECORDS,
     block_records: int = BLOCK_RECORDS,
@@ -140,56 +219,20 @@ def cross_split_overlaps(
     """Pairs (train_id, eval_id, question_coverage, answer_coverage, question_same, answer_same)."""
     side = F.when(F.col(split) == "train", "train").when(F.col(split).isin("dev", "test"), "eval")
     chosen = rows.select(F.col(id_col).cast("string").alias("id"), side.alias("side"), F.col(question).alias("question"), F.col(answer).alias("answer"))
-    normal = chosen.where("id IS NOT NULL AND side IS NOT NULL").mapInPandas(_normal, "id string, side string, q string, a string")
-    normal = materialize(
-        normal.where("q <> '' AND a <> ''").withColumn("class", F.unhex(F.md5(F.concat_ws("\n", "q", "a")))), "p5-normal"
-    )
+    normal = spread(chosen.where("id IS NOT NULL AND side IS NOT NULL")).mapInPandas(_normal, "id string, side string, q string, a string")
+    normal = materialize(normal.where("q <> '' AND a <> ''").withColumn("class", F.unhex(F.md5(F.concat_ws("\n", "q", "a")))), "p5-normal")
     classes = materialize(normal.select("class", "side", "q", "a").dropDuplicates(["class", "side"]), "p5-classes")
-
-    def starts(w: Column) -> Column:
-        return F.sequence(F.lit(0), F.greatest(F.size(w) - PASSAGE, F.lit(0)))
-
-    def digest(w: Column, i: Column) -> Column:
-        return F.xxhash64(*[F.get(w, i + k) for k in range(PASSAGE)])
-
-    def digests_of(c: str) -> Column:
-        return F.transform(starts(F.col(c)), lambda i: digest(F.col(c), i))
-
-    split_words = classes.withColumns({"wq": F.split("q", " "), "wa": F.split("a", " ")})
-    digests = F.array_distinct(F.concat(digests_of("wq"), digests_of("wa")))
-    counts = split_words.select(F.explode(digests).alias("passage")).groupBy("passage").agg(F.count("*").alias("df"))
-    asked = split_words.where("side = 'eval'")
-    ranked = (
-        asked.select("class", F.explode(digests).alias("passage"))
-        .join(counts, "passage")
-        .groupBy("class")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "passage"))).alias("all"))
-    )
-    least = F.ceil(F.size("all") * F.lit(SHARED)).cast("int")
-    need = F.least(F.lit(HITS), least)
-    # a passage that stands in one record only cannot be hit, but counts among the record's passages
-    chosen = F.transform(F.filter(F.slice("all", F.lit(1), F.size("all") - least + need), lambda g: g["df"] > 1), lambda g: g["passage"])
-    rare = ranked.select("class", need.alias("need"), chosen.alias("chosen"))
-
-    def spelled(c: str) -> Column:
-        w = F.col(c)
-        return F.transform(
-            F.filter(starts(w), lambda i: F.array_contains("chosen", digest(w, i))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(PASSAGE)), " ")
-        )
-
-    evaluation = asked.join(rare, "class").select("class", "q", "a", "need", F.array_distinct(F.concat(spelled("wq"), spelled("wa"))).alias("rare"))
-    evaluation = materialize(evaluation, "p5-eval")
-    train = classes.where("side = 'train'").select("class", "q", "a")
-    shards = max(1, -(-evaluation.count() // shard_records))
-    blocks = max(1, -(-train.count() // block_records))
-    left = train.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    sizes = {r.side: r.n for r in classes.groupBy("side").agg(F.count("*").alias("n")).collect()}  # two rows
+    shards, blocks = max(1, -(-sizes.get("eval", 0) // shard_records)), max(1, -(-sizes.get("train", 0) // block_records))
+    digest = F.xxhash64("class")
+    left = classes.where("side = 'train'").select(
+        "class", "q", "a", F.pmod(digest, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     )
-    right = evaluation.withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    right = classes.where("side = 'eval'").select(
+        "class", "q", "a", F.pmod(digest, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     )
     schema = "train_class binary, eval_class binary, question_coverage double, answer_coverage double, question_same double, answer_same double"
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_scan(min_coverage, min_same), schema)
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_scan(min_same), schema)
     found = materialize(found, "p5-found")
     members = normal.select("id", "side", "class")
     trains = members.where("side = 'train'").select(F.col("id").alias("train_id"), F.col("class").alias("train_class"))

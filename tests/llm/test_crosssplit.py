@@ -15,7 +15,7 @@ def brute(rows):
     for a in rows:
         for b in rows:
             if a[1] == "train" and b[1] in ("dev", "test") and all((a[2], a[3], b[2], b[3])):
-                x, y = [(" ".join(words(r[2])), " ".join(words(r[3]))) for r in (a, b)]
+                x, y = [(words(r[2]), words(r[3])) for r in (a, b)]
                 if all((*x, *y)) and min(crosssplit.same_words(x[0], y[0]), crosssplit.same_words(x[1], y[1])) >= crosssplit.SAME_WORDS:
                     out.add((a[0], b[0]))
     return out
@@ -48,7 +48,45 @@ def test_equals_all_pairs(spark):
 
 
 def test_coverage_merges_intervals():
-    assert crosssplit.coverage("a b c d e", {"a b c", "b c d"}) == 0.8 and crosssplit.coverage("a b c d e", set()) == 0 and crosssplit.passages("a b") == ["a b"]
+    assert crosssplit.coverage("abcde", 3, {"abc", "bcd"}) == 0.8 and crosssplit.coverage("abcde", 3, set()) == 0 and crosssplit.passages("ab", 2) == ["ab"]
+
+
+def changed(rng, text, share, kind):
+    """The words of ``text`` in order, with as many spread-out changes as leave the share of equal words."""
+    out, n = list(text), len(text)
+    most = n - -int(-share * n // 1)
+    at = sorted(rng.sample(range(n), most)) if kind == "random" else [int((k + 0.5) * n / max(1, most)) for k in range(most)]
+    for k in reversed(at):
+        if kind == "left out":
+            del out[k]
+        else:
+            out[k] = f"new{rng.random()}"
+    if kind == "put in":
+        out = list(text)
+        for k in range(int(n / share) - n):
+            out.insert(int((k + 1) * len(out) / (int(n / share) - n + 1)), f"new{rng.random()}")
+    return out
+
+
+def test_no_pair_of_the_criterion_is_lost():
+    """Spread-out changes down to the least share of equal words, in texts of every length, in one house style."""
+    rng = random.Random(9)
+    vocabulary = [f"w{n}" for n in range(3000)]
+    phrase = rng.sample(vocabulary, 12)
+    records, asked = [], []
+    for n in range(1, 90):
+        for kind in ("random", "even", "left out", "put in"):
+            q, a = (phrase + rng.sample(vocabulary, n))[-n - 6 :] if n > 10 else rng.sample(vocabulary, n), rng.sample(vocabulary, max(1, 90 - n))
+            records.append((" ".join(q), " ".join(a)))
+            asked.append(tuple(" ".join(changed(rng, t, crosssplit.SAME_WORDS, kind)) for t in (q, a)))
+    shard = crosssplit.Shard(records)
+    for n, (q, a) in enumerate(asked):
+        same = [crosssplit.same_words(x.split(), y.split()) for x, y in zip((q, a), records[n], strict=True)]
+        if min(same) >= crosssplit.SAME_WORDS:
+            assert n in [m for m, *_ in shard.matches(q, a)], (n, records[n], q, a)
+    fourth = " ".join(f"k{n}" if n % 4 else "x" for n in range(40)), " ".join(f"v{n}" if n % 4 else "y" for n in range(40))
+    whole = " ".join(f"k{n}" for n in range(40)), " ".join(f"v{n}" for n in range(40))
+    assert crosssplit.Shard([whole]).matches(*fourth)
 
 
 def test_empty(spark):
