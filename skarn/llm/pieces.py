@@ -1,30 +1,35 @@
 """Problem 6: splitting oversized items at natural boundaries.
 
-Method: token offset prefix sums with a sorted boundary array. The offsets at which a text may be cut (after blank
-lines, line ends, sentence ends, spaces) are sorted once per kind; a binary search finds the last boundary under the
-limit, the next piece steps back by the overlap, and a stretch without any boundary is cut hard at the limit.
+Method: token offset prefix sums with a sorted boundary array. ``offsets[i]`` is the size of the first i characters; a
+binary search on it finds the last character a piece may hold, one on the sorted boundaries of a kind (after blank lines,
+line ends, sentence ends, at spaces) the last place to cut before that, one on the offsets again the step back by the
+overlap. A stretch without any white space is cut hard at the limit.
 
-Sizes are characters by default: the prefix sums are then the positions themselves. With a ``weights`` function (for
-instance tokens of each word) the same search runs on the prefix sums of those weights.
+Sizes are characters by default, the offsets then the positions themselves. With ``weights`` (:func:`token_weights`: one
+at the first character of each token of a public tokenizer) limit and overlap are tokens.
 
 A boundary of a better kind is taken if it leaves the piece at least ``1 - window`` full; otherwise the next kind is
-tried. Pieces are exact substrings: dropping each piece's first ``overlap`` characters and joining gives the text back.
+tried. Where the overlap leaves no boundary in reach, it is shortened so far that the next one is. So a hard cut is made
+only inside an unbroken stretch that is longer than the limit: a text with one is 'forced', told by its cuts. Pieces are
+exact substrings: dropping each piece's first ``overlap`` characters and joining gives the text back.
 
 Defined results. Null text: no piece. Empty text and text within the limit: one piece, the text itself. Overlap is cut
-back to a word start where there is one, and is shorter at hard cuts only if the text before is shorter. Repeated rows:
-each has its pieces. Row numbers need not be unique for the splitting; the caller's key is carried along.
+back to a word start where there is one. Repeated rows: each has its pieces. Row numbers need not be unique for the
+splitting; the caller's key is carried along. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.llm.packing import encoding
+
 OVERLAP = 200
 WINDOW = 0.5
 #: Kinds of boundary from best to worst; a match's end is a place to cut.
@@ -38,29 +43,52 @@ NAMES = ("blank_line", "line_end", "sentence_end", "space", "hard")
 SCHEMA = (
     "table_name string, row_no long, piece_no int, start_at int, end_at int, overlap int, cut string, kind string, piece string"
 )
-_UNBROKEN = re.compile(r"\S+")
+_SPACE = re.compile(r"\s+")
+
+
+def token_weights(tokenizer: str) -> Callable[[str], np.ndarray]:
+    """Weights of a text's characters: how many tokens of the public tokenizer start at each."""
+
+    def weigh(text: str) -> np.ndarray:
+        encode = encoding(tokenizer)
+        _, starts = encode.decode_with_offsets(encode.encode_ordinary(text))
+        return np.bincount(np.array(starts, dtype=np.int64), minlength=len(text)) if starts else np.zeros(len(text), dtype=np.int64)
+
+    return weigh
 
 
-def longest_unbroken(text: str) -> int:
-    """Length of the longest stretch without white space."""
-    return max((m.end() - m.start() for m in _UNBROKEN.finditer(text)), default=0)
+def _boundaries(text: str) -> list[np.ndarray]:
+    """Sorted places to cut by kind; at a space both its ends."""
+    found = [np.fromiter((m.end() for m in kind.finditer(text)), dtype=np.int64) for kind in KINDS[:-1]]
+    return found + [np.unique(np.fromiter((p for m in _SPACE.finditer(text) for p in m.span()), dtype=np.int64))]
 
 
-def split_text(text: str, limit: int, overlap: int = OVERLAP, window: float = WINDOW) -> list[tuple[int, int, int, str]]:
-    """Pieces as (start, end, overlap with the piece before, kind of the cut at the end); ``end - start <= limit``."""
+def split_text(text: str, limit: int, overlap: int = OVERLAP, window: float = WINDOW, weights: np.ndarray | None = None) -> list[tuple[int, int, int, str]]:
+    """Pieces as (start, end, overlap with the piece before, kind of the cut at the end), each of at most ``limit``."""
     if limit <= overlap:
         raise ValueError("the limit must exceed the overlap")
     n = len(text)
-    if n <= limit:
+    offsets = np.arange(n + 1) if weights is None else np.concatenate([[0], np.cumsum(weights)])
+    if offsets[n] <= limit:
         return [(0, n, 0, "end")]
-    boundaries = [np.fromiter((m.end() for m in kind.finditer(text)), dtype=np.int64) for kind in KINDS]
-    spaces = boundaries[-1]
+    boundaries = _boundaries(text)
+    spaces, words = boundaries[-1], np.fromiter((m.end() for m in _SPACE.finditer(text)), dtype=np.int64)
     out: list[tuple[int, int, int, str]] = []
     start, lead = 0, 0
-    while n - start > limit:
-        most, fresh = start + limit, start + lead
+    while offsets[n] - offsets[start] > limit:
+        fresh = start + lead
+        # the first place to cut beyond the overlap must be in reach, else the overlap gives way
+        k = int(np.searchsorted(spaces, fresh, "right"))
+        after = int(spaces[k]) if k < len(spaces) else n
+        if lead and offsets[after] - offsets[start] > limit >= offsets[after] - offsets[fresh]:
+            start = int(np.searchsorted(offsets, offsets[after] - limit, "left"))
+            lead = fresh - start
+            continue
+        most = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
+        most = max(most, fresh + 1)  # one character at least, whatever it weighs
+        least = int(np.searchsorted(offsets, offsets[start] + int(limit * (1 - window)), "left"))
         end, cut = most, "hard"
-        for floor in (max(fresh, start + int(limit * (1 - window))), fresh):
+        for floor in (max(fresh, least), fresh):
             for name, at in zip(NAMES, boundaries, strict=False):
                 k = int(np.searchsorted(at, most, "right")) - 1
                 if k >= 0 and at[k] > floor:
@@ -68,17 +96,19 @@ def split_text(text: str, limit: int, overlap: int = OVERLAP, window: float = WI
                     break
             if cut != "hard":
                 break
+        if cut == "hard" and text[most - 1].isspace():  # inside white space longer than a piece
+            cut = "space"
         out.append((start, end, lead, cut))
-        back = max(0, end - overlap)
-        k = int(np.searchsorted(spaces, back, "left"))
-        begin = int(spaces[k]) if k < len(spaces) and spaces[k] < end else back
-        begin = max(begin, start + 1)
+        back = int(np.searchsorted(offsets, offsets[end] - overlap, "left"))
+        k = int(np.searchsorted(words, back, "left"))
+        begin = int(words[k]) if k < len(words) and words[k] < end else back
+        begin = min(max(begin, start + 1), end)
         start, lead = begin, end - begin
     out.append((start, n, lead, "end"))
     return out
 
 
-def _split(limits: dict[str, int], overlap: int, window: float):
+def _split(limits: dict[str, int], overlap: int, window: float, weigh: Callable[[str], np.ndarray] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
             [("table_name", pa.string()), ("row_no", pa.int64()), ("piece_no", pa.int32()), ("start_at", pa.int32()), ("end_at", pa.int32())]
@@ -89,9 +119,9 @@ def _split(limits: dict[str, int], overlap: int, window: float):
             for name, row_no, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if text is None:
                     continue
-                limit = limits[name]
-                kind = "whole" if len(text) <= limit else "forced" if longest_unbroken(text) > limit else "boundary"
-                for k, (start, end, lead, cut) in enumerate(split_text(text, limit, overlap, window)):
+                cuts = split_text(text, limits[name], overlap, window, weigh(text) if weigh else None)
+                kind = "whole" if len(cuts) == 1 else "forced" if any(cut == "hard" for *_, cut in cuts) else "boundary"
+                for k, (start, end, lead, cut) in enumerate(cuts):
                     rows.append((name, row_no, k, start, end, lead, cut, kind, text[start:end]))
             columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -106,12 +136,13 @@ def split_pieces(
     text: str = "text",
     overlap: int = OVERLAP,
     window: float = WINDOW,
+    weigh: Callable[[str], np.ndarray] | None = None,
 ) -> DataFrame:
     """Pieces of every text of the named tables; map-only, each text is cut where it is read."""
     out = None
     for name, df in tables.items():
         rows = df.select(F.lit(name).alias("table_name"), F.col(key).cast("long").alias("row_no"), F.col(text).alias("text"))
-        pieces = rows.mapInArrow(_split(limits, overlap, window), SCHEMA)
+        pieces = rows.mapInArrow(_split(limits, overlap, window, weigh), SCHEMA)
         out = pieces if out is None else out.unionByName(pieces)
     return out
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skarn.llm import pieces
+from skarn.llm import packing, pieces
 
 
 def check(text, limit, overlap):
@@ -39,6 +40,30 @@ def test_overlap_starts_at_a_word():
     assert all(text[s - 1] == " " and 15 <= lead <= 22 for s, _, lead, _ in out[1:])
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.text(st.sampled_from("aaaaaaaaab \n."), max_size=300), st.integers(11, 40), st.integers(0, 10))
+def test_hard_cuts_only_in_long_stretches(text, limit, overlap):
+    if len(text) > limit:
+        longest = max(map(len, text.split()), default=0)
+        assert any(cut == "hard" for *_, cut in check(text, limit, overlap)) == (longest > limit)
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.text(st.sampled_from("ab .\n\t "), max_size=200), st.integers(4, 20), st.integers(0, 3), st.randoms())
+def test_limit_by_weights(text, limit, overlap, rng):
+    weights = np.array([rng.choice([0, 1, 1, 2]) for _ in text], dtype=np.int64)
+    out = pieces.split_text(text, limit, overlap, weights=weights)
+    assert "".join(text[s + lead : e] for s, e, lead, _ in out) == text
+    assert all(weights[s:e].sum() <= limit for s, e, *_ in out) and all(weights[s : s + lead].sum() <= overlap for s, _, lead, _ in out)
+
+
+def test_limit_in_tokens():
+    text = "The guest asks for a late check-out. " * 80
+    weigh = pieces.token_weights(packing.TOKENIZER)
+    out = pieces.split_text(text, 64, 8, weights=weigh(text))
+    assert len(out) > 8 and all(weigh(text)[s:e].sum() <= 64 for s, e, *_ in out) and {cut for *_, cut in out[:-1]} == {"sentence_end"}
+
+
 def test_operator(spark):
     rows = [(1, "short", "x"), (2, None, "x"), (3, "", "x"), (4, "a" * 50, "x"), (5, "word " * 20, "x"), (5, "word " * 20, "x"), (6, "x" * 40, "x"), (7, "y" * 2_000_00, "x")]
     df = spark.createDataFrame(rows, "row_no long, text string, kind string")
