@@ -2,12 +2,14 @@
 
 Method: best-two-fit. Sizes are tokens of a public tokenizer whose vocabulary file is a parameter. In each shard of
 items a container is filled greedily, largest fitting item first; then its smallest item is taken out if two unpacked
-items fit the gap that leaves more tightly than the smallest item did. Free sizes are bits of one integer, so "largest
+items fit the gap that leaves more tightly than the smallest item did, and so on while that helps. Free sizes are bits of one integer, so "largest
 item of at most x" and "two items of exactly x" are a few machine operations. Containers under ``merge_below`` full are
-opened again and their items move upward, ``fan_in`` shards into one, until one shard is left.
+opened again and their items move upward, into as many shards as their number asks for. The level that holds at most one
+shard of items is the last; so is the one after a level that left more than ``least_gain`` of its items over, as items
+that fit nowhere well (all a little over half a container, say) gain nothing by moving on.
 
-Only (id, number of tokens) leaves the task that reads a text. A shard holds ``shard_items`` items on average, an upper
-shard what its shards could not pack well, a few containers each; neither grows with the data.
+Only (id, number of tokens) leaves the task that reads a text. A shard holds ``shard_items`` items on average at every
+level, the last one included.
 
 An item larger than a container is cut into full containers of its own and a remainder, which is packed like an item.
 
@@ -30,7 +32,7 @@ from skarn.plans.spread import spread
 CAPACITY = 2_048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARD_ITEMS = 20_000
-FAN_IN = 16
+LEAST_GAIN = 0.5
 MERGE_BELOW = 0.995
 #: Fixed value: the split pattern that goes with the 50k byte-level vocabulary, as its publishers state it.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -119,12 +121,11 @@ def best_two_fit(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         while size := free.largest(gap):
             packed.append((size, free.take(size)))
             gap -= size
-        if gap and len(packed) > 1:
-            size, item = packed[-1]
-            if pair := free.two(min(gap + size, capacity), size):
-                packed.pop()
-                packed += [(s, free.take(s)) for s in pair]
-                free.put(size, item)
+        while gap and len(packed) > 1 and (pair := free.two(gap + packed[-1][0], packed[-1][0])):
+            size, item = packed.pop()
+            packed += [(s, free.take(s)) for s in pair]
+            free.put(size, item)
+            gap += size - sum(pair)
         out.append([item for _, item in packed])
     return out
 
@@ -155,7 +156,7 @@ def pack(
     counts: DataFrame,
     capacity: int = CAPACITY,
     shard_items: int = SHARD_ITEMS,
-    fan_in: int = FAN_IN,
+    least_gain: float = LEAST_GAIN,
     merge_below: float = MERGE_BELOW,
 ) -> DataFrame:
     """(doc_id, n_tokens) -> (container, doc_id, piece_no, n_tokens, fill): one row per document or piece of a large one."""
@@ -176,21 +177,22 @@ def pack(
         F.when(F.col("n_tokens") > capacity, full).otherwise(0).alias("piece_no"),
         F.when(F.col("n_tokens") > capacity, F.col("n_tokens") % capacity).otherwise(F.col("n_tokens")).alias("n_tokens"),
     ).where((F.col("piece_no") == 0) | (F.col("n_tokens") > 0))
-    shards = max(1, -(-counts.count() // shard_items))
-    level_rows = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    out, level = own, 0
+    left = counts.count()
+    level_rows, out, level, last = rest, own, 0, False
     while True:
-        last = shards == 1
-        done = level_rows.groupBy("shard").applyInPandas(_pack(capacity, merge_below, level, last), PACKED + ", shard int")
+        shards = max(1, -(-left // shard_items))
+        last = last or shards == 1
+        # another seed a level, so that what met no match meets others
+        dealt = level_rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(shards)).cast("int"))
+        done = dealt.groupBy("shard").applyInPandas(_pack(capacity, merge_below, level, last), PACKED + ", shard int")
         done = materialize(done, "p7-level")
         out = out.unionByName(done.where("container IS NOT NULL").drop("shard"))
         if last:
             return out
-        shards = -(-shards // fan_in)
+        level_rows = done.where("container IS NULL").select("doc_id", "piece_no", "n_tokens")
+        before, left = left, level_rows.count()
+        last = left > least_gain * before
         level += 1
-        level_rows = done.where("container IS NULL").select(
-            "doc_id", "piece_no", "n_tokens", F.floor(F.col("shard") / fan_in).cast("int").alias("shard")
-        )
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

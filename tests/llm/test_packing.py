@@ -29,7 +29,7 @@ def test_two_for_one():
 def test_pack(spark, shard_items):
     rng = random.Random(7)
     rows = [(n, rng.randrange(1, 90)) for n in range(700)] + [(1000, 0), (1001, 0), (1002, 250), (1003, 200), (1003, 200), (1004, 100)]
-    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens int"), 100, shard_items, fan_in=3, merge_below=0.97).collect()
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens int"), 100, shard_items, merge_below=0.97).collect()
     tokens, fills = {}, {}
     for r in packed:
         tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.n_tokens
@@ -43,6 +43,15 @@ def test_pack(spark, shard_items):
     assert None not in fills
 
 
+def test_items_that_fit_nowhere_well_stay_in_bounded_shards(spark):
+    packed = packing.pack(spark.range(400).selectExpr("id AS doc_id", "55 AS n_tokens"), 100, shard_items=50).collect()
+    assert len({r.container for r in packed}) == 400
+    shards = {}
+    for r in packed:
+        shards.setdefault(r.container.rsplit("-", 1)[0], []).append(r)
+    assert len(shards) >= 6 and max(map(len, shards.values())) <= 100
+
+
 def test_counts_and_report(spark):
     docs = spark.createDataFrame([(1, "Hello world, hello world."), (2, None), (3, ""), (4, "a" * 30_000)], "doc_id long, text string")
     counts = packing.token_counts(docs)
