@@ -207,5 +207,15 @@ def sample_report(sample: DataFrame, report: DataFrame, labels: Sequence[str] =
         "available",
         F.coalesce(F.col("drawn"), F.lit(0)).cast("long").alias("drawn"),
         (F.coalesce(F.col("drawn"), F.lit(0)) - F.col("needed")).cast("long").alias("residual"),
-        (F.col("available") >= F.col("needed")).alias("met"),
+        (F.coalesce(F.col("drawn"), F.lit(0)) >= F.col("needed")).alias("met"),
     )
+
+
+def margin_report(by_target: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """Residual imbalance of each single label: (label, value, needed, drawn, residual), from :func:`sample_report`.
+
+    The strata refine the labels, so a sample balanced on the strata is balanced on every label.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("value")) for c in labels])).alias("l")
+    sums = by_target.select(each, "needed", "drawn").groupBy("l.label", "l.value").agg(F.sum("needed").alias("needed"), F.sum("drawn").alias("drawn"))
+    return sums.withColumn("residual", F.col("drawn") - F.col("needed"))

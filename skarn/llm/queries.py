@@ -27,6 +27,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_report(spark, sf_dir).where(~F.col("met")).select("module", "category", "difficulty")
 
 
+def p1_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows needed and drawn by single label."""
+    return balanced.margin_report(p1_report(spark, sf_dir))
+
+
 def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = table(spark, sf_dir, "benchmark_seed")
@@ -141,7 +146,7 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p5_found, p5_report, p6_found, p6_pieces, p7_containers, p7_report, p8_found)
+    for f in (p1_found, p1_report, p1_margins, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p5_found, p5_report, p6_found, p6_pieces, p7_containers, p7_report, p8_found)
     + (p8_overlaps, p9_found, p9_canonical)
 }
 
@@ -179,6 +184,9 @@ _TASK_SQL = "'b:' || lower(regexp_extract({0}, '{1}', 1)) || '-' || lower(regexp
 SQL: dict[str, str] = {
     "p1_report": _LABELS
     + " SELECT *, least(needed, available) AS drawn, least(needed, available) - needed AS residual, available >= needed AS met FROM t",
+    "p1_margins": _LABELS
+    + """, l AS (SELECT unnest(['module', 'category', 'difficulty']) AS label, unnest([module, category, difficulty]) AS value, needed, least(needed, available) AS drawn FROM t)
+        SELECT label, value, sum(needed)::BIGINT AS needed, sum(drawn)::BIGINT AS drawn, (sum(drawn) - sum(needed))::BIGINT AS residual FROM l GROUP BY ALL""",
     "p3_found": f"""
         WITH RECURSIVE m AS (SELECT example_id AS record_id, array_to_string({_SAID}, chr(10)) AS t FROM sft_train),
         k AS (
