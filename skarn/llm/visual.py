@@ -1,8 +1,10 @@
 """Problem 9: visually identical text with different characters.
 
 Method: DuckDB inside Arrow partitions. Every Arrow batch is registered in an in-process database and rewritten by one
-SQL expression of ``translate`` (look-alikes, full-width forms, spaces, invisible characters), ``regexp_replace`` (line
-ends) and ``nfc_normalize`` (accents). No row leaves its task; the pair search then shuffles two 16-byte digests a row.
+SQL expression of ``translate`` (look-alikes, full-width forms, spaces), ``regexp_replace`` (line ends, invisible
+characters, ligatures) and ``nfc_normalize`` (accents). No row leaves its task; the pair search then shuffles two 16-byte
+digests a row. Different strings of a class are paired first, members come back by salted joins, so equal strings cost
+nothing but the pairs that are asked for.
 
 Defined results. Null text: canonical form null, never in a pair. Empty text: form ''. A text of invisible characters
 only: form '', which looks the same as the empty text. Repeated rows and equal strings: no pair among themselves, each
@@ -15,26 +17,47 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.chars import REPLACEMENTS
+from skarn.plans.shared import materialize
+from skarn.plans.skew import salted_join
 from skarn.plans.spread import spread
 
-#: Rows of one class that a pair task holds on each side.
-BLOCK_ROWS = 2_000
+#: Strings of one class that a pair task holds on each side.
+BLOCK_STRINGS = 2_000
+#: Bytes of text that DuckDB gets at once.
+BATCH_BYTES = 16_000_000
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _class(characters: str) -> str:
+    """A regular expression for one or more of the characters, neighbours as ranges."""
+    points = sorted(map(ord, characters))
+    ranges: list[list[int]] = []
+    for p in points:
+        if ranges and p == ranges[-1][1] + 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in ranges) + "]+"
+
+
 def canonical_sql(column: str) -> str:
-    """SQL for the visible form of ``column``. Characters beyond the length of the second list are deleted."""
-    kept = {a: b for a, b in REPLACEMENTS.items() if b}
-    source = "".join(kept) + "".join(a for a, b in REPLACEMENTS.items() if not b)
-    target = "".join(kept.values())
-    mapped = f"nfc_normalize(translate({column}, {_quoted(source)}, {_quoted(target)}))"
+    """SQL for the visible form of ``column``."""
+    kept = {a: b for a, b in REPLACEMENTS.items() if len(b) == 1}
+    nothing = "".join(a for a, b in REPLACEMENTS.items() if not b)
+    mapped = f"translate({column}, {_quoted(''.join(kept))}, {_quoted(''.join(kept.values()))})"
+    mapped = f"regexp_replace({mapped}, {_quoted(_class(nothing))}, '', 'g')"
+    for ligature, letters in REPLACEMENTS.items():
+        if len(letters) > 1:
+            mapped = f"replace({mapped}, {_quoted(ligature)}, {_quoted(letters)})"
+    mapped = f"nfc_normalize({mapped})"
     ends = r"regexp_replace({0}, '\r\n?', chr(10), 'g')"
     return (
         f"CASE WHEN strlen({column}) = length({column}) AND NOT contains({column}, chr(13)) THEN {column} "
@@ -42,16 +65,30 @@ def canonical_sql(column: str) -> str:
     )
 
 
+def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of at most ``BATCH_BYTES`` of text, or one longer row."""
+    sizes = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
+    first, held = 0, 0
+    for row, size in enumerate(sizes):
+        if row > first and held + size > BATCH_BYTES:
+            yield batch.slice(first, row - first)
+            first, held = row, 0
+        held += size
+    if first < batch.num_rows or not batch.num_rows:
+        yield batch.slice(first)
+
+
 def _run(sql: str):
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         for batch in batches:
-            con.register("batch", pa.Table.from_batches([batch]))
-            result = con.sql(sql).to_arrow_table()
-            con.unregister("batch")
-            yield from result.to_batches()
+            for part in _bounded(batch):
+                con.register("batch", pa.Table.from_batches([part]))
+                result = con.sql(sql).to_arrow_table()
+                con.unregister("batch")
+                yield from result.to_batches()
         con.close()
 
     return rewrite
@@ -72,39 +109,30 @@ def visual_digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spread(rows).mapInArrow(_run(sql), "id long, look binary, raw binary")
 
 
-def visual_classes(digests: DataFrame) -> DataFrame:
-    """Classes with two or more different strings: (look, members, strings).
+def visual_strings(digests: DataFrame) -> DataFrame:
+    """The different strings of classes that have two or more: (look, raw, strings), strings their number in the class.
 
-    The first aggregation, on (look, raw), merges equal strings before the shuffle, so a third of all rows being one
-    string costs a row a task.
+    Equal strings are merged before the shuffle, so a third of all rows being one string costs a row a task.
     """
-    strings = digests.groupBy("look", "raw").agg(F.count("*").alias("n"))
-    return (
-        strings.groupBy("look").agg(F.sum("n").alias("members"), F.count("*").alias("strings")).where(F.col("strings") > 1)
-    )
+    strings = digests.select("look", "raw").distinct()
+    classes = strings.groupBy("look").agg(F.count("*").alias("strings")).where(F.col("strings") > 1)
+    return strings.join(classes, "look")
 
 
-def visual_members(digests: DataFrame) -> DataFrame:
-    """One row per document of a class: (id, look, raw, members)."""
-    return digests.join(visual_classes(digests), "look")
-
-
-def visual_pairs(digests: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def visual_pairs(digests: DataFrame, block_strings: int = BLOCK_STRINGS) -> DataFrame:
     """All pairs of documents that look the same and are not the same string, as (doc_id_a, doc_id_b), a < b.
 
-    Large classes are joined in blocks: one side is dealt over ``members / block_rows`` blocks by its id, the other is
-    repeated for each, so no task holds more than a block of one side at a time.
+    Pairs of strings first: in a large class one side is dealt over ``strings / block_strings`` blocks, the other is
+    repeated for each. Then the members of each string, by two joins that salt strings of many members.
     """
-    members = visual_members(digests)
-    blocks = F.ceil(F.col("members") / block_rows).cast("int")
-    left = members.select(
-        F.col("id").alias("doc_id_a"), "look", F.col("raw").alias("raw_a"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")
-    )
-    right = members.select(
-        F.col("id").alias("doc_id_b"), "look", F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
-    )
-    return (
-        left.join(right, ["look", "block"])
-        .where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("raw_a") != F.col("raw_b")))
-        .select("doc_id_a", "doc_id_b")
-    )
+    strings = materialize(visual_strings(digests), "p9-strings")
+    blocks = F.ceil(F.col("strings") / block_strings).cast("int")
+    left = strings.select("look", F.col("raw").alias("raw_a"), F.pmod(F.xxhash64("raw"), blocks).cast("int").alias("block"))
+    right = strings.select("look", F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    pairs = left.join(right, ["look", "block"]).where(F.col("raw_a") < F.col("raw_b")).select("raw_a", "raw_b")
+    members = materialize(salted_join(digests.select("id", "raw"), strings.select("raw"), "raw", "left_semi", "id"), "p9-members")
+    one = members.select(F.col("id").alias("id_a"), F.col("raw").alias("raw_a"))
+    two = members.select(F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
+    half = salted_join(one, pairs, "raw_a", "inner", "id_a").select("id_a", "raw_b")
+    both = salted_join(two, half, "raw_b", "inner", "id_b").where("id_a <> id_b")
+    return both.select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b"))
