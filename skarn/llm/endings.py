@@ -144,8 +144,11 @@ def closes(text: str, key: str, counts: Counter) -> None:
 
 
 def is_copy(text: str, question: str | None, least: float = 0.72) -> bool:
-    """The text is only the question: the same words but for slips, synonyms and a label, whatever the order."""
+    """The text is only the question, once or several times over: the same words but for slips, synonyms and a label,
+    whatever the order."""
     if not question:
         return False
     x, y = Counter(words(text)), Counter(words(question))
-    return sum((x & y).values()) >= least * max(1, sum(x.values()), sum(y.values()))
+    n, asked = sum(x.values()), sum(y.values())
+    times = max(1, round(n / max(1, asked)))
+    return sum(min(c, times * y[w]) for w, c in x.items()) >= least * max(1, n, times * asked)
