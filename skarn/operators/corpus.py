@@ -89,6 +89,14 @@ def counts_by(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs).groupBy("p.field", "p.value").agg(F.count("*").alias("rows"))
 
 
-def write_index(df: DataFrame, path: str) -> None:
-    """Vector table: overwritten as a whole, like a collection that is dropped and made again."""
-    df.write.mode("overwrite").parquet(path)
+def write_index(df: DataFrame, path: str, embedder: str = "hash") -> DataFrame:
+    """Vector table of (doc_id, text): embedded, written as a whole like a collection that is dropped and made again, and
+    read back for searches."""
+    from skarn.operators.retrieval import INDEX, index_texts
+
+    index_texts(df, embedder).write.mode("overwrite").parquet(path)
+    return read_index(df.sparkSession, path, INDEX)
+
+
+def read_index(spark, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)

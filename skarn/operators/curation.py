@@ -102,7 +102,7 @@ def cited_paths(answers: DataFrame, key: str, text_col: str, carry: list[str]) -
 
 
 def hallucination_rate(answers: DataFrame, valid: DataFrame, group: str, key: str, text_col: str) -> DataFrame:
-    """Per group: answers with paths, answers with an invalid path, paths and invalid paths, and both shares in percent."""
+    """Per group of judged answers: answers with paths, answers with an invalid path, paths and invalid paths, and both shares in percent."""
     cited = cited_paths(answers, key, text_col, [group])
     judged = cited.join(valid.select("path", F.lit(True).alias("ok")), "path", "left").select(group, key, F.coalesce("ok", F.lit(False)).alias("ok"))
     per_answer = judged.groupBy(group, key).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"))
@@ -124,6 +124,19 @@ def audit_paths(tasks: DataFrame, valid: DataFrame, key: str, text_col: str) ->
     return judged.groupBy(key).agg(F.count("*").alias("cited"), F.count("ok").alias("verified"), F.count_if(F.col("ok").isNull()).alias("missing"))
 
 
+def audit_totals(audited: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One row: tasks, tasks that cite paths, those with a missing one, paths cited, verified and missing."""
+    return (
+        tasks.agg(F.count("*").alias("tasks"))
+        .crossJoin(  # one row each
+            audited.agg(
+                F.count("*").alias("tasks_with_paths"), F.count_if(F.col("missing") > 0).alias("tasks_with_missing"), F.coalesce(F.sum("cited"), F.lit(0)).alias("cited"),
+                F.coalesce(F.sum("verified"), F.lit(0)).alias("verified"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"),
+            )
+        )
+    )
+
+
 #: Phrases of one automaton. More are looked up in further passes over the texts, so a task's memory is bounded.
 BLOCK_PHRASES = 100_000
 
@@ -186,6 +199,7 @@ def verify_claims(tasks: DataFrame, methods: DataFrame, texts: DataFrame, operat
         ).alias("note"),
     ).where("note IS NOT NULL")
     bare = tasks.select("id", F.explode(paths.gold(answer)).alias("path")).join(methods.select("path"), "path", "left_anti")
+    bare = bare.join(called.select("id", "path").distinct(), ["id", "path"], "left_anti")  # those are judged with their method
     on_bare = bare.select("id", F.concat(F.lit("PATH NOT IN CORPUS: "), "path").alias("note"))
     if suppress_bare:
         on_bare = on_bare.join(on_calls.where("note LIKE 'PATH NOT%'").select("id").distinct(), "id", "left_anti")

@@ -1,4 +1,4 @@
-"""Statistics of scored results. Rank statistics and tests are aggregations; only p-values are closed forms of one row."""
+"""Statistics of scored results. Rank statistics and tests are aggregations; p-values are expressions on their one row."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,9 +57,18 @@ def config_table(df: DataFrame, group: str) -> DataFrame:
         share(F.col("score") <= 2).alias("wrong_pct"),
         F.round(F.expr("percentile(latency_seconds, 0.5) FILTER (WHERE latency_seconds >= 0)"), 6).alias("median_latency_s"),
         F.round(F.expr("percentile(latency_seconds, 0.95) FILTER (WHERE latency_seconds >= 0)"), 6).alias("p95_latency_s"),
+        F.round(F.expr("percentile(length(coalesce(generated_answer, '')), 0.5)"), 6).alias("median_chars"),
     )
 
 
+def config_report(df: DataFrame, scores: DataFrame, rates: DataFrame, group: str = "config") -> DataFrame:
+    """The report row of :func:`config_table` with the interval of the mean of ``scores`` (:func:`task_scores`) and the share
+    of invalid paths of ``rates``."""
+    interval = bootstrap(scores, group, "score").select(group, "ci_low", "ci_high")
+    paths = rates.select(group, "bad_paths", "total_paths", "bad_path_pct")
+    return config_table(df, group).join(interval, group, "left").join(paths, group, "left")
+
+
 def task_scores(df: DataFrame, task: str = "task_id", config: str = "config") -> DataFrame:
     """One score a task and configuration: the mean of its judged rows."""
     return scored(df).groupBy(F.col(task).alias("task"), F.col(config).alias("config")).agg(F.avg("score").alias("score"))
@@ -110,30 +119,48 @@ def signed_ranks(diffs: DataFrame) -> DataFrame:
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48)
     z = F.try_divide(t - n * (n + 1) / 4, spread)
     return sums.select(
-        "label_a", "label_b", n.cast("long").alias("n"), F.round("w_plus", 6).alias("w_plus"), F.round("w_minus", 6).alias("w_minus"), F.round(z, 6).alias("z")
-    )
+        "label_a", "label_b", n.cast("long").alias("n"), F.round("w_plus", 6).alias("w_plus"), F.round("w_minus", 6).alias("w_minus"), F.round(z, 6).alias("z"),
+        F.round(normal_two_sided(z), 6).alias("p"),
+    )
+
+
+#: Intervals of the numerical integrals; with Simpson's rule good for more than the six places reported.
+STEPS = 400
+
+
+def _simpson(f, upper: Column) -> Column:
+    """Integral of ``f`` from 0 to ``upper``."""
+    h = upper / STEPS
+    weight = lambda i: F.when((i == 0) | (i == STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    points = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: weight(i) * f(i * h))
+    return F.aggregate(points, F.lit(0.0), lambda s, x: s + x) * h / 3
 
 
-def normal_two_sided(z: float | None) -> float | None:
-    return None if z is None else math.erfc(abs(z) / math.sqrt(2))
+def normal_two_sided(z: Column) -> Column:
+    """P(|Z| > |z|) of a standard normal."""
+    inside = _simpson(lambda x: F.exp(-x * x / 2), F.least(F.abs(z), F.lit(10.0)))
+    return F.when(z.isNotNull(), F.greatest(F.lit(0.0), 1 - 2 / math.sqrt(2 * math.pi) * inside))
 
 
-def chi_square_tail(x: float, df: int) -> float:
-    """P(X > x) of a chi-square with an integer number of degrees of freedom, in closed form."""
-    if x <= 0:
-        return 1.0
-    if df % 2 == 0:
-        term = total = math.exp(-x / 2)
-        for k in range(1, df // 2):
-            term *= x / 2 / k
-            total += term
-        return min(1.0, total)
-    total = math.erfc(math.sqrt(x / 2))
-    term = math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
-    for k in range(1, (df + 1) // 2):
-        total += term
-        term *= x / (2 * k + 1)
-    return min(1.0, total)
+def chi_square_tail(x: Column, df: Column) -> Column:
+    """P(X > x) of a chi-square with an integer number of degrees of freedom."""
+    half = x / 2
+    even = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), (df / 2).cast("int"))), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("t")),
+                       lambda a, k: F.struct((a["s"] + a["t"]).alias("s"), (a["t"] * half / k).alias("t")))["s"]
+    odd = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), ((df - 1) / 2).cast("int"))), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("t")),
+                      lambda a, k: F.struct((a["s"] + a["t"]).alias("s"), (a["t"] * x / (2 * k + 1)).alias("t")))["s"]
+    tail = normal_two_sided(F.sqrt(x)) + F.when(df == 1, 0.0).otherwise(F.sqrt(2 * x / math.pi) * F.exp(-half) * odd)
+    return F.when(x <= 0, 1.0).when(df % 2 == 0, F.exp(-half) * even).otherwise(F.least(F.lit(1.0), tail))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n pairs by the t distribution; the angle of t is integrated."""
+    nu = (n - 2).cast("double")
+    root = F.sqrt(nu)
+    f = lambda u: F.pow(F.greatest(F.lit(0.0), F.cos(u / root)), nu - 1)
+    most = F.least(root * (math.pi / 2), F.lit(12.0))
+    reach = F.least(root * F.atan(F.abs(r) / F.sqrt(1 - r * r)), most)
+    return F.when(n > 2, F.when(F.abs(r) >= 1, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - _simpson(f, reach) / _simpson(f, most))))
 
 
 def friedman(scores: DataFrame) -> DataFrame:
@@ -156,13 +183,15 @@ def friedman_by(scores: DataFrame, categories: DataFrame, least: int = 3) -> Dat
     n, kk = F.col("n").cast("double"), F.col("k").cast("double")
     raw = 12 / (n * kk * (kk + 1)) * F.sum(F.col("r") ** 2).over(every) - 3 * n * (kk + 1)
     correction = 1 - F.try_divide(F.col("tie"), n * kk * (kk**2 - 1))
+    chi = F.try_divide(raw, correction)
     return sums.join(ties, "category").select(
         "category",
         "config",
         F.round(F.col("r") / n, 6).alias("mean_rank"),
         F.row_number().over(every.orderBy(F.round(F.col("r") / n, 6), "config")).alias("place"),
         F.col("n").alias("tasks"),
-        F.round(F.try_divide(raw, correction), 6).alias("chi_square"),
+        F.round(chi, 6).alias("chi_square"),
+        F.round(chi_square_tail(chi, (F.col("k") - 1).cast("int")), 6).alias("p"),
     )
 
 
@@ -209,23 +238,6 @@ def bootstrap(df: DataFrame, group: str, value: str, replicates: int = REPLICATE
     return _interval(n, resampled_means(df, group, value, replicates, seed), group)
 
 
-def bootstrap_drawn(df: DataFrame, group: str, value: str, order: str, replicates: int, seed: int = 42) -> DataFrame:
-    """As ``bootstrap``, draw by draw as SQL can repeat it; for few replicates.
-
-    Draw d of replicate r takes the value at ``md5(seed|r|d) mod n``. Equal values are one entry of a histogram, and the
-    draws of a replicate are counted on its ranks, so what is joined is replicates times n small integers.
-    """
-    numbered = df.where(F.col(value).isNotNull()).select(
-        group, F.col(value).cast("double").alias("v"), (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).alias("i")
-    )
-    n = numbered.groupBy(group).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    plan = n.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("d", F.explode(F.expr("sequence(0L, n - 1)")))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("d").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = plan.select(group, "rep", (hashed % F.col("n")).cast("int").alias("i")).groupBy(group, "rep", "i").agg(F.count("*").alias("c"))
-    means = drawn.join(numbered, [group, "i"]).groupBy(group, "rep").agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("m"))
-    return _interval(n, means, group)
-
-
 def agreement(pairs: DataFrame) -> DataFrame:
     """(human, judge) -> n, exact and within-one agreement, mean bias (judge - human)."""
     gap = F.col("judge") - F.col("human")
@@ -264,4 +276,5 @@ def spearman(pairs: DataFrame) -> DataFrame:
         return hist.select(c, (upto - F.col("n") + (F.col("n") + 1) / 2.0).alias(f"rank_{c}"))
 
     both = pairs.join(ranks("x"), "x").join(ranks("y"), "y")
-    return both.agg(F.count("*").alias("n"), F.round(F.corr("rank_x", "rank_y"), 6).alias("rho"))
+    found = both.agg(F.count("*").alias("n"), F.corr("rank_x", "rank_y").alias("r"))
+    return found.select("n", F.round("r", 6).alias("rho"), F.round(correlation_p(F.col("r"), F.col("n")), 6).alias("p"))

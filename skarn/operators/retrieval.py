@@ -3,6 +3,9 @@
 The query set goes to the tasks in blocks of bounded size; slices of the corpus are scored against a block with one matrix
 product, and a task keeps only the ``k`` best rows of each query. What is shuffled is therefore k rows a query and task,
 not queries times rows. Scores are rounded to six places and ties go to the smaller id.
+
+A corpus is embedded and tokenised once, by :func:`index_texts`, whose table every block of queries and every variant
+reads; :func:`retrieve` picks a variant by its name.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skarn.functions.text import CAMEL_PIECE, TOKEN, subqueries
-from skarn.functions.text import tokens as token_column
 from skarn.plans.plugins import EMBEDDERS, RERANKERS, plugin
 from skarn.plans.shared import materialize
 from skarn.plans.spread import spread
@@ -122,67 +124,92 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, with_filter: b
     return _search(queries, columns, corpus.select("doc_id", "vector", *["module"] * with_filter), scan, k)
 
 
+INDEX = "doc_id long, text string, vector array<double>, terms array<string>, counts array<int>, n_terms int"
+
+
+def index_texts(corpus: DataFrame, embedder: str = "hash") -> DataFrame:
+    """(doc_id, text) -> the index: vector by the embedder, distinct terms with their counts, number of terms.
+
+    One pass over the texts, written once; everything else reads this table.
+    """
+
+    def run(batches):
+        model = plugin(EMBEDDERS, embedder)
+        for pdf in batches:
+            counted = [Counter(tokenise(t)) for t in pdf["text"]]
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"],
+                    "text": pdf["text"],
+                    "vector": list(model.embed(pdf["text"].tolist())),
+                    "terms": [list(c) for c in counted],
+                    "counts": [list(c.values()) for c in counted],
+                    "n_terms": [sum(c.values()) for c in counted],
+                }
+            )
+
+    return materialize(spread(corpus.select("doc_id", "text")).mapInPandas(run, INDEX), "index")
+
+
+def _indexed(corpus: DataFrame, embedder: str = "hash") -> DataFrame:
+    return corpus if "vector" in corpus.columns else index_texts(corpus, embedder)
+
+
 def text_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, embedder: str = "hash") -> DataFrame:
-    """Dense top-k of texts: both sides go through an embedder plug-in."""
+    """Dense top-k of texts: both sides go through an embedder plug-in, the corpus once."""
 
     def scan(block: pd.DataFrame):
+        q = plugin(EMBEDDERS, embedder).embed(block["question"].tolist())
+
         def run(batches):
-            model = plugin(EMBEDDERS, embedder)
-            q = model.embed(block["question"].tolist())
             found = Best(block["query_id"].to_numpy(), k)
             for pdf in _slices(batches, SLICE):
-                found.add(pdf["doc_id"].to_numpy(), q @ model.embed(pdf["text"].tolist()).T)
+                found.add(pdf["doc_id"].to_numpy(), q @ np.array(pdf["vector"].tolist()).T)
             yield found.frame()
 
         return run
 
-    return _search(queries, ["query_id", "question"], corpus.select("doc_id", "text"), scan, k)
+    return _search(queries, ["query_id", "question"], _indexed(corpus, embedder).select("doc_id", "vector"), scan, k)
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """BM25 with k1 1.5, b 0.75; negative idf becomes 0.25 of the mean idf over all terms. Documents that share no term
-    with the query score 0 and follow by id. Corpus statistics cover every document."""
-    # one pass: every term with its documents, and one marker a document that carries the lengths
-    marker = "\x00"
-    counted = spread(corpus.select("text")).select(token_column(F.col("text")).alias("t"))
-    terms = F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(marker)))).alias("term")
-    stats = materialize(
-        counted.select(F.size("t").alias("n"), terms).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == marker, F.col("n"))).alias("length")),
-        "bm25-terms",
-    )
-    size = stats.where(F.col("term") == marker).first()
-    rows = float(size.df) if size else 0.0
-    mean = (size.length / size.df if size else 1.0) or 1.0
-    df = stats.where(F.col("term") != marker)
-    idf = df.select("term", (F.log(F.lit(rows) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    with the query score 0 and follow by id. Corpus statistics cover every document; a block of queries fetches the
+    weights of its own terms only."""
+    index = _indexed(corpus)
+    size = index.agg(F.count("*").alias("rows"), F.avg("n_terms").alias("mean")).first()
+    rows, mean = float(size.rows), float(size.mean or 1.0) or 1.0
+    df = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = materialize(df.select("term", (F.log(F.lit(rows) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "bm25-idf")
     floor = EPSILON * (idf.agg(F.avg("idf")).first()[0] or 0.0)
-    asked = queries.select(F.explode(F.array_distinct(token_column(F.col("question")))).alias("term")).distinct()
-    weights = {r.term: r.idf if r.idf >= 0 else floor for r in idf.join(asked, "term").collect()}  # terms of the query set
 
     def scan(block: pd.DataFrame):
-        counts = [Counter(t for t in tokenise(q) if t in weights) for q in block["question"]]
-        terms = {t: i for i, t in enumerate(sorted(set().union(*counts)))} if counts else {}
+        own = [Counter(tokenise(q)) for q in block["question"]]
+        asked = index.sparkSession.createDataFrame([(t,) for t in sorted(set().union(*own))], "term string")
+        weights = {r.term: r.idf if r.idf >= 0 else floor for r in idf.join(F.broadcast(asked), "term").collect()}  # terms of one block
+        terms = {t: i for i, t in enumerate(sorted(weights))}
         q = np.zeros((len(block), max(1, len(terms))))
-        for n, own in enumerate(counts):
-            for t, c in own.items():
-                q[n, terms[t]] = c * weights[t]
+        for n, counts in enumerate(own):
+            for t, c in counts.items():
+                if t in terms:
+                    q[n, terms[t]] = c * weights[t]
         ids = block["query_id"].to_numpy()
 
         def run(batches):
             found = Best(ids, k)
             for pdf in _slices(batches, SLICE):
                 d = np.zeros((len(pdf), q.shape[1]))
-                for n, text in enumerate(pdf["text"]):
-                    every = tokenise(text)
-                    share = K1 * (1 - B + B * len(every) / mean)
-                    for t, c in Counter(t for t in every if t in terms).items():
-                        d[n, terms[t]] = c * (K1 + 1) / (c + share)
+                for n, (held, counts, size) in enumerate(zip(pdf["terms"], pdf["counts"], pdf["n_terms"], strict=True)):
+                    share = K1 * (1 - B + B * size / mean)
+                    for t, c in zip(held, counts, strict=True):
+                        if (at := terms.get(t)) is not None:
+                            d[n, at] = c * (K1 + 1) / (c + share)
                 found.add(pdf["doc_id"].to_numpy(), q @ d.T)
             yield found.frame()
 
         return run
 
-    return _search(queries, ["query_id", "question"], corpus.select("doc_id", "text"), scan, k)
+    return _search(queries, ["query_id", "question"], index.select("doc_id", "terms", "counts", "n_terms"), scan, k)
 
 
 def with_text(hits: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -209,7 +236,9 @@ def rerank(queries: DataFrame, pool: DataFrame, corpus: DataFrame, k: int = 5, r
     def run(batches):
         model = plugin(RERANKERS, reranker)
         for pdf in batches:
-            scores = [model.score(q, [t])[0] for q, t in zip(pdf["question"], pdf["text"], strict=True)]
+            scores = np.zeros(len(pdf))
+            for question, rows in pdf.groupby("question", sort=False).indices.items():  # one call a question
+                scores[rows] = model.score(question, pdf["text"].iloc[rows].tolist())
             yield pd.DataFrame({"query_id": pdf["query_id"], "doc_id": pdf["doc_id"], "pool_rank": pdf["rank"], "score": np.round(scores, 6)})
 
     rows = with_text(pool.select("query_id", "doc_id", "rank"), corpus).join(queries.select("query_id", "question"), "query_id")
@@ -218,13 +247,19 @@ def rerank(queries: DataFrame, pool: DataFrame, corpus: DataFrame, k: int = 5, r
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def multiquery_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, distinct: bool = False, embedder: str = "hash") -> DataFrame:
-    """The question and its parts, each with its share of k; union in order, first occurrence of a text wins, cut to k."""
+def multiquery_topk(
+    queries: DataFrame, corpus: DataFrame, k: int = 5, distinct: bool = False, embedder: str = "hash", base: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None
+) -> DataFrame:
+    """The question and its parts, each with its share of k; union in order, first occurrence of a text wins, cut to k.
+
+    ``base`` is the variant that answers each part, dense by default.
+    """
     parts = queries.select("query_id", subqueries(F.col("question"), distinct=distinct).alias("subs"))
     share = F.greatest(F.lit(2), F.floor(F.lit(k) / F.greatest(F.lit(1), F.size("subs"))).cast("int"))
     each = parts.select("query_id", F.posexplode("subs").alias("sub", "question"), share.alias("share"))
     numbered = each.select((F.col("query_id") * 8 + F.col("sub")).alias("sub_id"), "query_id", "sub", "share", "question")
-    hits = text_topk(numbered.select(F.col("sub_id").alias("query_id"), "question"), corpus, k, embedder)
+    search = base or (lambda q, c, n: text_topk(q, c, n, embedder))
+    hits = search(numbered.select(F.col("sub_id").alias("query_id"), "question"), corpus, k)
     owned = hits.withColumnRenamed("query_id", "sub_id").join(numbered.select("sub_id", "query_id", "sub", "share"), "sub_id").where("rank <= share")
     first = with_text(owned, corpus).groupBy("query_id", F.md5("text").alias("text_key")).agg(
         F.min(F.struct("sub", "rank", "doc_id", "score")).alias("f")
@@ -234,6 +269,38 @@ def multiquery_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, distinct:
     return ranked.select("query_id", "f.doc_id", "f.score", "rank")
 
 
+def hybrid_topk(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+    """Dense and BM25 pools, fused."""
+    index = _indexed(corpus)
+    pools = [materialize(search(queries, index, POOL), "pool") for search in (text_topk, bm25_topk)]
+    return hybrid_rrf(pools, index, k)
+
+
+def rerank_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, base: Callable[[DataFrame, DataFrame, int], DataFrame] = text_topk) -> DataFrame:
+    """The pool of a base variant, reranked."""
+    index = _indexed(corpus)
+    return rerank(queries, materialize(base(queries, index, POOL), "pool"), index, k)
+
+
+#: Retrieval variants by name.
+VARIANTS: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
+    "dense": text_topk,
+    "bm25": bm25_topk,
+    "hybrid": hybrid_topk,
+    "rerank": rerank_topk,
+    "hybrid_rerank": lambda q, c, k: rerank_topk(q, c, k, hybrid_topk),
+    "multiquery": multiquery_topk,
+    "hybrid_multiquery": lambda q, c, k: multiquery_topk(q, c, k, base=hybrid_topk),
+}
+
+
+def retrieve(variant: str, queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+    """Top-k by the named variant; an unknown name is an error."""
+    if variant not in VARIANTS:
+        raise KeyError(f"unknown retrieval variant {variant!r}; known: {', '.join(VARIANTS)}")
+    return VARIANTS[variant](queries, corpus, k)
+
+
 def retrieval_metrics(variants: dict[str, DataFrame], gold: DataFrame, corpus: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """Per variant and k: micro path recall, share of complete tasks, mean word coverage, recall of orchestration tasks.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skarn.functions import paths
 from skarn.functions.text import hash_order
@@ -81,10 +82,28 @@ def difficulty(steps: Column) -> Column:
 
 
 def inject(chunks: Column, gold: Column, key: Column, k: int = TOP_K, seed: int = 42) -> Column:
-    """The gold chunk at a slot drawn by digest, among the first k - 1 retrieved ones."""
+    """The gold chunk at a slot drawn by digest, among the first k - 1 retrieved ones; nothing where its text is there or null."""
     kept = F.slice(chunks, 1, k - 1)
     slot = F.conv(F.substring(hash_order(seed, key), 1, 8), 16, 10).cast("long") % (F.size(kept) + 1)
-    return F.array_insert(kept, (slot + 1).cast("int"), gold)
+    there = F.exists(chunks, lambda c: c["text"] == gold["text"])
+    return F.when(gold["text"].isNull() | there, chunks).otherwise(F.array_insert(kept, (slot + 1).cast("int"), gold))
+
+
+def build_set(pairs: DataFrame, lookup: DataFrame, system: str, key: str = "query_id", budget: int = MAX_CHARS, share: float = 0.05) -> DataFrame:
+    """The training set from (key, category, module, question, gold_answer, source_text, chunks): source chunk put in,
+    gold paths grounded, pairs that cannot be grounded dropped, trimmed to the budget, told as messages, split.
+
+    (key, messages, category, module, n_chars, subset): the smallest digests of the key are 'val'.
+    """
+    from skarn.operators.curation import train_val_split
+
+    none = F.lit(None).cast("string")
+    source = F.struct(F.col("source_text").alias("text"), none.alias("source_file"), none.alias("section"), F.lit(0.0).alias("distance"), F.lit(True).alias("protected"))
+    given = pairs.withColumn("chunks", inject(F.col("chunks"), source, F.col(key).cast("string")))
+    kept = trim(ground(given, lookup, key).where("grounded"), len(system), budget)
+    user = user_prompt(F.col("question"), F.col("chunks"))
+    told = kept.select(key, messages(F.lit(system), user, F.col("gold_answer")).alias("messages"), "category", "module", (F.length(user) + F.length("gold_answer")).alias("n_chars"))
+    return train_val_split(told, key, share)
 
 
 def ground(examples: DataFrame, lookup: DataFrame, key: str = "query_id", k: int = TOP_K, seed: int = 42) -> DataFrame:
@@ -142,12 +161,70 @@ def trim(examples: DataFrame, system_chars: int = 0, budget: int = MAX_CHARS) ->
     return out.withColumn("grounded_after_trim", F.forall(paths.grounding(F.col("gold_answer")), lambda p: F.contains(context, p)))
 
 
-def set_stats(examples: DataFrame, text: Column) -> DataFrame:
-    """Examples, and smallest, upper median and largest size in characters, exact, from a histogram of sizes."""
-    from pyspark.sql.window import Window
-
-    histogram = examples.groupBy(text.alias("n")).agg(F.count("*").alias("c")).where("n IS NOT NULL")
-    upto = histogram.withColumns({"upto": F.sum("c").over(Window.orderBy("n")), "total": F.sum("c").over(Window.partitionBy())})  # one row a size
-    return upto.agg(
+def set_stats(examples: DataFrame, size: Column, fields: dict[str, Column]) -> DataFrame:
+    """(field, value, examples, min_chars, median_chars, max_chars): for all and by each of ``fields``; the upper median, exact,
+    from a histogram of sizes."""
+    each = F.explode(F.array(F.struct(F.lit("all").alias("field"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in fields.items()]))
+    rows = examples.select(size.alias("n"), each.alias("f")).select("n", "f.field", "f.value").where("n IS NOT NULL")
+    histogram = rows.groupBy("field", "value", "n").agg(F.count("*").alias("c"))
+    group = Window.partitionBy("field", "value")
+    upto = histogram.withColumns({"upto": F.sum("c").over(group.orderBy("n")), "total": F.sum("c").over(group)})  # one row a size
+    return upto.groupBy("field", "value").agg(
         F.sum("c").alias("examples"), F.min("n").alias("min_chars"), F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("n"))).alias("median_chars"), F.max("n").alias("max_chars")
     )
+
+
+def workflow_tasks(workflows: DataFrame, order: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Tasks from (name, module, steps array<struct<name,method,path>>): question, numbered expected answer, operations,
+    difficulty by distinct calls and a running id in the order of ``order``. Names that start with one of ``skip`` are left out."""
+    from skarn.operators.corpus import global_position
+
+    kept = workflows
+    for start in skip:
+        kept = kept.where(~F.startswith("name", F.lit(start)))
+    call = lambda s: F.concat(s["method"], F.lit(" "), s["path"])
+    calls = F.transform("steps", call)
+    told = F.array_join(F.transform("steps", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s["name"], F.lit(": "), call(s))), "\n")
+    distinct = F.size(F.array_distinct(calls)).cast("string")
+    tasks = kept.select(
+        order, "module", F.lit("api_orchestration").alias("category"), difficulty(calls).alias("difficulty"),
+        F.concat(F.lit("What is the complete API workflow for: "), "name", F.lit("? List all required API calls in order.")).alias("question"),
+        F.concat(F.lit("The required API sequence is:\n"), told).alias("expected_answer"),
+        F.transform("steps", lambda s: s["name"]).alias("required_operations"),
+        F.concat(F.lit("Must identify the correct sequence of "), distinct, F.lit(" unique API calls in the right order. Partial credit for getting key steps.")).alias("evaluation_criteria"),
+    )
+    placed = global_position(tasks, [order])
+    number = (F.col("position") + 1).cast("string")
+    return placed.withColumn("id", F.concat(F.lit("wf-orch-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))).drop("position")
+
+
+def source_lines(chunks: Column) -> Column:
+    """The numbered sources of an answer as a reader sees them: file, section and distance to three places."""
+    return F.transform(
+        chunks,
+        lambda c, i: F.concat(
+            (i + 1).cast("string"), F.lit(". **"), F.coalesce(c["source_file"], F.lit("?")), F.lit("** — "), F.coalesce(c["section"], F.lit("?")), F.lit(" (distance: "),
+            F.format_string("%.3f", c["distance"]), F.lit(")"),
+        ),
+    )
+
+
+def source_texts(chunks: Column, size: int = 1000) -> Column:
+    return F.transform(chunks, lambda c: F.substring(c["text"], 1, size))
+
+
+def resolve_config(configs: DataFrame, name: str, key: str = "config", **overrides) -> dict:
+    """One configuration as a dict with overrides; an unknown name or setting is an error."""
+    row = configs.where(F.col(key) == name).first()
+    if row is None:
+        raise KeyError(f"unknown configuration {name!r}")
+    if unknown := set(overrides) - set(configs.columns):
+        raise KeyError(f"unknown settings: {', '.join(sorted(unknown))}")
+    return row.asDict() | overrides
+
+
+def with_overrides(configs: DataFrame, overrides: DataFrame, key: str = "config") -> DataFrame:
+    """Configurations with the settings of ``overrides`` (key, some settings) that are not null in place of their own."""
+    named = [c for c in overrides.columns if c != key]
+    joined = configs.join(F.broadcast(overrides.select(key, *[F.col(c).alias(f"_{c}") for c in named])), key, "left")  # a stated list
+    return joined.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in named else F.col(c) for c in configs.columns])

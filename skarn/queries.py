@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions import paths, text, vectors
@@ -270,15 +270,20 @@ def dense_topk_filtered(spark, d):
     return retrieval.dense_topk(*_vectors(spark, d), with_filter=True)
 
 
+def _corpus(spark, d) -> DataFrame:
+    """All texts of both chunk tables: (doc_id, text, source_file, section); doc_id is row_no and the table in one number."""
+    rows = _union(spark, d).where("text IS NOT NULL AND text <> ''")
+    return rows.select((F.col("row_no") * 2 + F.col("source_no")).alias("doc_id"), "text", "source_file", "section")
+
+
 def _asked(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Questions of every fiftieth result, against all document sections with a text."""
+    """Questions of every fiftieth result, and the index of all texts of both chunk tables."""
     questions = table(spark, d, "eval_results").where("result_id % 50 = 0 AND question IS NOT NULL").select(F.col("result_id").alias("query_id"), "question")
-    sections = table(spark, d, "all_doc_chunks").where("text IS NOT NULL AND text <> ''").select(F.col("row_no").alias("doc_id"), "text")
-    return questions, sections
+    return questions, retrieval.index_texts(_corpus(spark, d))
 
 
 _ASKED = "SELECT result_id AS query_id, question FROM eval_results WHERE result_id % 50 = 0 AND question IS NOT NULL"
-_SECTIONS = "SELECT row_no AS doc_id, text FROM all_doc_chunks WHERE text IS NOT NULL AND text <> ''"
+_SECTIONS = f"SELECT row_no * 2 + source_no AS doc_id, text FROM {_UNION} WHERE text IS NOT NULL AND text <> ''"
 _BM25 = f"""
     q AS ({_ASKED}), c AS ({_SECTIONS}), ct AS (SELECT doc_id, {_TOKENS.format("text")} AS t FROM c),
     st AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean FROM ct), tf AS (SELECT doc_id, term, count(*)::DOUBLE AS f FROM (SELECT doc_id, unnest(t) AS term FROM ct) GROUP BY ALL),
@@ -323,18 +328,10 @@ _HYBRID = """pools AS (SELECT query_id, doc_id, rank FROM dense WHERE rank <= 30
     hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused)"""
 
 
-def _pools(spark, d):
-    questions, sections = _asked(spark, d)
-    dense = materialize(retrieval.text_topk(questions, sections, retrieval.POOL), "dense")
-    bm25 = materialize(retrieval.bm25_topk(questions, sections, retrieval.POOL), "bm25")
-    return questions, sections, dense, bm25
-
-
 @query(f"WITH {_BM25}, {_DENSE_TEXT}, {_HYBRID} SELECT query_id, doc_id, score, rank FROM hybrid WHERE rank <= 5")
 def hybrid_rrf(spark, d):
     ship(spark)
-    _, sections, dense, bm25 = _pools(spark, d)
-    return retrieval.hybrid_rrf([dense, bm25], sections)
+    return retrieval.retrieve("hybrid", *_asked(spark, d))
 
 
 _RERANKED = """reranked AS (SELECT query_id, doc_id, pool_rank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_rank) AS rank FROM (
@@ -346,27 +343,42 @@ _RERANKED = """reranked AS (SELECT query_id, doc_id, pool_rank, score, row_numbe
 @query(f"WITH q AS ({_ASKED}), c AS ({_SECTIONS}), {_DENSE_TEXT}, {_RERANKED} SELECT query_id, doc_id, pool_rank, score, rank FROM reranked WHERE rank <= 5")
 def rerank_topk(spark, d):
     ship(spark)
-    questions, sections = _asked(spark, d)
-    return retrieval.rerank(questions, retrieval.text_topk(questions, sections, retrieval.POOL), sections)
+    return retrieval.retrieve("rerank", *_asked(spark, d))
+
+
+@query(
+    f"""WITH q AS ({_ASKED}), c AS ({_SECTIONS}), {_embedded("c", "c", "doc_id", "text")}
+    SELECT doc_id, count(v) AS slots, round(coalesce(max(v), 0), 6) AS largest FROM c LEFT JOIN cv USING (doc_id) GROUP BY 1"""
+)
+def embedded_index(spark, d):
+    ship(spark)
+    used = F.filter("vector", lambda x: x != 0)
+    return retrieval.index_texts(_corpus(spark, d)).select("doc_id", F.size(used).cast("long").alias("slots"), F.round(F.array_max("vector"), 6).alias("largest"))
 
 
 _SUBS = f"""list_concat([question], list_filter(list_transform(regexp_split_to_array(question, '\\band then\\b|\\bthen\\b|\\bafter that\\b|[;\\n]|\\d\\.\\s'),
     lambda p: {_strip("p")}), lambda p: length(p) > 25))[1:4]"""
 
 
+def _multi(k: int) -> str:
+    """CTEs of the multi-query variant at k; the embedded corpus is there already."""
+    return f"""s{k} AS (SELECT query_id, {_SUBS} AS subs FROM q0),
+    m{k} AS (SELECT query_id * 8 + sub AS sub_id, query_id, sub, greatest(2, {k} // n) AS share, question FROM (
+        SELECT query_id, len(subs) AS n, unnest(range(len(subs))) AS sub, unnest(subs) AS question FROM s{k})),
+    {_embedded(f"m{k}", f"m{k}", "sub_id", "question")}, {_text_rank(f"sub{k}", f"m{k}", "c", "sub_id")},
+    own{k} AS (SELECT m.query_id, m.sub, d.rank, d.doc_id, d.score, c.text FROM sub{k} d JOIN m{k} m USING (sub_id) JOIN c USING (doc_id) WHERE d.rank <= m.share AND d.rank <= {k}),
+    one{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY sub, rank) AS r FROM own{k}) WHERE r = 1),
+    multi{k} AS (SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY sub, rank) AS rank FROM one{k}) WHERE rank <= {k})"""
+
+
 @query(f"SELECT query_id, {_SUBS} AS subs FROM ({_ASKED})")
 def multiquery_split(spark, d):
-    return _asked(spark, d)[0].select("query_id", text.subqueries(F.col("question")).alias("subs"))
+    asked = table(spark, d, "eval_results").where("result_id % 50 = 0 AND question IS NOT NULL").select(F.col("result_id").alias("query_id"), "question")
+    return asked.select("query_id", text.subqueries(F.col("question")).alias("subs"))
 
 
 @query(
-    f"""WITH q0 AS ({_ASKED}), c AS ({_SECTIONS}), s AS (SELECT query_id, {_SUBS} AS subs FROM q0),
-    q AS (SELECT query_id * 8 + sub AS sub_id, query_id, sub, greatest(2, 5 // n) AS share, question FROM (
-        SELECT query_id, len(subs) AS n, unnest(range(len(subs))) AS sub, unnest(subs) AS question FROM s)),
-    {_embedded("q", "q", "sub_id", "question")}, {_embedded("c", "c", "doc_id", "text")}, {_text_rank("dense", "q", "c", "sub_id")},
-    own AS (SELECT q.query_id, q.sub, d.rank, d.doc_id, d.score, c.text FROM dense d JOIN q USING (sub_id) JOIN c USING (doc_id) WHERE d.rank <= q.share AND d.rank <= 5),
-    one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY sub, rank) AS r FROM own) WHERE r = 1)
-    SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY sub, rank) AS rank FROM one) WHERE rank <= 5"""
+    f"""WITH q0 AS ({_ASKED}), c AS ({_SECTIONS}), {_embedded("c", "c", "doc_id", "text")}, {_multi(5)} SELECT query_id, doc_id, score, rank FROM multi5"""
 )
 def multiquery_topk(spark, d):
     ship(spark)
@@ -379,12 +391,13 @@ def gold_words(spark, d):
 
 
 @query(
-    f"""WITH {_BM25}, {_DENSE_TEXT}, {_HYBRID}, {_RERANKED},
+    f"""WITH q0 AS ({_ASKED}), {_BM25}, {_DENSE_TEXT}, {_HYBRID}, {_RERANKED}, {_multi(15)},
     v AS (SELECT 'bm25' AS variant, query_id, doc_id, rank FROM bm25 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dense
-          UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM hybrid UNION ALL SELECT 'rerank', query_id, doc_id, rank FROM reranked),
+          UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM hybrid UNION ALL SELECT 'rerank', query_id, doc_id, rank FROM reranked
+          UNION ALL SELECT 'multiquery', query_id, doc_id, rank FROM multi15),
     g AS (SELECT result_id AS query_id, category, list_filter({_paths_sql("expected_answer")}, lambda p: contains(p, '/v')) AS paths,
           list_distinct(regexp_extract_all(lower(coalesce(expected_answer, '')), '[a-z]{{5,}}')) AS words FROM eval_results WHERE result_id % 50 = 0 AND question IS NOT NULL),
-    ctx AS (SELECT variant, k, query_id, string_agg(text, chr(10) ORDER BY rank) AS ctx FROM v JOIN c USING (doc_id), (SELECT unnest([5, 10]) AS k) WHERE rank <= k GROUP BY ALL),
+    ctx AS (SELECT variant, k, query_id, string_agg(text, chr(10) ORDER BY rank) AS ctx FROM v JOIN c USING (doc_id), (SELECT unnest([5, 10, 15]) AS k) WHERE rank <= k GROUP BY ALL),
     m AS (SELECT variant, k, category, len(list_intersect(paths, list_distinct(list_transform(regexp_extract_all(ctx, '{_VERSIONED}'), lambda p: {_norm_path("p")})))) AS found,
           len(paths) AS gold, CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda w: contains(lower(ctx), w))) / len(words) ELSE 0.0 END AS cover FROM g JOIN ctx USING (query_id))
     SELECT variant, k, round(100 * sum(found)::DOUBLE / sum(gold), 6) AS path_recall, round(100 * avg(CASE WHEN gold > 0 THEN (found = gold)::INT::DOUBLE END), 6) AS complete_pct,
@@ -394,15 +407,17 @@ def gold_words(spark, d):
 )
 def retrieval_metrics(spark, d):
     ship(spark)
-    questions, sections, dense, bm25 = _pools(spark, d)
-    hybrid = retrieval.hybrid_rrf([dense, bm25], sections, 10)
-    reranked = retrieval.rerank(questions, dense, sections, 10)
+    questions, index = _asked(spark, d)
     answers = table(spark, d, "eval_results").where("result_id % 50 = 0 AND question IS NOT NULL")
     gold = answers.select(
         F.col("result_id").alias("query_id"), "category", paths.gold(F.col("expected_answer")).alias("gold_paths"), text.gold_words(F.col("expected_answer")).alias("gold_words")
     )
-    variants = {"bm25": bm25.where("rank <= 10"), "dense": dense.where("rank <= 10"), "hybrid": hybrid, "rerank": reranked}
-    return retrieval.retrieval_metrics(variants, gold, sections, (5, 10))
+    dense, bm25 = (materialize(retrieval.retrieve(v, questions, index, retrieval.POOL), v) for v in ("dense", "bm25"))
+    variants = {
+        "bm25": bm25.where("rank <= 15"), "dense": dense.where("rank <= 15"), "hybrid": retrieval.hybrid_rrf([dense, bm25], index, 15),
+        "rerank": retrieval.rerank(questions, dense, index, 15), "multiquery": retrieval.retrieve("multiquery", questions, index, 15),
+    }
+    return retrieval.retrieval_metrics(variants, gold, index, (5, 10, 15))
 
 
 # -- curation -------------------------------------------------------------------------------------------------------
@@ -479,15 +494,15 @@ def url_path(spark, d):
 
 
 _VALID = f"""SELECT {_norm_path("path")} AS path FROM all_postman_chunks WHERE path IS NOT NULL AND path <> ''
-    UNION SELECT {_norm_path("p")} FROM (SELECT unnest(regexp_extract_all(text, '{_VERSIONED}')) AS p FROM all_postman_chunks)"""
+    UNION SELECT {_norm_path("p")} FROM (SELECT unnest(regexp_extract_all(text, '{_VERSIONED}')) AS p FROM {_UNION})"""
 
 
 @query(_VALID)
 def valid_paths(spark, d):
-    return curation.valid_paths(table(spark, d, "all_postman_chunks"))
+    return curation.valid_paths(_union(spark, d))
 
 
-_CITED = f"SELECT result_id, config, unnest({_paths_sql('generated_answer')}) AS path FROM eval_results"
+_CITED = f"SELECT result_id, config, unnest({_paths_sql('generated_answer')}) AS path FROM eval_results WHERE score > 0"
 
 
 @query(
@@ -496,8 +511,8 @@ _CITED = f"SELECT result_id, config, unnest({_paths_sql('generated_answer')}) AS
         round(100.0 * count(*) FILTER (bad > 0) / count(*), 6) AS answers_bad_pct, round(100.0 * sum(bad) / sum(n), 6) AS bad_path_pct FROM a GROUP BY 1"""
 )
 def hallucination_rate(spark, d):
-    valid = curation.valid_paths(table(spark, d, "all_postman_chunks"))
-    return curation.hallucination_rate(table(spark, d, "eval_results"), valid, "config", "result_id", "generated_answer")
+    valid = curation.valid_paths(_union(spark, d))
+    return curation.hallucination_rate(evaluation.scored(table(spark, d, "eval_results")), valid, "config", "result_id", "generated_answer")
 
 
 @query(
@@ -505,17 +520,65 @@ def hallucination_rate(spark, d):
     SELECT id, count(*) AS cited, count(v.path) AS verified, count(*) FILTER (v.path IS NULL) AS missing FROM c LEFT JOIN v USING (path) GROUP BY 1"""
 )
 def audit_paths(spark, d):
-    valid = curation.valid_paths(table(spark, d, "all_postman_chunks"))
+    valid = curation.valid_paths(_union(spark, d))
     return curation.audit_paths(table(spark, d, "benchmark_seed"), valid, "id", "expected_answer")
 
 
-@query()
+@query(
+    f"""WITH v AS ({_VALID}), c AS (SELECT id, unnest(list_filter({_paths_sql("expected_answer")}, lambda p: contains(p, '/v'))) AS path FROM benchmark_seed),
+    a AS (SELECT id, count(*) AS cited, count(v.path) AS verified, count(*) FILTER (v.path IS NULL) AS missing FROM c LEFT JOIN v USING (path) GROUP BY 1)
+    SELECT (SELECT count(*) FROM benchmark_seed) AS tasks, count(*) AS tasks_with_paths, count(*) FILTER (missing > 0) AS tasks_with_missing, coalesce(sum(cited), 0)::BIGINT AS cited,
+        coalesce(sum(verified), 0)::BIGINT AS verified, coalesce(sum(missing), 0)::BIGINT AS missing FROM a"""
+)
+def audit_totals(spark, d):
+    return curation.audit_totals(audit_paths(spark, d), table(spark, d, "benchmark_seed"))
+
+
+@query(
+    f"""SELECT path, coalesce(list_sort(list_distinct(list(method) FILTER (method IS NOT NULL))), []) AS methods FROM (
+        SELECT {_norm_path("path")} AS path, upper(method) AS method FROM all_postman_chunks WHERE path IS NOT NULL AND path <> ''
+        UNION SELECT {_norm_path("p")}, NULL FROM (SELECT unnest(regexp_extract_all(text, '{_VERSIONED}')) AS p FROM {_UNION})) GROUP BY 1"""
+)
+def path_methods(spark, d):
+    return curation.path_methods(_union(spark, d))
+
+
+
+
+def _named_sql(c: str) -> str:
+    return f"regexp_extract_all(coalesce({c}, ''), '{text.OPERATION_ID}')"
+
+
+_METHOD_AND_PATH = r"\b(GET|POST|PUT|PATCH|DELETE)\b\s*[`''\"]?\s*/[\w{}\-./]+"
+
+
+@query(
+    f"""WITH pm AS (SELECT path, coalesce(list_sort(list_distinct(list(method) FILTER (method IS NOT NULL))), []) AS methods FROM (
+        SELECT {_norm_path("path")} AS path, upper(method) AS method FROM all_postman_chunks WHERE path IS NOT NULL AND path <> ''
+        UNION SELECT {_norm_path("p")}, NULL FROM (SELECT unnest(regexp_extract_all(text, '{_VERSIONED}')) AS p FROM {_UNION})) GROUP BY 1),
+    t AS (SELECT id, category, expected_answer AS a FROM benchmark_seed),
+    call0 AS (SELECT id, unnest(regexp_extract_all(a, '{_METHOD_AND_PATH}', 1)) AS method, unnest(regexp_extract_all(a, '{_METHOD_PATH}', 1)) AS raw FROM t WHERE a IS NOT NULL),
+    call AS (SELECT id, method, {_norm_path("raw")} AS path, min(raw) AS raw FROM call0 GROUP BY 1, 2, 3),
+    note AS (
+        SELECT id, CASE WHEN methods IS NULL THEN 'PATH NOT IN CORPUS: ' || method || ' ' || raw
+            WHEN len(methods) > 0 AND NOT list_contains(methods, method) THEN 'METHOD MISMATCH: reference says ' || method || ' ' || raw || '; corpus has ' || array_to_string(methods, '/') END AS n
+        FROM call LEFT JOIN pm USING (path)
+        UNION SELECT id, 'PATH NOT IN CORPUS: ' || path FROM (SELECT id, unnest(list_filter({_paths_sql("a")}, lambda p: contains(p, '/v'))) AS path FROM t) b
+            WHERE path NOT IN (SELECT path FROM pm) AND NOT EXISTS (SELECT 1 FROM call WHERE call.id = b.id AND call.path = b.path)
+        UNION SELECT id, 'OPERATION ID NOT IN CORPUS: ' || o FROM (SELECT id, unnest({_named_sql("a")}) AS o FROM t)
+            WHERE regexp_matches(o, '{text.OPERATION_VERB}') AND lower(o) NOT IN (SELECT lower(unnest({_named_sql("text")})) FROM all_postman_chunks)
+        UNION SELECT id, 'CONTROL/SETTING NOT FOUND IN DOCS: ' || chr(39) || p || chr(39) FROM (SELECT id, unnest(regexp_extract_all(a, '{text.CAPITALISED_PHRASE}')) AS p FROM t WHERE category = 'config_advisory')
+            WHERE lower(p) NOT IN (SELECT ph FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(a, '{text.CAPITALISED_PHRASE}'))) AS ph FROM t WHERE category = 'config_advisory'),
+                (SELECT string_agg(lower(text), chr(1)) AS every FROM {_UNION}) WHERE contains(every, ph))),
+    f AS (SELECT id, string_agg(DISTINCT n, ' | ' ORDER BY n) AS findings FROM note WHERE n IS NOT NULL GROUP BY 1)
+    SELECT id, CASE WHEN findings IS NULL THEN 'CLEAN' ELSE 'CHECK' END AS verdict, coalesce(findings, '') AS findings FROM benchmark_seed LEFT JOIN f USING (id)"""
+)
 def verify_claims(spark, d):
-    requests, sections = table(spark, d, "all_postman_chunks"), table(spark, d, "all_doc_chunks")
-    texts = sections.select(F.lower("text").alias("text")).unionAll(requests.select(F.lower("text").alias("text")))
+    requests = table(spark, d, "all_postman_chunks")
+    texts = _union(spark, d).select(F.lower("text").alias("text"))
     named = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(text.OPERATION_ID), 0)))
     operations = requests.select(named.alias("o")).select(F.lower("o").alias("operation")).distinct()
-    return curation.verify_claims(table(spark, d, "benchmark_seed"), curation.path_methods(requests), texts, operations)
+    return curation.verify_claims(table(spark, d, "benchmark_seed"), curation.path_methods(_union(spark, d)), texts, operations)
 
 
 # -- evaluation -----------------------------------------------------------------------------------------------------
@@ -577,7 +640,8 @@ def latency_percentiles(spark, d):
        round(100.0 * count(*) FILTER (score >= 4) / nullif(count(*) FILTER (score > 0), 0), 6) AS usable_pct,
        round(100.0 * count(*) FILTER (score BETWEEN 1 AND 2) / nullif(count(*) FILTER (score > 0), 0), 6) AS wrong_pct,
        round(quantile_cont(latency_seconds, 0.5) FILTER (latency_seconds >= 0), 6) AS median_latency_s,
-       round(quantile_cont(latency_seconds, 0.95) FILTER (latency_seconds >= 0), 6) AS p95_latency_s FROM eval_results GROUP BY 1"""
+       round(quantile_cont(latency_seconds, 0.95) FILTER (latency_seconds >= 0), 6) AS p95_latency_s,
+       round(quantile_cont(length(coalesce(generated_answer, ''))::DOUBLE, 0.5), 6) AS median_chars FROM eval_results GROUP BY 1"""
 )
 def config_table(spark, d):
     return evaluation.config_table(table(spark, d, "eval_results"), "config")
@@ -592,6 +656,32 @@ def difficulty_bucket(spark, d):
     return table(spark, d, "all_postman_chunks").where("text IS NOT NULL").select("row_no", training.difficulty(calls).alias("difficulty"))
 
 
+@query()
+def config_report(spark, d):
+    """The report row with the bootstrap interval of the mean and the share of invalid paths."""
+    results = table(spark, d, "eval_results")
+    return evaluation.config_report(results, evaluation.task_scores(results), hallucination_rate(spark, d))
+
+
+def _simpson_sql(f: str, upper: str) -> str:
+    """Integral of ``f`` (of x) from 0 to ``upper``, as the operators take it."""
+    n = evaluation.STEPS
+    weight = f"CASE WHEN i IN (0, {n}) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    return f"(list_sum(list_transform(range({n + 1}), lambda i: ({weight})::DOUBLE * {f.replace('{x}', f'(i * ({upper}) / {n})')})) * ({upper}) / {3 * n})"
+
+
+def _normal_sql(z: str) -> str:
+    return f"greatest(0, 1 - 2 / sqrt(2 * pi()) * {_simpson_sql('exp(-{x} * {x} / 2)', f'least(abs({z}), 10.0)')})"
+
+
+def _chi_square_sql(x: str, df: str) -> str:
+    """For odd and even degrees of freedom, the finite sums with the gamma function."""
+    odd = f"list_sum(list_transform(range((({df}) - 1) // 2), lambda k: pow({x}, k) * sqrt(pi()) / (pow(2, k + 1) * gamma(k + 1.5))))"
+    even = f"list_sum(list_transform(range(({df}) // 2), lambda k: pow({x} / 2, k) / gamma(k + 1)))"
+    tail = f"{_normal_sql(f'sqrt({x})')} + sqrt(2 * {x} / pi()) * exp(-{x} / 2) * coalesce({odd}, 0)"
+    return f"CASE WHEN {x} <= 0 THEN 1.0 WHEN ({df}) % 2 = 0 THEN exp(-{x} / 2) * {even} WHEN {x} IS NOT NULL THEN least(1.0, {tail}) END"
+
+
 #: The planned comparisons.
 COMPARISONS = (
     ("mini3-plain", "mini3-rag"), ("mini3-plain", "mini3-tuned"), ("mini3-rag", "mini3-tuned-rag"), ("mini3-rag", "mini3-rag-strict"),
@@ -624,29 +714,13 @@ def paired_compare(spark, d):
     t AS (SELECT label_a, label_b, sum(c * c * c - c)::DOUBLE AS tie FROM (SELECT label_a, label_b, size, count(*) AS c FROM r0 GROUP BY ALL) GROUP BY ALL),
     w AS (SELECT label_a, label_b, count(*) AS n, coalesce(sum(rk) FILTER (diff > 0), 0)::DOUBLE AS wp, coalesce(sum(rk) FILTER (diff < 0), 0)::DOUBLE AS wm FROM r GROUP BY ALL)
     SELECT label_a, label_b, n, round(wp, 6) AS w_plus, round(wm, 6) AS w_minus,
-        round((least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2.0 * n + 1) / 24.0 - tie / 48.0), 6) AS z FROM w JOIN t USING (label_a, label_b)"""
+        round(z, 6) AS z, round({_normal_sql("z")}, 6) AS p FROM (
+        SELECT *, (least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2.0 * n + 1) / 24.0 - tie / 48.0) AS z FROM w JOIN t USING (label_a, label_b))"""
 )
 def wilcoxon_stat(spark, d):
     return evaluation.signed_ranks(_diffs(spark, d))
 
 
-_AREAS = "sc AS (SELECT coalesce(module, 'none') || '/' || coalesce(category, 'none') AS task, config, avg(score) AS score FROM eval_results WHERE score > 0 GROUP BY ALL)"
-
-
-@query(
-    f"""WITH {_AREAS}, kk AS (SELECT count(DISTINCT config)::DOUBLE AS k FROM sc), f AS (SELECT * FROM sc WHERE task IN (SELECT task FROM sc GROUP BY 1 HAVING count(*) = (SELECT k FROM kk))),
-    r AS (SELECT *, rank() OVER (PARTITION BY task ORDER BY score DESC) + (count(*) OVER (PARTITION BY task, score) - 1) / 2.0 AS rk FROM f),
-    s AS (SELECT config, sum(rk)::DOUBLE AS r, count(*)::DOUBLE AS n FROM r GROUP BY 1), t AS (SELECT sum(c * c * c - c)::DOUBLE AS tie FROM (SELECT count(*) AS c FROM f GROUP BY task, score)),
-    x AS (SELECT sum(r * r) AS ss FROM s)
-    SELECT config, round(r / n, 6) AS mean_rank, row_number() OVER (ORDER BY round(r / n, 6), config) AS place, n::BIGINT AS tasks,
-        round((12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - tie / (n * k * (k * k - 1))), 6) AS chi_square FROM s, t, x, kk"""
-)
-def friedman_ranks(spark, d):
-    """Over areas (module/category) in place of tasks, as its SQL has it; ``friedman_tasks`` ranks task by task."""
-    area = F.concat(F.coalesce("module", F.lit("none")), F.lit("/"), F.coalesce("category", F.lit("none")))
-    return evaluation.friedman(evaluation.task_scores(table(spark, d, "eval_results").withColumn("area", area), "area"))
-
-
 @query(
     f"""WITH {_SCORES}, kk AS (SELECT count(DISTINCT config)::DOUBLE AS k FROM sc), f AS (SELECT * FROM sc WHERE task IN (SELECT task FROM sc GROUP BY 1 HAVING count(*) = (SELECT k FROM kk))),
     c AS (SELECT DISTINCT task_id AS task, category FROM eval_results WHERE score > 0 AND category IS NOT NULL UNION SELECT task_id, 'ALL' FROM eval_results WHERE score > 0),
@@ -655,10 +729,12 @@ def friedman_ranks(spark, d):
     t AS (SELECT category, sum(c * c * c - c)::DOUBLE AS tie FROM (SELECT category, task, score, count(*) AS c FROM f JOIN c USING (task) GROUP BY ALL) GROUP BY 1),
     x AS (SELECT category, sum(r * r) AS ss FROM s GROUP BY 1)
     SELECT category, config, round(r / n, 6) AS mean_rank, row_number() OVER (PARTITION BY category ORDER BY round(r / n, 6), config) AS place, n::BIGINT AS tasks,
-        round((12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / nullif(1 - tie / nullif(n * k * (k * k - 1), 0), 0), 6) AS chi_square
-    FROM s JOIN t USING (category) JOIN x USING (category), kk"""
+        round(chi, 6) AS chi_square, round({_chi_square_sql("chi", "k::INT - 1")}, 6) AS p FROM (
+        SELECT *, (12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / nullif(1 - tie / nullif(n * k * (k * k - 1), 0), 0) AS chi
+        FROM s JOIN t USING (category) JOIN x USING (category), kk)"""
 )
-def friedman_tasks(spark, d):
+def friedman_ranks(spark, d):
+    """Task by task, over the tasks that every configuration answered, for ALL and each category."""
     results = table(spark, d, "eval_results")
     judged = evaluation.scored(results).select(F.col("task_id").alias("task"), "category")
     categories = judged.where("category IS NOT NULL").union(judged.withColumn("category", F.lit("ALL"))).distinct()
@@ -697,47 +773,26 @@ def weighted_kappa(spark, d):
 @query(
     """WITH v AS (SELECT latency_seconds AS x, score::DOUBLE AS y FROM eval_results WHERE score > 0 AND latency_seconds >= 0),
     r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM v)
-    SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r"""
+    SELECT n::BIGINT AS n, round(c, 6) AS rho, round(CASE WHEN n > 2 THEN greatest(0, 1 - """
+    + _simpson_sql("pow(greatest(0, cos({x} / sqrt(n - 2))), n - 3)", "least(sqrt(n - 2) * atan(abs(c) / sqrt(1 - c * c)), least(sqrt(n - 2) * pi() / 2, 12.0))")
+    + " / "
+    + _simpson_sql("pow(greatest(0, cos({x} / sqrt(n - 2))), n - 3)", "least(sqrt(n - 2) * pi() / 2, 12.0)")
+    + """) END, 6) AS p FROM (SELECT count(*)::DOUBLE AS n, corr(rx, ry) AS c FROM r)"""
 )
 def spearman(spark, d):
     rows = evaluation.scored(table(spark, d, "eval_results")).where("latency_seconds >= 0")
     return evaluation.spearman(rows.select(F.col("latency_seconds").alias("x"), F.col("score").cast("double").alias("y")))
 
 
-def _bootstrap_sql(source: str, group: str, value: str, order: str) -> str:
-    return f"""v AS (SELECT {group} AS g, {value}::DOUBLE AS v, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS i FROM {source}),
-    n AS (SELECT g, count(*) AS n, avg(v) AS mean FROM v GROUP BY 1),
-    dr AS (SELECT g, rep, ('0x' || substring(md5('42|' || rep || '|' || d), 1, 8))::BIGINT % n AS i FROM (SELECT g, n, rep, unnest(range(n)) AS d FROM n, (SELECT unnest(range(100)) AS rep))),
-    m AS (SELECT g, rep, avg(v) AS m FROM dr JOIN v USING (g, i) GROUP BY ALL),
-    ci AS (SELECT g, n.n, round(n.mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m JOIN n USING (g) GROUP BY g, n.n, n.mean)"""
-
-
-@query(f"WITH {_SCORES}, {_bootstrap_sql('sc', 'config', 'score', 'task')} SELECT g AS config, n, mean, ci_low, ci_high FROM ci")
-def bootstrap_ci(spark, d):
-    """The 100 replicates of its SQL; ``bootstrap_ci_full`` draws all."""
-    return evaluation.bootstrap_drawn(evaluation.task_scores(table(spark, d, "eval_results")), "config", "score", "task", replicates=100)
-
-
 @query()
-def bootstrap_ci_full(spark, d):
+def bootstrap_ci(spark, d):
     return evaluation.bootstrap(evaluation.task_scores(table(spark, d, "eval_results")), "config", "score")
 
 
-def _comparisons(spark, d) -> DataFrame:
-    return _diffs(spark, d).withColumn("comparison", F.concat("label_a", F.lit(" -> "), "label_b"))
-
-
-@query(
-    f"WITH {_PAIRED}, {_bootstrap_sql('df', '''label_a || ' -> ' || label_b''', 'diff', 'task')} SELECT g AS comparison, n, mean, ci_low, ci_high FROM ci"
-)
-def paired_bootstrap(spark, d):
-    """The 100 replicates of its SQL; ``paired_bootstrap_full`` draws all."""
-    return evaluation.bootstrap_drawn(_comparisons(spark, d), "comparison", "diff", "task", replicates=100)
-
-
 @query()
-def paired_bootstrap_full(spark, d):
-    return evaluation.bootstrap(_comparisons(spark, d), "comparison", "diff")
+def paired_bootstrap(spark, d):
+    named = _diffs(spark, d).withColumn("comparison", F.concat("label_a", F.lit(" -> "), "label_b"))
+    return evaluation.bootstrap(named, "comparison", "diff")
 
 
 # -- training sets --------------------------------------------------------------------------------------------------
@@ -748,14 +803,15 @@ def sft_prompt_completion(spark, d):
     return training.prompt_completion(table(spark, d, "sft_train").where("messages IS NOT NULL")).select("example_id", "prompt", "completion")
 
 
-@query(
-    """SELECT count(*) AS examples, min(n)::BIGINT AS min_chars, list_sort(list(n))[count(*) // 2 + 1]::BIGINT AS median_chars, max(n)::BIGINT AS max_chars FROM (
-       SELECT list_sum(list_transform(messages, lambda m: length(coalesce(m.content, '')))) AS n FROM sft_train WHERE messages IS NOT NULL)"""
-)
+_STATS = """SELECT '{0}' AS field, {1} AS value, count(*) AS examples, min(n)::BIGINT AS min_chars, list_sort(list(n))[count(*) // 2 + 1]::BIGINT AS median_chars,
+    max(n)::BIGINT AS max_chars FROM (SELECT meta, list_sum(list_transform(messages, lambda m: length(coalesce(m.content, '')))) AS n FROM sft_train WHERE messages IS NOT NULL) GROUP BY 2"""
+
+
+@query(" UNION ALL ".join(_STATS.format(n, v) for n, v in (("all", "NULL::VARCHAR"), ("category", "meta.category"), ("module", "meta.module"))))
 def sft_stats(spark, d):
     size = F.aggregate("messages", F.lit(0), lambda s, m: s + F.length(F.coalesce(m["content"], F.lit(""))))
-    stats = training.set_stats(table(spark, d, "sft_train").where("messages IS NOT NULL"), size)
-    return stats.select("examples", *[F.col(c).cast("long").alias(c) for c in ("min_chars", "median_chars", "max_chars")])
+    stats = training.set_stats(table(spark, d, "sft_train").where("messages IS NOT NULL"), size, {"category": F.col("meta.category"), "module": F.col("meta.module")})
+    return stats.select("field", "value", "examples", *[F.col(c).cast("long").alias(c) for c in ("min_chars", "median_chars", "max_chars")])
 
 
 _ACTION = f"""regexp_replace(lower(substring(x, 1, 1)) || substring(x, 2), '\\.+$', '') FROM (SELECT row_no, regexp_replace(CASE WHEN {_strip("coalesce(section, '')")} <> ''
@@ -787,17 +843,19 @@ def parse_judge(spark, d):
 
 
 def _retrieved(spark, d) -> DataFrame:
-    """Questions of every fiftieth result with their five best request texts and the expected answer."""
+    """Questions of every fiftieth result with their five best texts and the expected answer, and the chunk it names first."""
     ship(spark)
-    questions, _ = _asked(spark, d)
-    requests = table(spark, d, "all_postman_chunks").where("text IS NOT NULL").select(F.col("row_no").alias("doc_id"), "text", "source_file", "section")
-    hits = retrieval.bm25_topk(questions, requests.select("doc_id", "text"))
+    requests = _corpus(spark, d)
+    hits = retrieval.retrieve("bm25", *_asked(spark, d))
     chunk = F.struct(
         "rank", F.struct("text", "source_file", "section", (1.0 / (1.0 + F.col("score"))).alias("distance"), F.lit(False).alias("protected")).alias("c")
     )
     contexts = hits.join(requests, "doc_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(chunk)), lambda s: s["c"]).alias("chunks"))
-    answers = table(spark, d, "eval_results").where("expected_answer IS NOT NULL").select(F.col("result_id").alias("query_id"), "question", F.col("expected_answer").alias("gold_answer"))
-    return answers.join(contexts, "query_id")
+    answers = table(spark, d, "eval_results").where("expected_answer IS NOT NULL").select(
+        F.col("result_id").alias("query_id"), "question", F.col("expected_answer").alias("gold_answer"), "category", "module", F.get(paths.grounding(F.col("expected_answer")), F.lit(0)).alias("path")
+    )
+    sources = _lookup(spark, d).withColumnRenamed("text", "source_text")
+    return answers.join(contexts, "query_id").join(sources, "path", "left").drop("path")
 
 
 def _lookup(spark, d) -> DataFrame:
@@ -810,26 +868,82 @@ def build_prompt(spark, d):
     return _retrieved(spark, d).select("query_id", F.md5(training.user_prompt(F.col("question"), F.col("chunks"))).alias("digest"))
 
 
-@query()
+_CONTEXT = f"""{_BM25},
+    look AS (SELECT path, arg_min(text, row_no) AS source_text FROM all_postman_chunks WHERE path IS NOT NULL AND path <> '' AND text IS NOT NULL GROUP BY 1),
+    hit5 AS (SELECT query_id, rank, score, c.text, u.source_file, u.section FROM bm25 JOIN c USING (doc_id) JOIN (SELECT row_no * 2 + source_no AS doc_id, source_file, section FROM {_UNION}) u USING (doc_id) WHERE rank <= 5),
+    gave AS (SELECT query_id, list(text ORDER BY rank) AS texts, list('[Source ' || rank || ': ' || coalesce(source_file, '') || ' — ' || coalesce(section, '') || ']' || chr(10) || text ORDER BY rank) AS told
+             FROM hit5 GROUP BY 1),
+    want AS (SELECT result_id AS query_id, question, expected_answer AS gold, list_distinct(list_transform(regexp_extract_all(expected_answer, '{paths.GROUNDING_PATH}'),
+             lambda p: regexp_replace(p, '[.,;:)]+$', ''))) AS gold_paths, regexp_replace(regexp_extract(expected_answer, '{paths.GROUNDING_PATH}'), '[.,;:)]+$', '') AS path
+             FROM eval_results WHERE expected_answer IS NOT NULL)"""
+
+
+@query(
+    f"""WITH {_CONTEXT} SELECT query_id, md5('Context:' || chr(10) || array_to_string(told, chr(10) || chr(10) || '---' || chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: ' || question) AS digest
+        FROM want JOIN gave USING (query_id)"""
+)
+def build_prompt(spark, d):
+    return _retrieved(spark, d).select("query_id", F.md5(training.user_prompt(F.col("question"), F.col("chunks"))).alias("digest"))
+
+
+def _source() -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.col("source_text").alias("text"), none.alias("source_file"), none.alias("section"), F.lit(0.0).alias("distance"), F.lit(True).alias("protected"))
+
+
+@query(
+    f"""WITH {_CONTEXT} SELECT query_id, len(texts) - put::INT * (len(texts) >= 5)::INT + put::INT AS n,
+        CASE WHEN put THEN 1 + ('0x' || substring(md5('42|' || query_id), 1, 8))::BIGINT % (least(4, len(texts)) + 1) ELSE 0 END AS slot
+        FROM (SELECT *, source_text IS NOT NULL AND NOT list_contains(texts, source_text) AS put FROM want JOIN gave USING (query_id) LEFT JOIN look USING (path))"""
+)
 def inject_gold(spark, d):
-    gold = F.struct("gold_answer").getField("gold_answer")
-    chunk = F.struct(gold.alias("text"), F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("string").alias("section"), F.lit(0.0).alias("distance"), F.lit(True).alias("protected"))
-    return _retrieved(spark, d).select("query_id", training.inject(F.col("chunks"), chunk, F.col("query_id").cast("string")).alias("chunks")).select(
-        "query_id", F.size("chunks").alias("n"), (F.array_position(F.transform("chunks", lambda c: c["protected"]), True)).alias("slot")
-    )
+    """The source chunk of the first path of the answer is put in where it was not retrieved; slot 0 where nothing was."""
+    given = _retrieved(spark, d).select("query_id", training.inject(F.col("chunks"), _source(), F.col("query_id").cast("string")).alias("chunks"))
+    return given.select("query_id", F.size("chunks").alias("n"), F.array_position(F.transform("chunks", lambda c: c["protected"]), True).alias("slot"))
 
 
-@query()
+@query(
+    f"""WITH {_CONTEXT}, miss AS (SELECT query_id, texts, list_filter(gold_paths, lambda p: NOT contains(array_to_string(texts, chr(10)), p)) AS gone, gold_paths FROM want JOIN gave USING (query_id)),
+    got AS (SELECT query_id, list(source_text) AS extra, count(*) AS n FROM (SELECT DISTINCT query_id, path, source_text FROM (SELECT query_id, unnest(gone) AS path FROM miss) JOIN look USING (path)) GROUP BY 1),
+    ctx AS (SELECT m.query_id, list_concat(texts[1:greatest(0, 5 - coalesce(n, 0))], coalesce(extra, [])) AS texts, gold_paths FROM miss m LEFT JOIN got USING (query_id))
+    SELECT query_id, len(texts) AS n, len(list_filter(gold_paths, lambda p: NOT contains(array_to_string(texts, chr(10)), p))) = 0 AS grounded FROM ctx"""
+)
 def grounding_check(spark, d):
     return training.ground(_retrieved(spark, d), _lookup(spark, d)).select("query_id", F.size("chunks").alias("n"), "grounded")
 
 
+SYSTEM = "You answer questions about the interface of a hotel system from the given context."
+
+
 @query()
 def trim_to_budget(spark, d):
-    trimmed = training.trim(training.ground(_retrieved(spark, d), _lookup(spark, d)), budget=2_000)
+    trimmed = training.trim(training.ground(_retrieved(spark, d), _lookup(spark, d)), system_chars=len(SYSTEM))
     return trimmed.select("query_id", F.size("chunks").alias("n"), "grounded", "grounded_after_trim")
 
 
+@query()
+def sft_build(spark, d):
+    """The training set end to end: retrieval, source chunk, grounding, budget, messages, split."""
+    return training.build_set(_retrieved(spark, d), _lookup(spark, d), SYSTEM)
+
+
+@query(
+    """SELECT result_id, list_transform(chunk_distances, lambda x, i: i || '. **?** — ? (distance: ' || printf('%.3f', round(x::DECIMAL(18, 10), 3)::DOUBLE) || ')') AS sources FROM eval_results
+       WHERE chunk_distances IS NOT NULL AND len(list_filter(chunk_distances, lambda x: x IS NULL)) = 0"""
+)
+def answer_sources(spark, d):
+    none = F.lit(None).cast("string")
+    rows = table(spark, d, "eval_results").where(F.col("chunk_distances").isNotNull() & ~F.exists("chunk_distances", lambda x: x.isNull()))
+    chunks = F.transform("chunk_distances", lambda x: F.struct(none.alias("source_file"), none.alias("section"), F.round(x, 3).alias("distance")))
+    return rows.select("result_id", training.source_lines(chunks).alias("sources"))
+
+
+@query("SELECT config, model, use_rag, CASE WHEN prompt_style = 'strict' THEN 10 ELSE top_k END AS top_k, retrieval, prompt_style FROM run_configs")
+def config_overrides(spark, d):
+    configs = table(spark, d, "run_configs")
+    return training.with_overrides(configs, configs.where("prompt_style = 'strict'").select("config", F.lit(10).alias("top_k")))
+
+
 # -- rows, joins and set operations of the evaluation flow ----------------------------------------------------------
 
 
@@ -876,13 +990,16 @@ def numbered_steps(spark, d):
 
 
 @query(
-    """SELECT row_no, '`' || method || ' ' || path || '`.' || CASE WHEN s = '' THEN '' WHEN ends_with(s, '.') THEN ' ' || s ELSE ' ' || s || '.' END AS answer FROM (
-       SELECT row_no, method, path, regexp_replace(coalesce(section, ''), '^\\s+|\\s+$', '', 'g') AS s FROM all_postman_chunks WHERE method IS NOT NULL AND path IS NOT NULL)"""
+    """SELECT row_no, '`' || method || ' ' || path || '`' || CASE WHEN module IS NULL THEN '' ELSE ' (operationId `' || module || '`)' END || '.'
+       || CASE WHEN s = '' THEN '' WHEN ends_with(s, '.') THEN ' ' || s ELSE ' ' || s || '.' END
+       || CASE WHEN len(r) > 0 THEN ' Required parameters: ' || array_to_string(r[1:6], ', ') || '.' ELSE '' END AS answer FROM (
+       SELECT row_no, method, path, module, regexp_replace(coalesce(section, ''), '^\\s+|\\s+$', '', 'g') AS s, regexp_extract_all(path, '\\{([^}]+)\\}', 1) AS r
+       FROM all_postman_chunks WHERE method IS NOT NULL AND path IS NOT NULL)"""
 )
 def call_answers(spark, d):
     rows = table(spark, d, "all_postman_chunks").where("method IS NOT NULL AND path IS NOT NULL")
-    none = F.array().cast("array<string>")
-    return rows.select("row_no", training.call_answer(F.col("method"), F.col("path"), F.lit(None), F.col("section"), none).alias("answer"))
+    required = F.regexp_extract_all("path", F.lit(r"\{([^}]+)\}"), 1)
+    return rows.select("row_no", training.call_answer(F.col("method"), F.col("path"), F.col("module"), F.col("section"), required).alias("answer"))
 
 
 @query("SELECT config, CASE WHEN NOT use_rag THEN 'plain' WHEN prompt_style = 'strict' THEN 'strict' ELSE 'grounded' END AS prompt FROM run_configs")
@@ -963,3 +1080,149 @@ def chunks_by_retrieval(spark, d):
     return joined.groupBy(F.coalesce("retrieval", F.lit("none")).alias("retrieval"), "use_rag").agg(
         F.count("*").alias("n"), F.round(F.avg("num_chunks_retrieved"), 6).alias("mean_chunks")
     )
+
+
+# -- ingest: specifications and collections made from the tables -----------------------------------------------------
+
+_BODY = '{"type": "object", "properties": {"id": {"type": "integer", "format": "int64"}, "tags": {"type": "array", "items": {"$ref": "#/definitions/Tag"}}}, "required": ["id"]}'
+_PARAMETERS = """[{"$ref": "#/parameters/hotel"}, {"$ref": "#/parameters/none"}, {"name": "limit", "in": "query", "schema": {"type": "integer"}},
+    {"name": "x-app-key", "in": "header"}, {"name": "b", "in": "body", "schema": {"$ref": "#/definitions/Body"}}]"""
+_RESPONSES = '{"200": {"schema": {}}, "201": {"schema": {"allOf": [{"type": "object"}, {"$ref": "#/definitions/Tag"}, {"$ref": "#/definitions/None"}]}}, "404": {}, "400": {}}'
+_SPEC_REST = f'"parameters": {{"hotel": {{"name": "hotelId", "in": "path", "required": true, "description": "the house"}}}}, "definitions": {{"Body": {_BODY}, "Tag": {{"type": "string", "enum": ["A"]}}}}'
+
+
+def _quoted(c: str) -> Column:
+    return F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def _specs(spark, d) -> DataFrame:
+    """One specification a source file from its calls: (spec, text)."""
+    calls = table(spark, d, "all_postman_chunks").where("method <> '' AND path <> '' AND source_file IS NOT NULL").groupBy("source_file", "path", F.lower("method").alias("method"))
+    entry = F.concat(
+        _quoted("method"), F.lit(': {"operationId": "op", "summary": '), _quoted("summary"), F.lit(', "description": '), _quoted("html"), F.lit(', "tags": ["t", "u"], "parameters": '),
+        F.lit(_PARAMETERS), F.lit(', "responses": '), F.lit(_RESPONSES), F.lit("}"),
+    )
+    entries = calls.agg(F.min("section").alias("summary")).withColumn("html", F.concat(F.lit("<b>"), F.coalesce("summary", F.lit("")), F.lit("</b>"))).select("source_file", "path", entry.alias("e"))
+    of_path = entries.groupBy("source_file", "path").agg(F.concat(_quoted("path"), F.lit(': {"x-note": {}, '), F.array_join(F.collect_list("e"), ", "), F.lit("}")).alias("p"))
+    whole = F.concat(F.lit('{"basePath": "/api", "paths": {'), F.array_join(F.collect_list("p"), ", "), F.lit("}, "), F.lit(_SPEC_REST), F.lit("}"))
+    return of_path.groupBy(F.col("source_file").alias("spec")).agg(whole.alias("text"))
+
+
+_TOLD_BODY = """{
+  "type": "object",
+  "properties": {
+    "id": {
+      "type": "integer",
+      "format": "int64"
+    },
+    "tags": {
+      "type": "array",
+      "items": "..."
+    }
+  },
+  "required": [
+    "id"
+  ]
+}"""
+_TOLD_RESPONSE = """{
+  "type": "string",
+  "enum": [
+    "A"
+  ]
+}"""
+
+
+@query(
+    f"""SELECT spec, substring(md5(spec || ':' || m || ':' || path), 1, 12) AS endpoint_id, upper(m) AS method, '/api' || path AS path, 'multi' AS module, 'sync' AS kind,
+        md5(upper(m) || ' /api' || path || chr(10) || 'Operation: op' || chr(10) || 'Summary: ' || s || CASE WHEN s <> '' AND {_strip("s")} <> s THEN chr(10) || 'Description: ' || {_strip("s")} ELSE '' END
+            || chr(10) || 'Tags: t, u' || chr(10) || 'Parameters:' || chr(10) || '  - hotelId (path, string, required): the house' || chr(10) || '  - limit (query, integer, optional): '
+            || chr(10) || 'Request Body: {_TOLD_BODY}' || chr(10) || 'Response Schema: {_TOLD_RESPONSE}' || chr(10) || 'Error Codes: 400, 404') AS digest
+        FROM (SELECT source_file AS spec, path, lower(method) AS m, coalesce(min(section), '') AS s FROM all_postman_chunks WHERE method <> '' AND path <> '' AND source_file IS NOT NULL GROUP BY ALL)"""
+)
+def spec_endpoints(spark, d):
+    """Specifications read back into endpoints: references, headers, body, responses and texts."""
+    ship(spark)
+    rows = ingest.spec_endpoints(_specs(spark, d))
+    return rows.select("spec", "endpoint_id", "method", "path", ingest.spec_module(F.col("spec")).alias("module"), ingest.spec_type(F.col("spec")).alias("kind"), F.md5(ingest.endpoint_text()).alias("digest"))
+
+
+def _item(name: str) -> Column:
+    """A request of a collection: its path in segments, one enabled and one disabled query parameter, a body."""
+    return F.struct(
+        F.col(name).alias("name"),
+        F.struct(
+            "method",
+            F.struct(
+                F.filter(F.split("path", "/"), lambda s, i: i > 0).alias("path"),
+                F.array(
+                    F.struct(F.lit("limit").alias("key"), F.col("row_no").cast("string").alias("value"), F.lit(False).alias("disabled")),
+                    F.struct(F.lit("off").alias("key"), F.lit("1").alias("value"), F.lit(True).alias("disabled")),
+                ).alias("query"),
+            ).alias("url"),
+            F.struct(F.col("text").alias("raw")).alias("body"),
+        ).alias("request"),
+    )
+
+
+def _collections(spark, d, folder: str, name: str) -> DataFrame:
+    """One collection a source file: its requests by ``folder``, in the order of row_no, under the second top-level folder."""
+    rows = table(spark, d, "all_postman_chunks").where("method <> '' AND startswith(path, '/') AND source_file IS NOT NULL AND text IS NOT NULL").withColumn(name, F.coalesce(name, F.lit("")))
+    ordered = rows.groupBy("source_file", F.coalesce(folder, F.lit("none")).alias("folder")).agg(F.array_sort(F.collect_list(F.struct("row_no", _item(name).alias("i")))).alias("rows"))
+    folders = ordered.groupBy("source_file").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("folder").alias("name"), F.transform("rows", lambda r: r["i"]).alias("item")))).alias("item")
+    )
+    return folders.select("source_file", F.concat(F.lit('{"item": [{}, '), F.to_json(F.struct("item")), F.lit("]}")).alias("text"))
+
+
+_CALLS = "all_postman_chunks WHERE method <> '' AND starts_with(path, '/') AND source_file IS NOT NULL AND text IS NOT NULL"
+_SAMPLE = _strip("text")
+
+
+@query(
+    f"""SELECT source_file, position, 'pm-' || substring(md5(method || path || s), 1, 10) AS id, CASE f WHEN 'crm' THEN 'customers' ELSE 'multi' END AS module,
+        CASE WHEN s = '' THEN f ELSE f || '/' || s END AS section, method, path, md5('Postman Example: ' || s || chr(10) || 'Module: ' || f || chr(10) || method || ' ' || path || chr(10) || 'Query parameters: limit=' || row_no
+            || CASE WHEN {_SAMPLE} = '' THEN '' ELSE chr(10) || 'Sample request body:' || chr(10)
+               || CASE WHEN length({_SAMPLE}) <= 2000 THEN {_SAMPLE} ELSE substring({_SAMPLE}, 1, 2000) || chr(10) || '... (truncated)' END END) AS digest
+        FROM (SELECT *, (row_number() OVER (PARTITION BY source_file ORDER BY f, row_no) - 1)::INT AS position
+              FROM (SELECT *, coalesce(module, 'none') AS f, coalesce(section, '') AS s FROM {_CALLS}))"""
+)
+def request_collections(spark, d):
+    """Collections read back into requests, in the order of their tree."""
+    ship(spark)
+    rows = ingest.request_rows(_collections(spark, d, "module", "section"), {"crm": "customers"})
+    return rows.select("source_file", "position", "id", "module", "section", "method", "path", F.md5("text").alias("digest"))
+
+
+_STEP = f"""'Step ' || i || ': ' || s || chr(10) || '  ' || method || ' ' || path || chr(10) || {{0}} || CASE WHEN {{1}} = '' THEN '' ELSE '  Body:' || chr(10) || {{1}} || chr(10) END"""
+_WHOLE_BODY = _strip(f"substring({_SAMPLE}, 1, 800)")
+_HALF_BODY = _strip("substring(text, 1, 600)")
+
+
+@query(
+    f"""WITH st AS (SELECT source_file, coalesce(section, 'none') AS f, coalesce(module, '') AS s, method, path, text, row_no,
+            row_number() OVER (PARTITION BY source_file, coalesce(section, 'none') ORDER BY row_no) AS i, count(*) OVER (PARTITION BY source_file, coalesce(section, 'none')) AS n FROM {_CALLS}),
+    w AS (SELECT source_file, f, any_value(n) AS n, string_agg({_STEP.format("'  Query: limit=' || row_no || chr(10)", _WHOLE_BODY)}, chr(10) ORDER BY i) AS whole,
+            coalesce(string_agg({_STEP.format("''", _HALF_BODY)}, chr(10) ORDER BY i) FILTER (i <= n // 2), '') AS first, string_agg({_STEP.format("''", _HALF_BODY)}, chr(10) ORDER BY i) FILTER (i > n // 2) AS second FROM st GROUP BY 1, 2),
+    p AS (SELECT source_file, f, n, unnest(CASE WHEN length('Workflow: ' || f || chr(10) || 'Steps: ' || n || chr(10) || chr(10) || whole) > 6000 THEN [1, 2] ELSE [0] END) AS k, whole, first, second FROM w)
+    SELECT source_file, CASE k WHEN 0 THEN f ELSE f || ' (Part ' || k || '/2)' END AS section, 'wf-' || substring(md5(CASE k WHEN 0 THEN f ELSE f || '-part' || (k - 1) END), 1, 10) AS id,
+        md5(CASE k WHEN 0 THEN 'Workflow: ' || f || chr(10) || 'Steps: ' || n || chr(10) || chr(10) || whole
+            ELSE 'Workflow: ' || f || ' (Part ' || k || '/2)' || chr(10) || 'Total steps: ' || n || chr(10) || chr(10) || CASE k WHEN 1 THEN first ELSE second END END) AS digest FROM p"""
+)
+def workflow_collections(spark, d):
+    """Workflow collections read back into texts, the long ones in two halves."""
+    ship(spark)
+    rows = ingest.workflow_rows(_collections(spark, d, "section", "module"), {})
+    return ingest.workflow_texts(rows).select("source_file", "section", "id", F.md5("text").alias("digest"))
+
+
+@query(
+    f"""WITH st AS (SELECT source_file, coalesce(section, 'none') AS f, coalesce(module, '') AS s, method || ' ' || path AS call, row_number() OVER (PARTITION BY source_file, coalesce(section, 'none') ORDER BY row_no) AS i FROM {_CALLS}),
+    w AS (SELECT source_file || '|' || f AS key, count(DISTINCT call) AS calls, string_agg(i || '. ' || s || ': ' || call, chr(10) ORDER BY i) AS told FROM st WHERE NOT starts_with(f, 'Search') GROUP BY ALL)
+    SELECT 'wf-orch-' || CASE WHEN r < 1000 THEN lpad(r::VARCHAR, 3, '0') ELSE r::VARCHAR END AS id, key, CASE WHEN calls <= 3 THEN 'basic' WHEN calls <= 6 THEN 'intermediate' ELSE 'advanced' END AS difficulty,
+        md5('The required API sequence is:' || chr(10) || told) AS digest FROM (SELECT *, row_number() OVER (ORDER BY key) AS r FROM w)"""
+)
+def workflow_tasks(spark, d):
+    """Evaluation tasks made from workflows."""
+    ship(spark)
+    rows = ingest.workflow_rows(_collections(spark, d, "section", "module"), {}).withColumn("key", F.concat_ws("|", "source_file", "name"))
+    return training.workflow_tasks(rows, "key", ("Search",)).select("id", "key", "difficulty", F.md5("expected_answer").alias("digest"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from skarn.sources.formats import existing
+
 
 def index_stream(spark: SparkSession, folder: str, schema: T.StructType, index: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append to ``index`` the chunks of new files whose id it does not hold; within a batch the first row of an id wins."""
@@ -14,11 +16,9 @@ def index_stream(spark: SparkSession, folder: str, schema: T.StructType, index:
     def write(batch: DataFrame, _: int) -> None:
         columns = batch.columns
         fresh = batch.groupBy("id").agg(F.min_by(F.struct(*columns), F.struct(*[F.coalesce(F.col(c), F.lit("")) for c in columns])).alias("r")).select("r.*")
-        try:
+        if existing(spark, [index]):
             known = spark.read.schema(schema).parquet(index).select("id")
             fresh = fresh.join(known, "id", "left_anti")
-        except Exception:  # noqa: BLE001 - no index yet
-            pass
         fresh.write.mode("append").parquet(index)
 
     source = spark.readStream.schema(schema).json(folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -105,17 +106,51 @@ def test_spec_endpoints(spark):
     assert json.loads(r.body_schema) == {"type": "object", "properties": {"x": {"type": "array", "items": "..."}}}
     assert json.loads(r.response_schema) == {"type": "string"}
     told = ingest.spec_endpoints(rows).select(ingest.endpoint_text()).first()[0]
-    assert told.startswith("POST /rsv/v1/stays\nOperation: postStays\nSummary: Create\nParameters:\n  - hotel (path, string, required)")
+    assert told.startswith("POST /rsv/v1/stays\nOperation: postStays\nSummary: Create\nTags: t\nParameters:\n  - hotel (path, string, required): \nRequest Body: {")
+    assert told.endswith('Response Schema: {\n  "type": "string"\n}\nError Codes: 400, 404')
     assert ingest.simplify_schema({"$ref": "#/definitions/Nope"}, spec) == "$Nope (unresolved)"
 
 
+def test_schemas():
+    root = {"definitions": {"Loop": {"type": "object", "properties": {"next": {"$ref": "#/definitions/Loop"}}}, "S": {"type": "string"}}}
+    loop = ingest.simplify_schema({"$ref": "#/definitions/Loop"}, root)
+    assert loop == {"type": "object", "properties": {"next": {"type": "object", "properties": {"next": "..."}}}}
+    merged = ingest.simplify_schema({"allOf": [{"allOf": [{"type": "integer", "minimum": 1}, {"format": "x"}]}, {"$ref": "#/definitions/S"}, {"$ref": "#/definitions/Z"}]}, root)
+    assert merged == {"type": "string", "minimum": 1, "format": "x"} and list(merged) == ["type", "minimum", "format"]
+    assert ingest.simplify_schema("x", root) == "x" and ingest.simplify_schema({}, root) == "unknown" and ingest.simplify_schema({"type": "object", "required": []}, root) == {"type": "object"}
+
+
+def test_specification_corners():
+    spec = {"paths": {"/a": {"get": {"description": "<p>A <b>b</b></p>", "parameters": [{"$ref": "#/parameters/gone"}, {"name": "n", "in": "query", "schema": {"type": "integer"}}], "responses": {"200": {"schema": {}}, "201": {"schema": {"type": "string"}}}}, "x": 1}}}
+    (row,) = ingest.Specification("s", spec).rows()
+    assert [(p["name"], p["type"]) for p in row["parameters"]] == [("n", "integer")] and row["description"] == "A  b" and json.loads(row["response_schema"]) == {"type": "string"}
+    assert row["endpoint_id"] == hashlib.md5(b"s:get:/a").hexdigest()[:12]
+
+
+def test_overlap_chunks_by_brute_force():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("ab \n\n") for _ in range(rng.randrange(0, 200)))
+        size, overlap = rng.randrange(10, 60), rng.randrange(0, 5)
+        want, at = ([text] if len(text) <= size else []), 0
+        while len(text) > size and at < len(text):
+            end = at + size
+            ends = [k for k in range(at + size // 2, end - 1) if text[k : k + 2] == "\n\n"] if end < len(text) else []
+            end = ends[-1] if ends else end
+            want.append(text[at:end].strip())
+            at = end - overlap
+        assert ingest.overlap_chunks(text, size, overlap) == want
+
+
 def test_request_rows(spark):
     item = {"name": "A", "item": [{"name": "call", "request": {"method": "GET", "url": {"path": ["v1", "x"], "query": [{"key": "a", "value": "1"}, {"key": "b", "disabled": True}]}, "body": {"raw": "y" * 2100}}}]}
     plain_url = {"name": "plain", "request": {"method": "PUT", "url": "http://h"}}
     tree = json.dumps({"item": [{"name": "skip", "item": []}, {"name": "use", "item": [item, plain_url]}]})
-    got = ingest.request_rows(spark.createDataFrame([("f", tree), ("bad", "[]")], "source_file string, text string")).orderBy("position").collect()
-    assert [(r.section, r.method, r.path) for r in got] == [("A/call", "GET", "/v1/x"), ("plain", "PUT", "http://h")]
-    assert "Query parameters: a=1\n" in got[0].text and got[0].text.endswith("... (truncated)")
+    got = ingest.request_rows(spark.createDataFrame([("f", tree), ("bad", "[]")], "source_file string, text string"), {"A": "crm"}).orderBy("position").collect()
+    assert [(r.section, r.method, r.path, r.module) for r in got] == [("A/call", "GET", "/v1/x", "crm"), ("plain", "PUT", "http://h", "multi")]
+    assert got[0].text.startswith("Postman Example: call\nModule: A\nGET /v1/x\nQuery parameters: a=1\n") and got[0].text.endswith("... (truncated)")
 
 
 def test_workflow_texts(spark):
@@ -124,7 +159,8 @@ def test_workflow_texts(spark):
     rows = spark.createDataFrame([("short", [step]), ("long", [step] * 10)], schema)
     got = {(r["name"], r.part): r.text for r in ingest.workflow_texts(rows).collect()}
     assert set(got) == {("short", 0), ("long", 0), ("long", 1)}
-    assert "Query: a=1" in got["short", 0] and "Query" not in got["long", 0] and "Step 6:" in got["long", 1]
+    assert got["short", 0].startswith("Workflow: short\nSteps: 1\n\nStep 1: s\n  GET /p\n  Query: a=1\n  Body:\n")
+    assert got["long", 1].startswith("Workflow: long (Part 2/2)\nTotal steps: 10\n\nStep 6:") and "Query" not in got["long", 0]
 
 
 def test_global_position_and_ids(spark):
@@ -149,10 +185,59 @@ def test_salted_join_equals_join(spark):
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
-def test_chi_square_and_normal_tails():
+def test_tails(spark):
+    def tail(column):
+        return spark.range(1).select(column).first()[0]
+
+    lit = lambda x: F.lit(x)
     for x, df in ((3.841459, 1), (5.991465, 2), (18.307038, 10), (19.675138, 11)):
-        assert math.isclose(evaluation.chi_square_tail(x, df), 0.05, abs_tol=1e-6)
-    assert math.isclose(evaluation.normal_two_sided(1.959964), 0.05, abs_tol=1e-6)
+        assert math.isclose(tail(evaluation.chi_square_tail(lit(x), lit(df))), 0.05, abs_tol=1e-6)
+    assert math.isclose(tail(evaluation.normal_two_sided(lit(-1.959964))), 0.05, abs_tol=1e-6)
+    assert tail(evaluation.normal_two_sided(lit(None).cast("double"))) is None and tail(evaluation.chi_square_tail(lit(0.0), lit(3))) == 1.0
+    for r, n in ((0.6319, 10), (0.361, 30), (0.0620, 1000)):  # critical values at five per cent
+        assert math.isclose(tail(evaluation.correlation_p(lit(r), lit(n))), 0.05, abs_tol=2e-4)
+
+
+def test_build_set(spark):
+    chunk = lambda t: (t, "f", "s", 0.5, False)
+    path = "/rsv/v1/stays"
+    rows = [
+        (1, "c", "m", "how?", f"Use {path}.", f"the source of {path}", [chunk("a"), chunk("b"), chunk("c"), chunk("d"), chunk("e")]),
+        (2, "c", "m", "how?", f"Use {path}.", None, [chunk(f"{path} is here")]), (3, "c", None, "how?", "Use /crm/v9/gone.", None, [chunk("x")]), (4, "d", "m", "why?", "So.", "x", [chunk("x")]),
+    ]
+    schema = "query_id long, category string, module string, question string, gold_answer string, source_text string, chunks array<struct<text:string,source_file:string,section:string,distance:double,protected:boolean>>"
+    lookup = spark.createDataFrame([(path, "text of it")], "path string, text string")
+    got = {r.query_id: r for r in training.build_set(spark.createDataFrame(rows, schema), lookup, "sys").collect()}
+    assert set(got) == {1, 2, 4} and sum(r.subset == "val" for r in got.values()) == 1
+    assert [m.role for m in got[1].messages] == ["system", "user", "assistant"] and "the source of" in got[1].messages[1].content and "]\ne" not in got[1].messages[1].content
+    assert got[4].messages[1].content.count("[Source") == 1
+
+
+def test_config_resolution(spark):
+    configs = spark.createDataFrame([("a", 5), ("b", None)], "config string, top_k int")
+    assert training.resolve_config(configs, "a", top_k=9) == {"config": "a", "top_k": 9}
+    for bad in (lambda: training.resolve_config(configs, "z"), lambda: training.resolve_config(configs, "a", nothing=1)):
+        with pytest.raises(KeyError):
+            bad()
+
+
+def test_sinks(spark, tmp_path):
+    from skarn.sources import formats
+
+    df = spark.createDataFrame([("1", "2.0"), ("2", ""), ("3", "x")], "id string, v string")
+    formats.review_sheet(df, f"{tmp_path}/sheet")
+    assert formats.read_csv(spark, f"{tmp_path}/sheet").columns == ["id", "v", "verdict", "notes"]
+    formats.write_summary(df.groupBy().count(), f"{tmp_path}/summary")
+    assert spark.read.json(f"{tmp_path}/summary").first()["count"] == 3
+    assert [r[0] for r in df.orderBy("id").select(formats.int_cell(F.col("v"))).collect()] == [2, None, None]
+    (tmp_path / "a.md").write_text("# A")
+    rows = formats.read_registry(spark, [(f"{tmp_path}/a.md", "crm", "guide"), (f"{tmp_path}/gone.md", "crm", "guide")]).collect()
+    assert [(r.source_file, r.text, r.module) for r in rows] == [("a.md", "# A", "crm")]
+    index = corpus.write_index(spark.createDataFrame([(1, "alpha beta")], "doc_id long, text string"), f"{tmp_path}/index")
+    asked = spark.createDataFrame([(7, "alpha")], "query_id long, question string")
+    assert retrieval.retrieve("dense", asked, index, 1).first().doc_id == 1
+    with pytest.raises(KeyError):
+        retrieval.retrieve("unknown", asked, index)
 
 
 def test_bm25_against_plain_python(spark):
@@ -238,8 +323,8 @@ def test_friedman_ranks_complete_tasks_by_category(spark, tmp_path):
     rows = [(f"{c}{t}", config, c, (t + n) % 5 + 1) for c, size in (("a", 4), ("b", 2)) for t in range(size) for n, config in enumerate("xyz")]
     rows += [("a9", "x", "a", 5), ("a0", "x", None, 1), ("a1", "y", "a", -1)]
     spark.createDataFrame(rows, "task_id string, config string, category string, score int").write.parquet(f"{tmp_path}/eval_results.parquet")
-    got = queries.QUERIES["friedman_tasks"](spark, str(tmp_path))
-    mine, theirs, only_mine, only_theirs = compare(got, queries.SQL["friedman_tasks"], connect(str(tmp_path)))
+    got = queries.QUERIES["friedman_ranks"](spark, str(tmp_path))
+    mine, theirs, only_mine, only_theirs = compare(got, queries.SQL["friedman_ranks"], connect(str(tmp_path)))
     assert (mine, only_mine, only_theirs) == (theirs, [], [])
     assert {(r.category, r.tasks) for r in got.collect()} == {("a", 4), ("ALL", 6)}
     scores = evaluation.task_scores(spark.read.parquet(f"{tmp_path}/eval_results.parquet")).toPandas().pivot(index="task", columns="config", values="score").dropna()
