@@ -42,7 +42,7 @@ PASSAGE = 3
 #: Share of equal words of question and answer each from which a pair is reported.
 SAME_WORDS = 0.72
 #: Different rare passages that must be hit before a record is compared (all T, if T is smaller).
-HITS = 6
+HITS = 14
 SHARD_RECORDS = 5_000
 BLOCK_RECORDS = 8_000
 #: Letters for words start here, above the surrogates; there are a million.
@@ -232,6 +232,8 @@ def cross_split_overlaps(
         "class", "q", "a", F.pmod(digest, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     )
     schema = "train_class binary, eval_class binary, question_coverage double, answer_coverage double, question_same double, answer_same double"
+    tasks = shards * blocks
+    left, right = (side.repartition(tasks, "shard", "block") for side in (left, right))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_scan(min_same), schema)
     found = materialize(found, "p5-found")
     members = normal.select("id", "side", "class")
