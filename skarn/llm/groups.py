@@ -9,7 +9,7 @@ labels become an edge of a smaller graph, which is treated in the same way until
 Components go to train, validation and test in the order of their digest, by running share of rows.
 
 Defined results. A record without keys, or with keys nobody else has, is a group of its own and not listed. Null
-messages or contents: no keys. Repeated record ids are one record. Keys compare without case, separators, leading zeros
+messages or contents: no keys. The code of a house that looks like a ticket (PMS12) is no key. Repeated record ids are one record. Keys compare without case, separators, leading zeros
 and revision marks. An empty table gives no groups.
 """
 
@@ -24,13 +24,18 @@ from skarn.plans.skew import salted_join
 
 PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 
-#: How a person, a ticket and a task are written in the messages.
+#: How a person, a ticket and a task are written in the messages of small tables, as the SQL reads them.
 HANDLE = r"@?[A-Za-z]{4,}[ ._\-]?[0-9]{3,6}"
 ASKED = rf"(?i)\b(?:this is|raised by|asked by|requester:|requested by|from:|hi|hello|dear)[ ]+({HANDLE})\b"
 WROTE = rf"(?i)({HANDLE})[ ]+wrote:"
 TICKET = r"(?i)\bPMS[ #_\-./]*([0-9]+)\b"
 TASK = r"(?i)\b(rsv|fof|hsk|crm|mul)[ _\-./]+(orch|conf|trbl)[ _\-./]+([0-9]+)"
 CONTEXT_END = "\n\nQuestion:"
+#: How this operator reads them. The numbers of people grow with the tables, so their digits have no upper limit; PMS with
+#: two digits right behind it is the code of a house, as any three letters with two digits are, and no ticket.
+ANY_HANDLE = HANDLE.replace("{3,6}", "{3,}")
+ASKER, WRITER = ASKED.replace(HANDLE, ANY_HANDLE), WROTE.replace(HANDLE, ANY_HANDLE)
+TICKET_NUMBER = TICKET.replace("PMS", r"PMS(?![0-9]{2}\b)")
 
 
 def _squash(column: Column) -> Column:
@@ -52,11 +57,11 @@ def message_keys(messages: str = "messages") -> Column:
         ),
         "\n",
     )
-    people = F.concat(F.regexp_extract_all(text, F.lit(ASKED), 1), F.regexp_extract_all(text, F.lit(WROTE), 1))
+    people = F.concat(F.regexp_extract_all(text, F.lit(ASKER), 1), F.regexp_extract_all(text, F.lit(WRITER), 1))
     return F.array_distinct(
         F.concat(
             F.transform(people, lambda p: F.concat(F.lit("p:"), _squash(p))),
-            F.transform(F.regexp_extract_all(text, F.lit(TICKET), 1), lambda t: F.concat(F.lit("t:"), _squash(t))),
+            F.transform(F.regexp_extract_all(text, F.lit(TICKET_NUMBER), 1), lambda t: F.concat(F.lit("t:"), _squash(t))),
             F.transform(F.regexp_extract_all(text, F.lit(TASK), 0), _task_key),
         )
     )

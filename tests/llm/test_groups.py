@@ -50,6 +50,14 @@ def test_keys_from_messages(spark):
     assert got == [["p:melurdow1073", "t:10092"], ["b:rsv-orch-188", "p:caelathsen1571"], [], None]
 
 
+def test_keys_of_large_tables(spark):
+    """People's numbers of seven digits and more, and codes of houses that look like tickets."""
+    said = ["This is @Melurdow-1073123, desk side.", "TORILIK 12345678 wrote:", "House PMS80 of Tidemark. Asked by varebey.8136.", "Inn Pemefeld (PMS12), see PMS#12 and pms0012 and PMS123"]
+    df = spark.createDataFrame([([("user", t)],) for t in said], "messages array<struct<role:string,content:string>>")
+    got = [sorted(r[0]) for r in df.select(groups.message_keys()).collect()]
+    assert got == [["p:melurdow1073123"], ["p:torilik12345678"], ["p:varebey8136"], ["t:12", "t:123"]]
+
+
 def test_task_keys(spark):
     df = spark.createDataFrame([("rsv-orch-00000188",), ("RSV_ORCH_00000188",), ("rsv-orch-00000188.r2",), ("rsv-orch-00000188_alt2",), ("other",), (None,)], "id string")
     got = [list(r[0]) for r in df.select(groups.task_keys()).collect()]
