@@ -1,23 +1,23 @@
 """Problem 5: the same or nearly the same records across splits.
 
-Criterion: question and answer each share ``SAME_WORDS`` of their words (of the longer text). Equal words are taken to
-stand in the same order; a word that moved counts as changed.
+Criterion: question and answer each share ``SAME_WORDS`` of their words (of the longer text), whatever their order.
 
 Method: Aho-Corasick automata over sharded, normalised evaluation passages. A passage is ``PASSAGE`` successive words of
 an evaluation record (question or answer), fewer in texts so short that a changed word could break every longer one. An
 automaton of a shard's passages scans the training texts, in which each word is one letter; the intervals that a
 training text matches are merged into a coverage of each evaluation record.
 
-No pair that meets the criterion is lost. A text of n words of which at most a share 1 - ``SAME_WORDS`` changed, was left
-out or put in loses at most ``(1 - SAME_WORDS) * PASSAGE * n`` passages (a changed or missing word breaks up to
-``PASSAGE`` of them, one put in ``PASSAGE`` - 1). What is left, T, is the number of passages a training text must share.
-Of any d - T + k of a record's d passages at least k are then shared, so the automata hold the d - T + k that are rarest
-in their shard, k being the smaller of T and ``HITS``, and a record is compared where k different ones are hit. Phrases
-of the house style, the most frequent passages, so start no comparison; the count against T and the coverage take all.
+Which records meet is settled before, so that no automaton scans texts that have nothing to find in it. Each text gives a
+sketch of ``BITS`` bits: a bit is the parity of the number of its words whose digest is that bit. A word that only one of
+two texts holds turns one bit over, so two texts differ in at least as many words as their sketches differ in bits, and
+texts of n and m words that share ``SAME_WORDS`` of their words differ in at most n + m - 2 * SAME_WORDS * max(n, m).
+Pairs of sketches beyond that are passed over, and no pair that meets the criterion is lost; those that stay are compared
+word by word, and the ones that meet it are scanned.
 
-Records with the same normalised question and answer are one class; classes are scanned, and members come back by a
-salted join, so a third of all rows being copies costs one scan. The evaluation classes are a stated query set against
-all training classes: shards of ``shard_records`` of the one meet blocks of ``block_records`` of the other, each once.
+Records with the same normalised question and answer are one class; classes are compared, and members come back by a
+salted join, so a third of all rows being copies costs one comparison. Every training class meets every evaluation class
+of a length in reach, but as two sketches of two machine words: shards of ``shard_records`` of the one and blocks of
+``block_records`` of the other, a few nanoseconds a pair. Texts move once, for the pairs that stay.
 
 Defined results. A null or wordless question or answer is never part of a pair. Repeated ids: pairs are distinct. Split
 names other than train, dev and test are ignored. Empty tables: empty result. Very long texts are compared whole.
@@ -25,8 +25,9 @@ names other than train, dev and test are ignored. Empty tables: empty result. Ve
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -41,10 +42,9 @@ from skarn.plans.spread import spread
 PASSAGE = 3
 #: Share of equal words of question and answer each from which a pair is reported.
 SAME_WORDS = 0.72
-#: Different rare passages that must be hit before a record is compared (all T, if T is smaller).
-HITS = 14
-SHARD_RECORDS = 5_000
-BLOCK_RECORDS = 8_000
+BITS = 128
+SHARD_RECORDS = 100_000
+BLOCK_RECORDS = 100_000
 #: Letters for words start here, above the surrogates; there are a million.
 _FIRST = 0xE000
 _LAST = 0x10FFFF
@@ -53,11 +53,37 @@ _LAST = 0x10FFFF
 _BASE, _PLACES = 32, 4
 
 
-def _normal(batches):
+class _Bits(dict):
+    """The bit of each member of a bag."""
+
+    def __missing__(self, member: tuple[str, int] | str) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        word = member if isinstance(member, str) else f"{member[0]}\n{member[1]}"
+        value = self[member] = 1 << xxhash.xxh3_64_intdigest(word) % BITS
+        return value
+
+
+def sketch(words_of: Sequence[str], bits: dict) -> tuple[int, int, int]:
+    """Number of words, and the parities of their bits as two signed machine words."""
+    out = 0
+    for member in bag(words_of):
+        out ^= bits[member]
+    return len(words_of), *((half ^ 1 << 63) - (1 << 63) for half in (out & (1 << 64) - 1, out >> 64))
+
+
+_SKETCH = ("qn", "q0", "q1", "an", "a0", "a1")
+
+
+def _normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bits = _Bits()
     for pdf in batches:
-        q = [" ".join(words(x)) if x else "" for x in pdf["question"]]
-        a = [" ".join(words(x)) if x else "" for x in pdf["answer"]]
-        yield pd.DataFrame({"id": pdf["id"], "side": pdf["side"], "q": q, "a": a})
+        texts = [[words(x) if x else [] for x in pdf[column]] for column in ("question", "answer")]
+        out = pd.DataFrame({"id": pdf["id"], "side": pdf["side"]} | {c: [" ".join(t) for t in side] for c, side in zip("qa", texts, strict=True)})
+        sketches = [(*sketch(q, bits), *sketch(a, bits)) for q, a in zip(*texts, strict=True)]
+        yield pd.concat([out, pd.DataFrame(sketches, columns=_SKETCH, index=out.index, dtype="int64")], axis=1)
 
 
 def _broken(n: int, size: int, same: float) -> int:
@@ -128,80 +154,109 @@ class _Letters:
 
 
 class Shard:
-    """The rarest passages of a shard's evaluation records in one automaton."""
+    """The passages of evaluation records in one automaton."""
 
     def __init__(self, records: list[tuple[str, str]], same: float = SAME_WORDS):
         import ahocorasick
 
         self.letters, self.same, self.texts = _Letters(), same, records
         self.records = [(self.letters(q), self.letters(a)) for q, a in records]
-        own, self.total = [], []
-        for q, a in self.records:
-            sizes = passage_size(len(q), same), passage_size(len(a), same)
-            held = set(passages(q, sizes[0])) | set(passages(a, sizes[1]))
-            own.append((held, sizes))
-            self.total.append(max(1, len(held) - _broken(len(q), sizes[0], same) - _broken(len(a), sizes[1], same)))
-        counts = Counter(p for held, _ in own for p in held)
-        self.sizes = [sizes for _, sizes in own]
-        self.held = [held for held, _ in own]
-        self.bags = [(bag(q), bag(a)) for q, a in self.records]
-        self.need = np.minimum(np.array(self.total, dtype=np.int64), HITS)
-        owners: dict[str, list[int]] = {}
-        for n, held in enumerate(self.held):
-            rarest = sorted(held, key=lambda p: (counts[p], p))[: len(held) - self.total[n] + int(self.need[n])]
-            for passage in rarest:
-                owners.setdefault(passage, []).append(n)
+        self.sizes = [(passage_size(len(q), same), passage_size(len(a), same)) for q, a in self.records]
         self.automaton = ahocorasick.Automaton()
-        self.owners = []
-        for k, (passage, records_of) in enumerate(owners.items()):
-            self.automaton.add_word(passage.translate(self.letters.spelling), k)
-            self.owners.append(np.array(records_of, dtype=np.int32))
-        if owners:
+        for texts, sizes in zip(self.records, self.sizes, strict=True):
+            for text, size in zip(texts, sizes, strict=True):
+                for passage in passages(text, size):
+                    self.automaton.add_word(passage.translate(self.letters.spelling), passage)
+        if self.records:
             self.automaton.make_automaton()
 
+    def held(self, text: str) -> set[str]:
+        """The shard's passages that a text holds."""
+        known = self.letters.known.get
+        letters = "".join([known(w, "\n") for w in text.split(" ")])
+        return {passage for _, passage in self.automaton.iter(letters.translate(self.letters.spelling))}
+
+    def coverages(self, n: int, held_q: set[str], held_a: set[str]) -> tuple[float, float]:
+        """Shares of record n's question and answer inside passages that a training record holds."""
+        return tuple(coverage(text, size, held) for text, size, held in zip(self.records[n], self.sizes[n], (held_q, held_a), strict=True))
+
     def matches(self, q: str, a: str) -> list[tuple[int, float, float, float, float]]:
         """(record, question coverage, answer coverage, equal words of each) for the records that the pair repeats."""
-        if not self.owners:
-            return []
-        known, said = self.letters.known.get, (q, a)
-        q, a = ("".join([known(w, "\n") for w in t.split(" ")]) for t in (q, a))
-        hit = {k for _, k in self.automaton.iter(f"{q}\n{a}".translate(self.letters.spelling))}
-        if not hit:
-            return []
-        counts = np.bincount(np.concatenate([self.owners[k] for k in hit]), minlength=len(self.records))
-        found = np.nonzero(counts >= self.need)[0].tolist()
-        if not found:
-            return []
-        out, same = [], self.same
-        bag_q, bag_a = bag(q), bag(a)
-        for n in found:
-            theirs_q, theirs_a = self.bags[n]
-            alike_a = len(bag_a & theirs_a) / max(len(bag_a), len(theirs_a))
-            if alike_a < same or (alike_q := len(bag_q & theirs_q) / max(len(bag_q), len(theirs_q))) < same:
-                continue
-            if len(self.letters.known) > _LAST - _FIRST:
-                alike_q, alike_a = (same_words(x.split(" "), y.split(" ")) for x, y in zip(said, self.texts[n], strict=True))
-                if min(alike_q, alike_a) < same:
-                    continue
-            sizes, (eq, ea) = self.sizes[n], self.records[n]
-            held_q, held_a = set(passages(q, sizes[0])), set(passages(a, sizes[1]))
-            theirs = self.held[n]
-            if len(theirs & (held_q | held_a)) >= self.total[n]:
-                out.append((n, coverage(eq, sizes[0], held_q), coverage(ea, sizes[1], held_a), alike_q, alike_a))
-        return out
-
-
-def _scan(same: float):
-    names = ["train_class", "eval_class", "question_coverage", "answer_coverage", "question_same", "answer_same"]
-
+        found = [(n, alike) for n, theirs in enumerate(self.texts) if (alike := alike_pair((q, a), theirs, self.same))]
+        held = (self.held(q), self.held(a)) if found else ()
+        return [(n, *self.coverages(n, *held), *alike) for n, alike in found]
+
+
+def alike_pair(one: tuple[str, str], other: tuple[str, str], same: float) -> tuple[float, float] | None:
+    """Equal words of questions and of answers, where both reach ``same``."""
+    out = []
+    for x, y in zip(one, other, strict=True):
+        share = same_words(x.split(" "), y.split(" "))
+        if share < same:
+            return None
+        out.append(share)
+    return tuple(out)
+
+
+def _differing(n: int, others: np.ndarray, same: float) -> np.ndarray:
+    """Most words by which a text of n words and each of others differ if they share ``same`` of the longer one's;
+    negative where lengths alone rule that out."""
+    return n + others - 2 * np.ceil(same * np.maximum(n, others) - 1e-6).astype(np.int64)
+
+
+def near_sketches(train: np.ndarray, evaluation: np.ndarray, same: float = SAME_WORDS) -> Iterator[tuple[int, np.ndarray]]:
+    """(training row, evaluation rows) whose sketches differ in no more bits than words may; columns as ``_SKETCH``."""
+    order = np.argsort(evaluation[:, 0], kind="stable")
+    lengths, answers = evaluation[order, 0], evaluation[order, 3]
+    q0, q1, a0, a1 = (np.ascontiguousarray(evaluation[order, k]).view(np.uint64) for k in (1, 2, 4, 5))
+    ordered, reach = lengths.tolist(), {}
+    for row, (qn, an) in enumerate(train[:, [0, 3]].tolist()):
+        if qn not in reach:
+            lo, hi = bisect_left(ordered, ceil(same * qn - 1e-6)), bisect_right(ordered, int(qn / same + 1e-6))
+            reach[qn] = lo, hi, np.minimum(_differing(qn, lengths[lo:hi], same), 255).astype(np.uint8)
+        lo, hi, most = reach[qn]
+        b0, b1, c0, c1 = train[row, [1, 2, 4, 5]].view(np.uint64)
+        apart = np.bitwise_count(q0[lo:hi] ^ b0)
+        apart += np.bitwise_count(q1[lo:hi] ^ b1)
+        at = np.flatnonzero(apart <= most) + lo
+        if len(at):
+            apart = np.bitwise_count(a0[at] ^ c0) + np.bitwise_count(a1[at] ^ c1)
+            at = at[apart <= _differing(an, answers[at], same)]
+            if len(at):
+                yield row, order[at]
+
+
+def _near(same: float):
     def run(key, train: pd.DataFrame, evaluation: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        ours, theirs = [], []
         if len(train) and len(evaluation):
-            shard = Shard(list(zip(evaluation["q"], evaluation["a"], strict=True)), same)
-            classes = evaluation["class"].tolist()
-            for name, q, a in zip(train["class"], train["q"], train["a"], strict=True):
-                out += [(name, classes[n], *figures) for n, *figures in shard.matches(q, a)]
-        return pd.DataFrame(out, columns=names)
+            sketches = [np.ascontiguousarray(side[list(_SKETCH)].to_numpy(dtype=np.int64)) for side in (train, evaluation)]
+            for row, rows in near_sketches(*sketches, same):
+                ours.append(np.full(len(rows), row))
+                theirs.append(rows)
+        pick = [side["class"].to_numpy()[np.concatenate(at)] if at else [] for side, at in ((train, ours), (evaluation, theirs))]
+        return pd.DataFrame({"train_class": pick[0], "eval_class": pick[1]})
+
+    return run
+
+
+def _compare(same: float):
+    names = ["train_class", "eval_class", "question_coverage", "answer_coverage", "question_same", "answer_same"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ours, theirs = (list(zip(pdf[q], pdf[a], strict=True)) for q, a in (("tq", "ta"), ("eq", "ea")))
+            alike = [alike_pair(x, y, same) for x, y in zip(ours, theirs, strict=True)]
+            number: dict[tuple[str, str], int] = {}
+            for pair, both in zip(theirs, alike, strict=True):
+                if both:
+                    number.setdefault(pair, len(number))
+            shard, out = Shard(list(number), same), []
+            for k, both in enumerate(alike):
+                if both:
+                    held = (shard.held(text) for text in ours[k])
+                    out.append((pdf["train_class"].iat[k], pdf["eval_class"].iat[k], *shard.coverages(number[theirs[k]], *held), *both))
+            yield pd.DataFrame(out, columns=names)
 
     return run
 
@@ -219,23 +274,31 @@ def cross_split_overlaps(
     """Pairs (train_id, eval_id, question_coverage, answer_coverage, question_same, answer_same)."""
     side = F.when(F.col(split) == "train", "train").when(F.col(split).isin("dev", "test"), "eval")
     chosen = rows.select(F.col(id_col).cast("string").alias("id"), side.alias("side"), F.col(question).alias("question"), F.col(answer).alias("answer"))
-    normal = spread(chosen.where("id IS NOT NULL AND side IS NOT NULL")).mapInPandas(_normal, "id string, side string, q string, a string")
+    sketched = ", ".join(f"{c} long" for c in _SKETCH)
+    normal = spread(chosen.where("id IS NOT NULL AND side IS NOT NULL")).mapInPandas(_normal, f"id string, side string, q string, a string, {sketched}")
     normal = materialize(normal.where("q <> '' AND a <> ''").withColumn("class", F.unhex(F.md5(F.concat_ws("\n", "q", "a")))), "p5-normal")
-    classes = materialize(normal.select("class", "side", "q", "a").dropDuplicates(["class", "side"]), "p5-classes")
+    classes = materialize(normal.drop("id").dropDuplicates(["class", "side"]), "p5-classes")
     sizes = {r.side: r.n for r in classes.groupBy("side").agg(F.count("*").alias("n")).collect()}  # two rows
-    shards, blocks = max(1, -(-sizes.get("eval", 0) // shard_records)), max(1, -(-sizes.get("train", 0) // block_records))
+    shards = max(1, -(-sizes.get("eval", 0) // shard_records))
+    blocks = max(2 * rows.sparkSession.sparkContext.defaultParallelism // shards, -(-sizes.get("train", 0) // block_records), 1)
     digest = F.xxhash64("class")
     left = classes.where("side = 'train'").select(
-        "class", "q", "a", F.pmod(digest, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+        "class", *_SKETCH, F.pmod(digest, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     )
     right = classes.where("side = 'eval'").select(
-        "class", "q", "a", F.pmod(digest, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        "class", *_SKETCH, F.pmod(digest, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     )
-    schema = "train_class binary, eval_class binary, question_coverage double, answer_coverage double, question_same double, answer_same double"
     tasks = shards * blocks
     left, right = (side.repartition(tasks, "shard", "block") for side in (left, right))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_scan(min_same), schema)
-    found = materialize(found, "p5-found")
+    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_near(min_same), "train_class binary, eval_class binary")
+    near = materialize(near, "p5-near")
+    texts = [
+        classes.where(f"side = '{side}'").select(F.col("class").alias(f"{side}_class"), F.col("q").alias(f"{side[0]}q"), F.col("a").alias(f"{side[0]}a"))
+        for side in ("train", "eval")
+    ]
+    schema = "train_class binary, eval_class binary, question_coverage double, answer_coverage double, question_same double, answer_same double"
+    found = near.join(texts[0], "train_class").join(texts[1], "eval_class").select("train_class", "eval_class", "tq", "ta", "eq", "ea")
+    found = materialize(found.mapInPandas(_compare(min_same), schema), "p5-found")
     members = normal.select("id", "side", "class")
     trains = members.where("side = 'train'").select(F.col("id").alias("train_id"), F.col("class").alias("train_class"))
     evals = members.where("side = 'eval'").select(F.col("id").alias("eval_id"), F.col("class").alias("eval_class"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from skarn.llm import crosssplit
 from skarn.llm.chars import words
 
@@ -89,5 +91,34 @@ def test_no_pair_of_the_criterion_is_lost():
     assert crosssplit.Shard([whole]).matches(*fourth)
 
 
+def test_sketches_lose_no_pair():
+    """Every pair of the criterion, words in any order, is among the near sketches; of the others few are."""
+    rng = random.Random(4)
+    vocabulary = [f"w{n}" for n in range(2000)]
+    train, evaluation = [], []
+    for n in [1, 2, 3, 4, 7, 18, 25, 40, 50, 200] * 6:
+        pair = [[rng.choice(vocabulary) for _ in range(n)] for _ in range(2)]
+        other = [changed(rng, t, crosssplit.SAME_WORDS, rng.choice(["random", "left out", "put in"])) for t in pair]
+        for t in other:
+            rng.shuffle(t)
+        train.append(pair)
+        evaluation.append(other)
+    bits = crosssplit._Bits()
+    columns = [np.array([(*crosssplit.sketch(q, bits), *crosssplit.sketch(a, bits)) for q, a in side]) for side in (train, evaluation)]
+    near = {(n, m) for n, rows in crosssplit.near_sketches(*columns) for m in rows.tolist()}
+    texts = [[tuple(" ".join(t) for t in pair) for pair in side] for side in (train, evaluation)]
+    want = {(n, m) for n, x in enumerate(texts[0]) for m, y in enumerate(texts[1]) if crosssplit.alike_pair(x, y, crosssplit.SAME_WORDS)}
+    assert want <= near and len(want) >= 40 and len(near) < 400
+
+
+def test_words_in_another_order_are_equal(spark):
+    """As in the SQL, which compares bags of words."""
+    rng = random.Random(6)
+    q, a = [f"k{n}" for n in range(30)], [f"v{n}" for n in range(30)]
+    rows = [("a", "train", " ".join(q), " ".join(a))] + [(f"b{n}", "dev", " ".join(rng.sample(q, 30)), " ".join(rng.sample(a, 30))) for n in range(3)]
+    got = crosssplit.cross_split_overlaps(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)).collect()
+    assert {(r.train_id, r.eval_id) for r in got} == brute(rows) == {("a", f"b{n}") for n in range(3)}
+
+
 def test_empty(spark):
     assert crosssplit.cross_split_overlaps(spark.createDataFrame([], SCHEMA)).count() == 0
