@@ -6,11 +6,12 @@ copy are scored by closing-word terminality: how often the words a text ends wit
 quotation anywhere in the corpus, against how often they stand there at all.
 
 A cut copy is contained in its original rather than similar to it, so two searches are made. Of near-copies in a band,
-each text is aligned with the longest of its own class of length and of the next; a class spans a factor of 1 / 0.8,
-which is as much longer as an original of similarity 0.8 can be. Word-for-word beginnings are looked up whatever the
+each open-ended text is aligned with every longer one, so that no other copy stands between it and its original.
+Word-for-word beginnings are looked up whatever the
 length of the original: every text offers hashes of its first 8, 16, 24, ... words, every open-ended one asks for its
 deepest; originals found in this way offer hashes of the up to seven words beyond, each with the word that follows, and a
-text is flagged if its own words up to the last are among them and the last goes on there. Both are linear in the rows.
+text is flagged if its own words up to the last are among them and the last goes on there. The second is linear in the rows,
+the first in the pairs of an open-ended and a longer text of a band.
 
 An end by a mark of omission, inside an open quotation, bracket, call or list number is settled by that; every other open
 end is scored by its closing words. A text that ends with a closing mark or a closed unit is complete.
@@ -246,19 +247,19 @@ def _cut_beginnings(rows: DataFrame, distinct: DataFrame, texts: DataFrame) -> D
 
 def _cut_near_copies(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     """Digests of texts that end before a longer near-copy does."""
-    size = F.floor(F.log("e.n_chars") / F.log(F.lit(1 / SIMILARITY))).cast("int")
     banded = distinct.where("e.bands IS NOT NULL").select(
-        "digest", "e.n_chars", "e.table_name", "e.row_key", "e.state", size.alias("size"), F.explode("e.bands").alias("band")
+        "digest", "e.n_chars", "e.table_name", "e.row_key", "e.state", F.explode("e.bands").alias("band")
     )
     banded = materialize(banded, "p2-bands")
-    centre = F.struct("n_chars", "digest", "table_name", "row_key")
-    centres = banded.groupBy(F.xxhash64("band", "size").alias("cell")).agg(F.max(centre).alias("c"))
-    cells = F.explode(F.array(F.xxhash64("band", "size"), F.xxhash64("band", F.col("size") + 1))).alias("cell")
-    open_ended = banded.where(F.col("state") != COMPLETE).select("digest", "n_chars", "table_name", "row_key", cells)
+    open_ended = banded.where(F.col("state") != COMPLETE).select("digest", "n_chars", "table_name", "row_key", "band")
+    least = open_ended.groupBy("band").agg(F.min("n_chars").alias("least"))
+    members = banded.select("band", F.col("n_chars").alias("c_chars"), F.col("table_name").alias("c_table"), F.col("row_key").alias("c_key"))
+    members = salted_join(members, least, "band", "inner", "c_key").where("c_chars > least").drop("least")
+    members = materialize(members, "p2-longer")
     pairs = (
-        salted_join(open_ended, centres, "cell", "inner", "digest")
-        .where(F.col("n_chars") < F.col("c.n_chars"))
-        .select("digest", "table_name", "row_key", F.col("c.table_name").alias("c_table"), F.col("c.row_key").alias("c_key"))
+        salted_join(members, open_ended, "band", "inner", "c_key")
+        .where("n_chars < c_chars")
+        .select("digest", "table_name", "row_key", "c_table", "c_key")
         .distinct()
     )
     pairs = materialize(pairs, "p2-pairs")

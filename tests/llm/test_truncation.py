@@ -80,6 +80,16 @@ def test_cut_copies_of_any_depth_are_found(spark):
     assert sum(near) >= 0.9 * len(near)
 
 
+def test_every_longer_near_copy_is_aligned(spark):
+    """A copy of an original that is not the longest of its bands, under another first word."""
+    common = [f"word{n}" for n in range(90)]
+    rows = [("t", n, "s", None, None, " ".join([f"first{n}"] + common + [f"long{n}x{k}" for k in range(8)]) + ".") for n in range(40)]
+    rows += [("t", 100 + n, "s", None, None, " ".join([f"other{n}"] + common + [f"own{n}x{k}" for k in range(6)]) + ".") for n in range(5)]
+    rows += [("t", 200 + n, "s", None, None, " ".join([f"changed{n}"] + common + [f"own{n}x{k}" for k in range(4)])) for n in range(5)]
+    got = {r.row_key: r.found_by for r in truncation.cut_texts(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    assert all(got[200 + n] == "alignment" for n in range(5)) and not any(got[k] for k in got if k < 200)
+
+
 def test_words_that_close_lines_do_not_cut(spark):
     rows = [("t", n, "s", None, None, f"Front desk checklist\nDo step {n} and the rest.") for n in range(20)]
     rows += [("t", 100, "s", None, None, "Night audit checklist"), ("t", 101, "s", None, None, "Do step seven and the")]
