@@ -59,14 +59,14 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, list[str]]] = []
+        self.items: list[tuple[int, Item]] = []
         numbers: list[np.ndarray] = []
         self.short: dict[tuple[int, ...], list[int]] = {}
         for item_id, text in items:
             tokens = tokens_of(text or "")
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens], dtype=np.int64)
             if len(ids) >= 8:
-                self.items.append((item_id, tokens))
+                self.items.append((item_id, Item(tokens)))
                 numbers.append(ids)
             elif len(ids):
                 self.short.setdefault(tuple(ids.tolist()), []).append(item_id)
@@ -108,17 +108,30 @@ class Index:
         return found
 
 
-def _resync(item: list[str], k: int, stream: str, p: int) -> tuple[int, int, int] | None:
-    """Where the item goes on after a changed word at ``k``: (next k, next p, changed words), or None."""
-    for skip in (0, 1, 2):
-        if k + skip >= len(item):
-            return None
-        target = item[k + skip] + (item[k + skip + 1] if k + skip + 1 < len(item) else "")
-        room = sum(map(len, item[k : k + skip])) + 24
-        q = stream.find(target, p, p + room + len(target))
-        if q >= 0 and (len(target) > 3 or skip == 1):
-            return k + skip, q, max(1, skip)
-    return None
+class Side:
+    """The words of an item in one direction, and for each word what the text is searched for if it does not follow:
+    (next word, letters of it and the one after, how far they may stand, changed words)."""
+
+    def __init__(self, words: list[str]):
+        self.words = [(w, len(w)) for w in words]
+        self.ahead: list[list[tuple[int, str, int, int]]] = []
+        for k in range(len(words)):
+            here = []
+            for skip in range(min(3, len(words) - k)):
+                target = "".join(words[k + skip : k + skip + 2])
+                if len(target) > 3 or skip == 1:
+                    here.append((k + skip, target, sum(map(len, words[k : k + skip])) + 24 + len(target), max(1, skip)))
+            self.ahead.append(here)
+
+
+class Item:
+    """The words of an item, forwards and backwards."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.forward, self.back = words, Side(words), Side([w[::-1] for w in words[::-1]])
+
+    def __len__(self) -> int:
+        return len(self.words)
 
 
 class Stream:
@@ -130,17 +143,19 @@ class Stream:
         self.back_starts = [len(self.back) - p for p in reversed(self.starts)]
 
 
-def _extend(item: list[str], k: int, stream: str, starts: list[int], p: int, tolerance: int) -> list[int]:
+def _extend(side: Side, k: int, stream: str, starts: list[int], p: int, tolerance: int) -> list[int]:
     """Changed words counted at each item word from ``k`` on, as far as the text follows the item from letter ``p`` on.
 
     Where the item is not found again close by, one word counts as replaced by one word of the text. The budget starts
     with the changes that a stretch of the whole item may have, as the words beyond the hit count too.
     """
     out: list[int] = []
-    budget, since = max(2, (len(item) + tolerance // 2) // tolerance), 0
-    while k < len(item):
-        if stream.startswith(item[k], p):
-            p += len(item[k])
+    words, n, follows, find = side.words, len(side.words), stream.startswith, stream.find
+    budget, since = max(2, (n + tolerance // 2) // tolerance), 0
+    while k < n:
+        word, size = words[k]
+        if follows(word, p):
+            p += size
             out.append(0)
             k += 1
             since += 1
@@ -149,11 +164,14 @@ def _extend(item: list[str], k: int, stream: str, starts: list[int], p: int, tol
             continue
         if budget <= 0:
             break
-        if (nxt := _resync(item, k, stream, p)) is None:
+        for new_k, target, reach, cost in side.ahead[k]:
+            if (q := find(target, p, p + reach)) >= 0:
+                p = q
+                break
+        else:
             if (after := bisect_right(starts, p)) >= len(starts) - 1:
                 break
-            nxt = k + 1, starts[after], 1
-        new_k, p, cost = nxt
+            new_k, p, cost = k + 1, starts[after], 1
         budget -= cost
         if new_k == k:  # a word put in: charged to the word before
             if out:
@@ -164,7 +182,7 @@ def _extend(item: list[str], k: int, stream: str, starts: list[int], p: int, tol
     return out
 
 
-def overlap(item: list[str], text: Stream, at: int, position: int, tolerance: int = TOLERANCE, least: int = 1) -> tuple[int, int, int, int]:
+def overlap(item: Item, text: Stream, at: int, position: int, tolerance: int = TOLERANCE, least: int = 1) -> tuple[int, int, int, int]:
     """Longest stretch of item words around the hit that stands in the text in order: (words, changed words inside, first
     item word, end of the equal words that follow the hit).
 
@@ -172,13 +190,16 @@ def overlap(item: list[str], text: Stream, at: int, position: int, tolerance: in
     and mark-up inside words do not count as changes. The stretch starts and ends with equal words and has at most about
     one changed word in ``tolerance``. Stretches of fewer than ``least`` words are not looked for.
     """
-    after = _extend(item, position, text.letters, text.starts, text.starts[at], tolerance)
+    after = _extend(item.forward, position, text.letters, text.starts, text.starts[at], tolerance)
+    equal = position + next((k for k, c in enumerate(after) if c), len(after))
+    needed = least - (least + tolerance // 2) // tolerance  # equal words; a longer stretch needs no fewer
+    if after.count(0) + position < needed:
+        return 0, 0, position, equal
     start = len(text.letters) - text.starts[at]
-    before = _extend([w[::-1] for w in item[::-1]], len(item) - position, text.back, text.back_starts, start, tolerance)
+    before = _extend(item.back, len(item) - position, text.back, text.back_starts, start, tolerance)
     cost = before[::-1] + after
-    equal = position + next((k for k, c in enumerate(after) if c), len(after))
     n = len(cost)
-    if cost.count(0) < least - (least + tolerance // 2) // tolerance:  # a longer stretch needs no fewer equal words
+    if cost.count(0) < needed:
         return 0, 0, position, equal
     total = [0]
     for c in cost:
@@ -191,7 +212,7 @@ def overlap(item: list[str], text: Stream, at: int, position: int, tolerance: in
     return 0, 0, position, equal
 
 
-def longest(item: list[str], text: Stream, hits: dict[int, set[int]], tolerance: int = TOLERANCE, least: int = 1) -> tuple[int, int]:
+def longest(item: Item, text: Stream, hits: dict[int, set[int]], tolerance: int = TOLERANCE, least: int = 1) -> tuple[int, int]:
     """Longest stretch around any hit, the one with fewest changed words: (words, changed words inside).
 
     Hits inside a stretch already verified on their diagonal are covered by it.

@@ -62,5 +62,17 @@ def test_blocks_give_the_same(spark):
     assert scan(spark, docs, items, block_items=2) == scan(spark, docs, items) and len(scan(spark, docs, items)) == 18
 
 
+def test_hits_that_cannot_suffice_are_walked_one_way(monkeypatch):
+    calls = []
+    extend = leakage._extend
+    monkeypatch.setattr(leakage, "_extend", lambda *args: calls.append(1) or extend(*args))
+    index = leakage.Index([(1, " ".join(ITEM))])
+    _, item = index.items[0]
+    text = leakage.Stream(OTHER[:30] + ITEM[:7] + OTHER[30:60])
+    assert leakage.overlap(item, text, 30, 0, least=20)[0] == 0 and len(calls) == 1
+    text = leakage.Stream(OTHER[:30] + ITEM[5:40] + OTHER[30:60])
+    assert leakage.overlap(item, text, 30, 5, least=20)[:2] == (35, 0) and len(calls) == 3
+
+
 def test_empty(spark):
     assert scan(spark, [], [(1, "x")]) == {} and scan(spark, ["x"], [(2, None)]) == {}
