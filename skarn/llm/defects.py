@@ -1,17 +1,17 @@
 """Problem 4: broken prompt and response pairs.
 
-Method: a multi-label linear classifier on hashed n-grams and pair features. It is fitted on a bounded sample of pairs
-(``sample_rows``, a documented parameter): each as it is if nothing speaks against it, and truncated, replaced by a copy
+Method: a multi-label linear classifier on hashed n-grams and pair features. It is fitted on three quarters of all
+pairs, in chunks whose weights are averaged: each as it is if nothing speaks against it, and truncated, replaced by a copy
 of its question, swapped with an answer in another language, respelled as if in a language or script that no sampled text
-has, replaced by a refusal, or emptied. Thresholds are calibrated on a held-out part of these synthetic pairs: each is
+has, replaced by a refusal, or emptied. Thresholds are calibrated on the synthetic pairs of the last quarter: each is
 where missed defects, and wrongly named pairs at ``COST`` times their share, are fewest. The label of a row is the classifier's: of the defects whose score is over their
 threshold the one that is furthest over it, in units of the spread of its held-out scores. Word lists and end patterns
 are features among others and decide nothing by themselves.
 
-Language is told by character three-grams: the sampled texts give a profile of each language in them, an answer is scored
+Language is told by character three-grams: the fitted texts give a profile of each language in them, an answer is scored
 under the profile of its question's language, and its letters are compared with the question's script, so answers in
 languages and scripts of no list are seen. Refusals are told by their words and by what they lack: words of the trade,
-as the sampled answers have them, calls, paths, figures.
+as the fitted answers have them, calls, paths, figures.
 
 The model, some ten thousand weights, goes to the tasks with the function. Answers without another defect whose end is in
 doubt (a bare call, a closing quotation) are settled by closing-word counts over all answers, as for cut texts.
@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,8 @@ from skarn.plans.spread import spread
 LABELS = ("empty", "truncated", "refusal", "copied_question", "other_language")
 PAIR_LABELS = [3, 4]
 DIMENSIONS = 1 << 13
-SAMPLE_ROWS = 4_000
+#: Rows whose examples are fitted at once.
+CHUNK_ROWS = 4_000
 #: A threshold may miss this share of the held-out synthetic defects to spare one share of the other pairs.
 COST = 10.0
 #: Penalty of the squared weights of the pair features.
@@ -123,18 +125,28 @@ class Profiles:
         counts: dict[int, np.ndarray] = {}
         kept: dict[int, list[np.ndarray]] = {}
         for text in texts:
-            scores = language_scores(language_words(text))
-            language, points = scores.index(max(scores)), _points(_spelled(text))
-            if max(scores) < 0.08 or len(points) < self.LEAST:
-                continue
-            grams = _grams(points)
-            counts[language] = counts.get(language, 0) + np.bincount(grams, minlength=GRAMS)
-            kept.setdefault(language, []).append(grams)
-        self.known = [k for k in sorted(counts) if len(kept[k]) >= 8]
-        self.logs = np.stack([np.log((counts[k] + 0.3) / (counts[k].sum() + 0.3 * GRAMS)) for k in self.known], axis=1).astype(np.float32) if self.known else np.zeros((GRAMS, 0), np.float32)
+            if (own := self.grams(text)) is not None:
+                language, grams = own
+                counts[language] = counts.get(language, 0) + np.bincount(grams, minlength=GRAMS)
+                kept.setdefault(language, []).append(grams)
+        self.count(counts, {k: len(v) for k, v in kept.items()})
         own = [np.array([self.logs[g, n].mean() for g in kept[k]]) for n, k in enumerate(self.known)]
-        self.mean = np.array([x.mean() for x in own], dtype=np.float32)
-        self.spread = np.array([max(0.05, x.std()) for x in own], dtype=np.float32)
+        self.measure([x.mean() for x in own], [x.std() for x in own])
+
+    @classmethod
+    def grams(cls, text: str) -> tuple[int, np.ndarray] | None:
+        """Language by function words, and the three-grams, of a text that is long enough and of a language at all."""
+        scores = language_scores(language_words(text))
+        points = _points(_spelled(text))
+        return None if max(scores) < 0.08 or len(points) < cls.LEAST else (scores.index(max(scores)), _grams(points))
+
+    def count(self, counts: dict[int, np.ndarray], texts: dict[int, int]) -> None:
+        self.known = [k for k in sorted(counts) if texts[k] >= 8]
+        self.logs = np.stack([np.log((counts[k] + 0.3) / (counts[k].sum() + 0.3 * GRAMS)) for k in self.known], axis=1).astype(np.float32) if self.known else np.zeros((GRAMS, 0), np.float32)
+
+    def measure(self, means: list[float], spreads: list[float]) -> None:
+        self.mean = np.array(means, dtype=np.float32)
+        self.spread = np.array([max(0.05, x) for x in spreads], dtype=np.float32)
 
     def standing(self, texts: list[str]) -> np.ndarray:
         """How usual each text's letters are in each language, in spreads from the mean; NaN for too short a text."""
@@ -483,22 +495,158 @@ def _score(model: Model):
     return run
 
 
-def sample_pairs(pairs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``sample_rows`` pairs with both parts, by the digest of their id, so the same rows in every run."""
-    chosen = (
-        pairs.where("question IS NOT NULL AND answer IS NOT NULL AND result_id IS NOT NULL")
-        .select("result_id", F.xxhash64("result_id", F.lit(SEED)).alias("digest"))
-        .orderBy("digest")
-        .limit(sample_rows)
-    )
-    rows = pairs.join(F.broadcast(chosen), "result_id").orderBy("digest").limit(sample_rows).select("question", "answer")
-    return [(r.question, r.answer) for r in rows.collect()]
+_COUNTS = "kind string, key string, n long"
+
+
+def _counting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Answers by word ('w'), texts by language ('t') and three-grams by language ('g' and its number)."""
+    said, texts, grams = Counter(), Counter(), {}
+
+    def flush() -> pd.DataFrame:
+        out = [("w", w, n) for w, n in said.items()]
+        said.clear()
+        return pd.DataFrame(out, columns=["kind", "key", "n"])
+
+    for pdf in batches:
+        for column in ("answer", "question"):
+            for text in map(plain, pdf[column]):
+                if column == "answer":
+                    said.update(set(words(text)))
+                if (own := Profiles.grams(text)) is not None:
+                    language, slots = own
+                    texts[language] += 1
+                    grams[language] = grams.get(language, 0) + np.bincount(slots, minlength=GRAMS)
+        if len(said) > 200_000:
+            yield flush()
+    yield flush()
+    out = [("t", str(k), n) for k, n in texts.items()]
+    out += [(f"g{k}", str(slot), int(counts[slot])) for k, counts in grams.items() for slot in np.nonzero(counts)[0]]
+    yield pd.DataFrame(out, columns=["kind", "key", "n"])
+
+
+def _measuring(profiles: Profiles):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Number, sum and sum of squares of the texts' mean log probabilities, by language."""
+        sums = np.zeros((len(profiles.known), 3))
+        place = {k: n for n, k in enumerate(profiles.known)}
+        for pdf in batches:
+            for column in ("answer", "question"):
+                for text in map(plain, pdf[column]):
+                    if (own := Profiles.grams(text)) is not None and (n := place.get(own[0])) is not None:
+                        x = float(profiles.logs[own[1], n].mean())
+                        sums[n] += 1, x, x * x
+        yield pd.DataFrame([(n, *row) for n, row in enumerate(sums.tolist())], columns=["place", "n", "x", "xx"])
+
+    return run
+
+
+def _examples(pdf: pd.DataFrame, features: Features, seed: int):
+    pdf = pdf.sort_values(["digest", "result_id", "question", "answer"])
+    q, a, y = synthetic(list(zip(pdf["question"], pdf["answer"], strict=True)), seed)
+    return (*features(q, a)[:3], y) if q else None
+
+
+_WEIGHTS = "n double, hashed binary, dense binary"
+
+
+def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    share = pdf["n"] / pdf["n"].sum()
+    parts = [sum(w * np.frombuffer(x, dtype=np.float64) for w, x in zip(share, pdf[c], strict=True)).tobytes() for c in ("hashed", "dense")]
+    return pd.DataFrame([(pdf["n"].sum(), *parts)], columns=["n", "hashed", "dense"])
+
+
+def _fitting(profiles: Profiles, trade: frozenset[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The weights of one chunk's examples and how many they are."""
+        model, out = Model(profiles, trade), []
+        if (made := _examples(pdf, Features(profiles, trade), SEED)) is not None:
+            model.fit(*made)
+            out.append((float(len(made[3])), *(w.astype(np.float64).tobytes() for w in (model.hashed, model.dense))))
+        return pd.DataFrame(out, columns=["n", "hashed", "dense"])
+
+    return run
+
+
+#: Scores are counted in steps of this size.
+STEP = 1e-3
+
+
+def _calibrating(model: Model):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Examples by label, whether they have it, and score."""
+        out = []
+        if (made := _examples(pdf, Features(model.profiles, model.trade), SEED + 1)) is not None:
+            *parts, y = made
+            steps = np.round(model.scores(*parts) / STEP).astype(np.int64)
+            for k in range(len(LABELS)):
+                for own in (True, False):
+                    out += [(k, own, int(v), int(n)) for v, n in zip(*np.unique(steps[(y[:, k] > 0) == own, k], return_counts=True), strict=True)]
+        return pd.DataFrame(out, columns=["label", "own", "step", "n"])
+
+    return run
+
+
+def counted_threshold(steps: np.ndarray, own: np.ndarray, other: np.ndarray, cost: float = COST) -> tuple[float, float]:
+    """As ``threshold``, from counts by score (sorted), and the median of the own scores."""
+    missed = (np.cumsum(own) - own) / own.sum()
+    wrong = (other.sum() - np.cumsum(other) + other) / max(1, other.sum())
+    places = (own > 0) | (np.arange(len(steps)) > np.argmax(own > 0))
+    best = int(np.argmin(np.where(places, missed + cost * wrong, np.inf)))
+    at = (steps[best] + steps[best - 1]) / 2 * STEP if best else steps[best] * STEP - 1.0
+    return float(at), float(steps[np.searchsorted(np.cumsum(own), own.sum() / 2)] * STEP)
+
+
+def fitted(pairs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Model:
+    """The model of all pairs that have both parts: counts, weights and thresholds from every row, none from a sample.
+
+    Three quarters of the rows, by the digest of their id, give words, profiles and weights; the rest the thresholds.
+    Weights are fitted chunk by chunk and averaged by their number of examples.
+    """
+    digest = F.xxhash64("result_id", F.lit(SEED))
+    both = pairs.where("question IS NOT NULL AND answer IS NOT NULL AND result_id IS NOT NULL").withColumn("digest", digest)
+    numbers = {r.held: r.n for r in both.groupBy((F.pmod("digest", F.lit(4)) == 3).alias("held")).agg(F.count("*").alias("n")).collect()}
+
+    def chunks(held: bool) -> DataFrame:
+        n = max(1, -(-numbers.get(held, 0) // chunk_rows))
+        part = both.where((F.pmod("digest", F.lit(4)) == 3) == F.lit(held))
+        return part.withColumn("chunk", F.pmod(F.shiftright("digest", 2), F.lit(n)).cast("int")).repartition(n, "chunk").groupBy("chunk")
+
+    seen = spread(both.where(F.pmod("digest", F.lit(4)) != 3).select("question", "answer"))
+    counts = materialize(seen.mapInPandas(_counting, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n")), "p4-counts")
+    common = counts.where("kind = 'w'").orderBy(F.desc("n"), "key").limit(VOCABULARY).collect()
+    trade = frozenset(r.key for r in common if r.n > 2 and r.key not in WEIGHTS)
+    texts, grams = {}, {}
+    for r in counts.where("kind <> 'w'").collect():  # at most a row for each language and slot
+        if r.kind == "t":
+            texts[int(r.key)] = r.n
+        else:
+            grams.setdefault(int(r.kind[1:]), np.zeros(GRAMS))[int(r.key)] = r.n
+    profiles = Profiles([])
+    profiles.count(grams, texts)
+    sums = seen.mapInPandas(_measuring(profiles), "place int, n double, x double, xx double").groupBy("place").agg(*(F.sum(c).alias(c) for c in ("n", "x", "xx")))
+    sums = {r.place: r for r in sums.collect()}
+    means = [sums[n].x / sums[n].n for n in range(len(profiles.known))]
+    profiles.measure(means, [max(0.0, sums[n].xx / sums[n].n - m * m) ** 0.5 for n, m in enumerate(means)])
+    model = Model(profiles, trade)
+    weights = materialize(chunks(False).applyInPandas(_fitting(profiles, trade), _WEIGHTS), "p4-weights")
+    weights = weights.groupBy(F.pmod(F.xxhash64("hashed"), F.lit(16))).applyInPandas(_average, _WEIGHTS).toPandas()  # at most 16 rows
+    if len(weights):
+        whole = _average(weights.sort_values("hashed"))
+        model.hashed = np.frombuffer(whole["hashed"][0]).astype(np.float32).reshape(model.hashed.shape)
+        model.dense = np.frombuffer(whole["dense"][0]).astype(np.float32).reshape(model.dense.shape)
+    scores = chunks(True).applyInPandas(_calibrating(model), "label int, own boolean, step long, n long")
+    scores = scores.groupBy("label", "step").agg(F.sum(F.expr("if(own, n, 0)")).alias("own"), F.sum(F.expr("if(own, 0, n)")).alias("other")).toPandas()
+    for k, of in scores.sort_values("step").groupby("label"):
+        if of["own"].sum():
+            model.thresholds[k], median = counted_threshold(*(of[c].to_numpy() for c in ("step", "own", "other")))
+            model.spreads[k] = max(0.1, median - model.thresholds[k])
+    return model
 
 
-def defective_pairs(rows: DataFrame, id_col: str = "result_id", question: str = "question", answer: str = "generated_answer", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def defective_pairs(rows: DataFrame, id_col: str = "result_id", question: str = "question", answer: str = "generated_answer", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(result_id, defect): one row per defective pair."""
     pairs = rows.select(F.col(id_col).cast("long").alias("result_id"), F.col(question).alias("question"), F.col(answer).alias("answer"))
-    model = train(sample_pairs(pairs, sample_rows))
+    model = fitted(pairs, chunk_rows)
     scored = materialize(spread(pairs).mapInArrow(_score(model), _SCHEMA), "p4-scored")
     sure = scored.where("defect IS NOT NULL AND defect <> 'doubt'").select("result_id", "defect")
     counts = scored.where("defect IS NULL").groupBy("key").agg(F.sum("n_stands").alias("n_stands"), F.sum("n_closes").alias("n_closes"))

@@ -75,6 +75,23 @@ def test_awkward_rows(spark):
     assert got == [(100, "empty"), (101, "empty"), (102, "truncated"), (103, "refusal"), (103, "refusal")]
 
 
+def test_thresholds_from_counts():
+    rng = np.random.default_rng(2)
+    steps = np.arange(-40, 60)
+    own, other = (rng.poisson(np.exp(-((steps - at) / 12.0) ** 2) * n) for at, n in ((25, 30), (-10, 300)))
+    want = defects.threshold(np.repeat(steps, own) * defects.STEP, np.repeat(steps, other) * defects.STEP)
+    kept = own + other > 0
+    assert np.isclose(defects.counted_threshold(steps[kept], own[kept], other[kept])[0], want)
+
+
+def test_every_row_counts(spark):
+    """Words of the trade come from all rows that are fitted, whatever the size of a chunk."""
+    answers = [f"Use the stay call {'abcdefghijklmnopqrstuvwxyz'[n // 16] * 5} of the interface and set the date in the form." for n in range(400)]
+    df = spark.createDataFrame([(n, Q, a) for n, a in enumerate(answers)], "result_id long, question string, answer string")
+    model = defects.fitted(df, chunk_rows=20)
+    assert {c * 5 for c in "abcdefghijklmnopqrstuvwxy"} <= model.trade and np.abs(model.dense).sum() > 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "result_id long, question string, generated_answer string")
     assert defects.defective_pairs(df).count() == 0
