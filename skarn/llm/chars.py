@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Callable
+
+import numpy as np
 
 #: Letters of other scripts drawn like a Latin letter (Cyrillic, Greek, Armenian, Cherokee, Lisu, phonetic).
 LOOK_ALIKE = {
@@ -57,16 +59,57 @@ def replacements() -> dict[str, str]:
 
 REPLACEMENTS = replacements()
 _TABLE = str.maketrans(REPLACEMENTS)
-_WORDS = re.compile(r"[^\W_]+")
+#: The plane of two-byte characters, as a table: what each becomes, and whether it is replaced by one other (1) or by none or several (2).
+_PLANE = 1 << 16
+_SINGLE = np.arange(_PLANE, dtype=np.uint32)
+_REPLACED = np.zeros(_PLANE, dtype=np.uint8)
+for _c, _becomes in REPLACEMENTS.items():
+    if ord(_c) < _PLANE:
+        _REPLACED[ord(_c)] = 1 if len(_becomes) == 1 else 2
+        if len(_becomes) == 1:
+            _SINGLE[ord(_c)] = ord(_becomes)
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _text(of: np.ndarray) -> str:
+    return of.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+class Apart(dict):
+    """Puts a space for every character that ``keep`` refuses. A translate map, filled as characters come, and a table of
+    the plane of two-byte characters, by which longer texts that are not ASCII are mapped at once."""
+
+    def __init__(self, keep: Callable[[str], bool]):
+        super().__init__()
+        self.keep, self.plane = keep, None
+
+    def __missing__(self, code: int) -> int:
+        self[code] = out = code if self.keep(chr(code)) else 0x20
+        return out
+
+    def __call__(self, text: str) -> str:
+        if text.isascii() or (of := points(text)).max() >= _PLANE:
+            return text.translate(self)
+        if self.plane is None:
+            self.plane = np.array([self[c] for c in range(_PLANE)], dtype=np.uint32)
+        return _text(self.plane[of])
+
+
+_APART = Apart(str.isalnum)
 
 
 def plain(text: str) -> str:
     """The visible form of ``text``: look-alikes, widths and invisible characters unified, accents composed."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", text.translate(_TABLE))
+    of = points(text)
+    how = 2 if of.max() >= _PLANE else _REPLACED[of].max()
+    return unicodedata.normalize("NFC", text if how == 0 else _text(_SINGLE[of]) if how == 1 else text.translate(_TABLE))
 
 
 def words(text: str) -> list[str]:
     """Lower-case words of the visible form, whatever the punctuation and layout."""
-    return _WORDS.findall(plain(text).lower())
+    return _APART(plain(text).lower()).split()

@@ -22,12 +22,14 @@ Defined results. Null, blank, invisible and stand-in answers: 'empty', whatever
 
 from __future__ import annotations
 
+import gc
 import math
 import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pandas as pd
@@ -35,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.chars import plain, words
+from skarn.llm.chars import plain, points, words
 from skarn.llm.endings import CUT, DOUBT, closes, closing_counts, ending, is_copy, stands_for_nothing
-from skarn.llm.language import CODE, NONE, WEIGHTS, language_scores, language_words
+from skarn.llm.language import NONE, WEIGHTS, language_scores, letters
 from skarn.llm.truncation import LEAST_TERMINALITY
 from skarn.plans.shared import materialize
 from skarn.plans.skew import salted_join
@@ -84,9 +86,16 @@ DECLINES = re.compile(
 #: What only an answer holds: a call, a setting, a path, code, a step.
 ANSWERS = re.compile(r"`|/v\d+/|\b(?:GET|POST|PUT|PATCH|DELETE) /|\b(?:Setup|Tools) / |^\s*\d+[.)] |[a-z]+[A-Z]\w+|\bmeans that\b|\bbecause the\b", re.M)
 LABEL = re.compile(r"^\W*(?:q|question|you asked|your question|asked|frage|pregunta|demande)\s*[:\-]\s*|\s*\W*\b(?:a|answer|antwort|respuesta|réponse)\s*:\s*$", re.I)
+_LABEL_BEFORE = re.compile(LABEL.pattern.partition("|\\s*")[0], re.I)
+#: One of these stands, in lower case, in every text that ``DECLINES`` matches.
+_DECLINING = (
+    "cannot", "can't", "can not", "could not", "able to", "not allowed to", "decline", "refuse", "rather not", "prefer not", "outside", "beyond", "nothing i ", "do not ", "don't ", "don’t ",
+    "no answer", "no information", "no comment", "kann ", "je ne ", "no puedo", "lo siento", "désolé",
+)
+#: Letters that count as another letter's other case without being turned into it by ``lower``.
+_ODD_CASE = re.compile("[ſıİ]")
 
 
-_APART = re.compile(r"[\W\d_]+")
 _FIGURE = re.compile(r"\d")
 _CODE_PARTS = re.compile(r"(`[^`\n]*`|\S*[/{}=]\S*)")
 
@@ -95,25 +104,73 @@ def _index(token: str) -> int:
     return zlib.crc32(token.encode()) % DIMENSIONS
 
 
+#: Texts whose endings and letters are kept: the examples of a chunk, which are made and then read.
+KEPT = 1 << 15
+_ending = lru_cache(KEPT)(ending)
+
+
+@lru_cache(KEPT)
 def _spelled(text: str) -> str:
     """The lower-case letters outside code, paths and quotations; one space between words."""
-    return _APART.sub(" ", CODE.sub(" ", text).lower())
+    apart = letters(text)
+    inside = " ".join(apart.split())
+    return (apart[0] == " ") * " " + inside + (apart[-1] == " ") * " " if inside else apart[:1]
+
+
+@lru_cache(KEPT)
+def _told(text: str) -> tuple[int, list[float]]:
+    """Number of words outside code, and the shares of function words by language."""
+    tokens = _spelled(text).split()
+    return len(tokens), language_scores(tokens)
+
+
+def _uncollected(f: Callable) -> Callable:
+    """Without a search for cycles while it runs: the many small lists and counts of a batch hold none."""
+
+    @wraps(f)
+    def run(*args, **named):
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return f(*args, **named)
+        finally:
+            if on:
+                gc.enable()
+
+    return run
+
+
+def _declines(text: str) -> bool:
+    lower = text.lower()
+    return (any(map(lower.__contains__, _DECLINING)) or _ODD_CASE.search(text) is not None) and DECLINES.search(text) is not None
+
+
+def _answers(text: str) -> bool:
+    return "`" in text or ANSWERS.search(text) is not None
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def _unlabelled(text: str) -> str:
+    """The text without the labels before and after it."""
+    return LABEL.sub("", text) if text.rstrip().endswith(":") else _LABEL_BEFORE.sub("", text)
 
 
-def _grams(points: np.ndarray) -> np.ndarray:
-    wide = points.astype(np.uint64)
+def _grams(of: np.ndarray) -> np.ndarray:
+    wide = of.astype(np.uint64)
     mixed = (wide[:-2] * np.uint64(0x9E3779B1) + wide[1:-1] * np.uint64(0x85EBCA77) + wide[2:]) * np.uint64(0xC2B2AE3D)
-    return ((mixed >> np.uint64(13)) % np.uint64(GRAMS)).astype(np.int64)
+    return ((mixed >> np.uint64(13)) & np.uint64(GRAMS - 1)).astype(np.int64)
 
 
-def _script(points: np.ndarray) -> np.ndarray:
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three-grams of texts of three letters or more, end to end; where each text starts; the places over an end."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    return _grams(points("".join(texts))), starts, (starts[1:, None] - np.array([2, 1])).ravel()
+
+
+def _script(of: np.ndarray) -> np.ndarray:
     """A number for the script of each letter; Latin is 0."""
-    latin = (points < 0x250) | ((points >= 0x1E00) & (points < 0x1F00))
-    return np.where(latin, 0, points >> 8)
+    latin = (of < 0x250) | ((of >= 0x1E00) & (of < 0x1F00))
+    return np.where(latin, 0, of >> 8)
 
 
 class Profiles:
@@ -122,23 +179,35 @@ class Profiles:
     LEAST = 20
 
     def __init__(self, texts: list[str]):
-        counts: dict[int, np.ndarray] = {}
-        kept: dict[int, list[np.ndarray]] = {}
+        kept: dict[int, list[str]] = {}
         for text in texts:
-            if (own := self.grams(text)) is not None:
-                language, grams = own
-                counts[language] = counts.get(language, 0) + np.bincount(grams, minlength=GRAMS)
-                kept.setdefault(language, []).append(grams)
-        self.count(counts, {k: len(v) for k, v in kept.items()})
-        own = [np.array([self.logs[g, n].mean() for g in kept[k]]) for n, k in enumerate(self.known)]
+            if (own := self.letters(text)) is not None:
+                kept.setdefault(own[0], []).append(own[1])
+        self.count({k: self.grams(v) for k, v in kept.items()}, {k: len(v) for k, v in kept.items()})
+        own = [self.usual(kept[k], n) for n, k in enumerate(self.known)]
         self.measure([x.mean() for x in own], [x.std() for x in own])
 
     @classmethod
-    def grams(cls, text: str) -> tuple[int, np.ndarray] | None:
-        """Language by function words, and the three-grams, of a text that is long enough and of a language at all."""
-        scores = language_scores(language_words(text))
-        points = _points(_spelled(text))
-        return None if max(scores) < 0.08 or len(points) < cls.LEAST else (scores.index(max(scores)), _grams(points))
+    def letters(cls, text: str) -> tuple[int, str] | None:
+        """Language by function words, and the letters, of a text that is long enough and of a language at all."""
+        scores, spelled = _told(text)[1], _spelled(text)
+        return None if len(spelled) < cls.LEAST or max(scores) < 0.08 else (scores.index(max(scores)), spelled)
+
+    @staticmethod
+    def grams(spelled: list[str], times: np.ndarray | None = None) -> np.ndarray:
+        """How often each three-gram stands in the texts, each counted ``times``."""
+        grams, starts, across = _joined(spelled)
+        ends = np.append(starts[1:], len(grams) + 2)
+        weights = np.repeat(np.ones(len(spelled)) if times is None else times.astype(np.float64), ends - starts)[: len(grams)]
+        weights[across] = 0
+        return np.bincount(grams, weights, GRAMS)
+
+    def usual(self, spelled: list[str], place: int) -> np.ndarray:
+        """The mean log probability of each text's three-grams in one language."""
+        grams, starts, across = _joined(spelled)
+        scores = self.logs[:, place].astype(np.float64)[grams]
+        scores[across] = 0
+        return np.add.reduceat(scores, starts) / np.array([len(t) - 2 for t in spelled])
 
     def count(self, counts: dict[int, np.ndarray], texts: dict[int, int]) -> None:
         self.known = [k for k in sorted(counts) if texts[k] >= 8]
@@ -155,10 +224,8 @@ class Profiles:
         keep = np.nonzero(lengths >= self.LEAST)[0]
         if not len(keep) or not self.known:
             return out
-        grams = _grams(_points("".join([texts[k] for k in keep])))
-        starts = np.cumsum(lengths[keep]) - lengths[keep]
+        grams, starts, across = _joined([texts[k] for k in keep])
         scores = self.logs[grams]
-        across = (starts[1:, None] - np.array([2, 1])).ravel()  # grams over the end of a text
         scores[across] = 0
         out[keep] = (np.add.reduceat(scores, starts, axis=0) / (lengths[keep, None] - 2) - self.mean) / self.spread
         return out
@@ -170,6 +237,22 @@ def trade_words(texts: list[str], most: int = VOCABULARY) -> frozenset[str]:
     return frozenset(w for w, n in counts.most_common(most) if n > 2 and w not in WEIGHTS)
 
 
+class _Numbers(dict):
+    """Numbers of words as they come; with each its hash slot, its weights by language and whether it is of the trade."""
+
+    def __init__(self, trade: frozenset[str]):
+        super().__init__()
+        self.trade = trade
+        self.slots: list[int] = []
+        self.weights: list[tuple[float, ...]] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.slots)
+        self.slots.append(_index(word))
+        self.weights.append((*WEIGHTS.get(word, NONE), float(word in self.trade)))
+        return n
+
+
 class Features:
     """Hashed one- and two-grams of the whole answer, and pair features, of a batch of pairs.
 
@@ -184,25 +267,12 @@ class Features:
 
     def __init__(self, profiles: Profiles, trade: frozenset[str]):
         self.profiles, self.trade = profiles, trade
-        self.numbers: dict[str, int] = {}
-        self.slots: list[int] = []
-        self.weights: list[tuple[float, ...]] = []
+        self.numbers = _Numbers(trade)
         self.questions: dict[str, tuple] = {}
 
-    def _number(self, tokens: list[str]) -> list[int]:
-        numbers, out = self.numbers, []
-        for t in tokens:
-            n = numbers.get(t)
-            if n is None:
-                n = numbers[t] = len(self.slots)
-                self.slots.append(_index(t))
-                self.weights.append((*WEIGHTS.get(t, NONE), float(t in self.trade)))
-            out.append(n)
-        return out
-
     def _ask(self, questions: list[str | None]) -> None:
         """Take from new questions: words, language by function words, place of the language among the profiles or -1,
-        script."""
+        script, number of words."""
         if len(self.questions) > self.MOST // 10:
             self.questions.clear()
         fresh = [q for q in dict.fromkeys(questions) if q and q not in self.questions]
@@ -214,10 +284,10 @@ class Features:
             best = int(standing.argmax()) if len(standing) and standing.max() > -6 else -1
             script = 0
             if not letters.isascii():
-                points = _points(letters)
-                points = points[points > 0x40]
-                script = int(np.bincount(_script(points)).argmax()) if len(points) else 0
-            self.questions[question] = (Counter(tokens), scores.index(max(scores)), best, script)
+                of = points(letters)
+                of = of[of > 0x40]
+                script = int(np.bincount(_script(of)).argmax()) if len(of) else 0
+            self.questions[question] = (Counter(tokens), scores.index(max(scores)), best, script, len(tokens))
 
     def _languages(self, spelled: list[str], asked: list[tuple | None], shares: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The language features of a batch, 0 where a question or enough of an answer is missing."""
@@ -229,7 +299,9 @@ class Features:
         own = shares[rows].max(axis=1)
         out[rows, 0] = (own > 0.05) & (shares[rows, by_words] < 0.6 * own) & (sizes[rows] > 3)
         texts = [spelled[r] for r in rows]
-        standing = self.profiles.standing(texts)
+        places: dict[str, int] = {}
+        at = [places.setdefault(t, len(places)) for t in texts]
+        standing = self.profiles.standing(list(places))[at]
         if standing.shape[1]:
             mine = np.where(best >= 0, standing[np.arange(len(rows)), np.maximum(best, 0)], np.nan)
             known = ~np.isnan(mine)
@@ -238,54 +310,75 @@ class Features:
             out[rows, 2], out[rows, 3] = known & (mine < -4), known & (mine < -8)
             out[rows, 0] *= ~known | (np.nan_to_num(standing).argmax(axis=1) != best)
             out[rows, 4] = known * np.clip((np.nan_to_num(standing.max(axis=1)) - mine) / 6, 0, 3)
-        points, lengths = _points("".join(texts)), np.array([len(t) for t in texts], dtype=np.int64)
-        owner = np.repeat(np.arange(len(rows)), lengths)
-        letter = points > 0x40
-        total = np.bincount(owner[letter], minlength=len(rows))
-        other = np.bincount(owner[letter & (_script(points) != script[owner])], minlength=len(rows))
+        # letters in all, and those of another script; ASCII letters are all Latin
+        total = np.array([len(t) - t.count(" ") for t in texts])
+        other = np.where(script != 0, total, 0)
+        wide = np.array([k for k, t in enumerate(texts) if not t.isascii()], dtype=np.int64)
+        of = points("".join([texts[k] for k in wide]))
+        owner = np.repeat(wide, np.array([len(texts[k]) for k in wide], dtype=np.int64))
+        letter = of > 0x40
+        total[wide] = np.bincount(owner[letter], minlength=len(rows))[wide]
+        other[wide] = np.bincount(owner[letter & (_script(of) != script[owner])], minlength=len(rows))[wide]
         out[rows, 5] = np.where(total > 3, other / np.maximum(1, total), 0)
         return out
 
+    def _read(self, answer: str | None) -> tuple:
+        """What an answer is by itself, whatever the question: plain text, numbers and counts of its words, ending,
+        whether it is nothing, size, whether it solves, declines, is specific, speaks of itself."""
+        a = plain(answer or "")
+        tokens = words(a)
+        held = Counter(tokens)
+        solves = _answers(a)
+        return (
+            a, list(map(self.numbers.__getitem__, tokens)), held, _ending(a), len(tokens) < 4 and stands_for_nothing(a), math.log1p(len(a)) / 8, solves,
+            not solves and _declines(a), solves or _FIGURE.search(a) is not None, not solves and ("i" in held or "my" in held or "me" in held),
+        )
+
+    @_uncollected
     def __call__(self, questions: list[str | None], answers: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, str]]]:
-        if len(self.slots) > self.MOST:
-            self.numbers.clear()
-            self.slots.clear()
-            self.weights.clear()
+        if len(self.numbers) > self.MOST:
+            self.numbers = _Numbers(self.trade)
         flat, lengths, dense, ends = [], [], np.zeros((len(answers), len(self.NAMES)), dtype=np.float32), []
         self._ask(questions)
-        asked, spelled, specific = [], [], []
-        for n, (q, a) in enumerate(zip(questions, answers, strict=True)):
-            a = plain(a or "")
-            tokens = words(a)
-            flat += self._number(tokens)
-            size = len(tokens)
+        asked, spelled, specific, rows, first = [], [], [], [], []
+        times, known = Counter(answers), {}
+        for q, a in zip(questions, answers, strict=True):
+            if (read := known.get(a)) is None:
+                read = self._read(a)
+                if times[a] > 1:
+                    known[a] = read
+            a, numbers, held, state, nothing, logs, solves, declines, figure, person = read
+            flat += numbers
+            size = len(numbers)
             lengths.append(size)
-            state = ending(a)
             ends.append(state)
             about = self.questions[q] if q else None
             asked.append(about)
-            spelled.append(_spelled(a) if about else "")
-            held = Counter(tokens)
-            common = sum((held & about[0]).values()) if about else 0
-            theirs = sum(about[0].values()) if about else 0
-            solves = ANSWERS.search(a) is not None
-            copied = size > 3 and 2 * common >= theirs and is_copy(LABEL.sub("", a), q)
-            specific.append(solves or common >= 0.5 * size or size < 5 or _FIGURE.search(a) is not None)
-            dense[n, :11] = (
-                1.0, size < 4 and stands_for_nothing(a), size < 5, math.log1p(len(a)) / 8, common / max(1, size), common / max(1, theirs),
-                common / max(1, size, theirs), copied, state[0] == CUT, solves, not solves and DECLINES.search(a) is not None,
-            )
-            dense[n, 13] = not solves and (held["i"] or held["my"] or held["me"]) > 0
+            common = theirs = 0
+            if about:
+                theirs, theirs_by = about[4], about[0]
+                common = sum([min(c, theirs_by[w]) for w, c in held.items() if w in theirs_by])
+                spelled.append(_spelled(a))
+            else:
+                spelled.append("")
+            copied = about is not None and size > 3 and 2 * common >= theirs and is_copy(_unlabelled(a), q)
+            specific.append(figure or common >= 0.5 * size or size < 5)
+            rows.append(
+                (1.0, nothing, size < 5, logs, common / max(1, size), common / max(1, theirs), common / max(1, size, theirs), copied, state[0] == CUT, solves, declines)
+            )
+            first.append(person)
+        if rows:
+            dense[:, :11], dense[:, 13] = rows, first
         numbers, sizes = np.array(flat, dtype=np.int64), np.array(lengths, dtype=np.int64)
         shares = np.zeros((len(sizes), len(NONE) + 1), dtype=np.float32)
         full = np.nonzero(sizes)[0]
         if len(full):
             starts = np.cumsum(sizes[full]) - sizes[full]
-            shares[full] = np.add.reduceat(np.array(self.weights, dtype=np.float32)[numbers], starts, axis=0) / sizes[full, None]
+            shares[full] = np.add.reduceat(np.array(self.numbers.weights, dtype=np.float32)[numbers], starts, axis=0) / sizes[full, None]
         dense[:, 11] = shares[:, -1]
         dense[:, 12] = ~np.array(specific, dtype=bool) & (shares[:, -1] < 0.25)
         dense[:, 14:] = self._languages(spelled, asked, shares[:, :-1], sizes)
-        slots = np.array(self.slots, dtype=np.int64)[numbers] if len(numbers) else numbers
+        slots = np.array(self.numbers.slots, dtype=np.int64)[numbers] if len(numbers) else numbers
         owner = np.repeat(np.arange(len(sizes)), sizes)
         inside = owner[1:] == owner[:-1]
         pairs = ((slots[:-1] * 31 + slots[1:]) % DIMENSIONS)[inside]
@@ -294,10 +387,10 @@ class Features:
 
 
 def _language_features(q: str, a: str) -> list[float]:
-    wa = language_words(a)
-    if not q or len(wa) < 4:
+    n, sa = _told(a)
+    if not q or n < 4:
         return [0.0, 0.0, 0.0]
-    sa, sq = language_scores(wa), language_scores(language_words(q))
+    sq = _told(q)[1]
     own, asked = max(sa), sa[sq.index(max(sq))]
     return [own > 0.08 and asked < 0.6 * own, own, asked]
 
@@ -350,47 +443,47 @@ class Model:
                 ids, n = np.concatenate([flat[starts[r] : starts[r + 1]] for r in rows]), sizes[rows]
                 p = 1 / (1 + np.exp(-np.clip(self.scores(ids, n, dense[rows]), -30, 30)))
                 error = (p - target[rows]) / len(rows)
-                per = np.repeat(error / np.sqrt(np.maximum(n, 1))[:, None], n, axis=0)
-                used, back = np.unique(ids, return_inverse=True)
-                step = np.stack([np.bincount(back, per[:, k], len(used)) for k in range(len(LABELS))], axis=1)
-                gathered[used] += step**2
-                self.hashed[used] -= rate * step / np.sqrt(gathered[used])
+                per = error / np.sqrt(np.maximum(n, 1))[:, None]
+                step = np.stack([np.bincount(ids, np.repeat(per[:, k], n), DIMENSIONS) for k in range(len(LABELS))], axis=1)
+                gathered += step**2
+                self.hashed -= rate * step / np.sqrt(gathered)
 
 
 #: Letters by which those of Latin are replaced to make texts in a script that no sampled text may have.
-_ALPHABETS = tuple("".join(chr(first + k) for k in range(26)) for first in (0x430, 0x3B1, 0x5D0, 0x3042, 0x4E10, 0xAC00))
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_ALPHABETS = tuple(str.maketrans(_LATIN + _LATIN.upper(), 2 * "".join(chr(first + k) for k in range(26))) for first in (0x430, 0x3B1, 0x5D0, 0x3042, 0x4E10, 0xAC00))
 
 
 def respelled(text: str, rng: random.Random) -> str:
     """The text in letters of another script, or with its letters exchanged and accented, as of an unknown language."""
     kind = rng.randrange(len(_ALPHABETS) + 3)
-    latin = "abcdefghijklmnopqrstuvwxyz"
     if kind < len(_ALPHABETS):
         other = _ALPHABETS[kind]
     else:
         vowels, rest = list("aeiouyáéíóúýěů"), list("bcdfghjklmnpqrstvwxzčďňřšťž")
         rng.shuffle(vowels)
         rng.shuffle(rest)
-        at = {c: (vowels if c in "aeiouy" else rest).pop() for c in latin}
-        other = "".join(at[c] for c in latin)
-    return "".join(part if k % 2 else part.translate(str.maketrans(latin + latin.upper(), other + other)) for k, part in enumerate(_CODE_PARTS.split(text)))
+        at = {c: (vowels if c in "aeiouy" else rest).pop() for c in _LATIN}
+        other = str.maketrans(_LATIN + _LATIN.upper(), 2 * "".join(at[c] for c in _LATIN))
+    return "".join([part if k % 2 else part.translate(other) for k, part in enumerate(_CODE_PARTS.split(text))])
 
 
+@_uncollected
 def synthetic(pairs: list[tuple[str, str]], seed: int = SEED) -> tuple[list[str], list[str], np.ndarray]:
     """Labelled pairs made from sampled ones: each as it is if nothing speaks against it, and once for each defect."""
     rng = random.Random(seed)
     languages = []
     for q, a in pairs:
-        sq, sa = language_scores(language_words(q)), language_scores(language_words(a))
+        sq, sa = _told(q)[1], _told(a)[1]
         languages.append((sq.index(max(sq)), sa.index(max(sa))))
     by_language: dict[int, list[str]] = {}
     clean = []
     for (q, a), (lq, la) in zip(pairs, languages, strict=True):
-        if ending(a)[0] != CUT and len(a) > 60:
+        if _ending(a)[0] != CUT and len(a) > 60:
             by_language.setdefault(la, []).append(a)
         apart = _language_features(q, a)[0]
-        good = ending(a)[0] != CUT and not is_copy(LABEL.sub("", a), q) and not stands_for_nothing(a) and not apart
-        clean.append(good and not (DECLINES.search(a) and not ANSWERS.search(a)))
+        good = _ending(a)[0] != CUT and not is_copy(_unlabelled(a), q) and not stands_for_nothing(a) and not apart
+        clean.append(good and (_answers(a) or not _declines(a)))
     common = Counter(lq for lq, _ in languages).most_common(1)[0][0] if languages else -1
     questions, answers, labels = [], [], []
 
@@ -410,7 +503,7 @@ def synthetic(pairs: list[tuple[str, str]], seed: int = SEED) -> tuple[list[str]
         if len(a) > 40:
             at = rng.randrange(20, len(a) - 1)
             cut = a[:at] + rng.choice(["", "", "", "", "...", " ...", "…"])
-            if ending(cut)[0] == CUT:
+            if _ending(cut)[0] == CUT:
                 add(q, cut, "truncated")
         kind = rng.randrange(4)
         copy = (q, q.lower(), re.sub(r"[^\w\s]", "", q), " ".join(w for w in q.split() if rng.random() > 0.05))[kind]
@@ -499,7 +592,8 @@ _COUNTS = "kind string, key string, n long"
 
 
 def _counting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Answers by word ('w'), texts by language ('t') and three-grams by language ('g' and its number)."""
+    """Answers by word ('w'), texts by their letters ('s' and the number of the language), and of these the number of
+    texts ('t') and the three-grams by language ('g' and its number)."""
     said, texts, grams = Counter(), Counter(), {}
 
     def flush() -> pd.DataFrame:
@@ -508,14 +602,24 @@ def _counting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame(out, columns=["kind", "key", "n"])
 
     for pdf in batches:
+        spelled = Counter()
         for column in ("answer", "question"):
-            for text in map(plain, pdf[column]):
+            for raw, n in Counter(pdf[column]).items():
+                text = plain(raw)
                 if column == "answer":
-                    said.update(set(words(text)))
-                if (own := Profiles.grams(text)) is not None:
-                    language, slots = own
-                    texts[language] += 1
-                    grams[language] = grams.get(language, 0) + np.bincount(slots, minlength=GRAMS)
+                    for w in set(words(text)):
+                        said[w] += n
+                if (own := Profiles.letters(text)) is not None:
+                    spelled[own] += n
+        by_language: dict[int, tuple[list[str], list[int]]] = {}
+        for (language, text), n in spelled.items():
+            own = by_language.setdefault(language, ([], []))
+            own[0].append(text)
+            own[1].append(n)
+        for language, (own, times) in by_language.items():
+            texts[language] += sum(times)
+            grams[language] = grams.get(language, 0) + Profiles.grams(own, np.array(times))
+            yield pd.DataFrame({"kind": f"s{language}", "key": own, "n": times})
         if len(said) > 200_000:
             yield flush()
     yield flush()
@@ -528,13 +632,12 @@ def _measuring(profiles: Profiles):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Number, sum and sum of squares of the texts' mean log probabilities, by language."""
         sums = np.zeros((len(profiles.known), 3))
-        place = {k: n for n, k in enumerate(profiles.known)}
+        place = {f"s{k}": n for n, k in enumerate(profiles.known)}
         for pdf in batches:
-            for column in ("answer", "question"):
-                for text in map(plain, pdf[column]):
-                    if (own := Profiles.grams(text)) is not None and (n := place.get(own[0])) is not None:
-                        x = float(profiles.logs[own[1], n].mean())
-                        sums[n] += 1, x, x * x
+            for kind, own in pdf.groupby("kind"):
+                if (n := place.get(kind)) is not None:
+                    x, times = profiles.usual(own["key"].tolist(), n), own["n"].to_numpy()
+                    sums[n] += times.sum(), times @ x, times @ (x * x)
         yield pd.DataFrame([(n, *row) for n, row in enumerate(sums.tolist())], columns=["place", "n", "x", "xx"])
 
     return run
@@ -612,7 +715,8 @@ def fitted(pairs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Model:
         return part.withColumn("chunk", F.pmod(F.shiftright("digest", 2), F.lit(n)).cast("int")).repartition(n, "chunk").groupBy("chunk")
 
     seen = spread(both.where(F.pmod("digest", F.lit(4)) != 3).select("question", "answer"))
-    counts = materialize(seen.mapInPandas(_counting, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n")), "p4-counts")
+    read = materialize(seen.mapInPandas(_counting, _COUNTS), "p4-counts")
+    counts = read.where("kind NOT LIKE 's%'").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     common = counts.where("kind = 'w'").orderBy(F.desc("n"), "key").limit(VOCABULARY).collect()
     trade = frozenset(r.key for r in common if r.n > 2 and r.key not in WEIGHTS)
     texts, grams = {}, {}
@@ -623,7 +727,7 @@ def fitted(pairs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Model:
             grams.setdefault(int(r.kind[1:]), np.zeros(GRAMS))[int(r.key)] = r.n
     profiles = Profiles([])
     profiles.count(grams, texts)
-    sums = seen.mapInPandas(_measuring(profiles), "place int, n double, x double, xx double").groupBy("place").agg(*(F.sum(c).alias(c) for c in ("n", "x", "xx")))
+    sums = read.where("kind LIKE 's%'").mapInPandas(_measuring(profiles), "place int, n double, x double, xx double").groupBy("place").agg(*(F.sum(c).alias(c) for c in ("n", "x", "xx")))
     sums = {r.place: r for r in sums.collect()}
     means = [sums[n].x / sums[n].n for n in range(len(profiles.known))]
     profiles.measure(means, [max(0.0, sums[n].xx / sums[n].n - m * m) ** 0.5 for n, m in enumerate(means)])

@@ -93,7 +93,7 @@ def ending(text: str | None, path: str | None = None) -> tuple[int, str]:
     if not first_line and _OPENING.match(last):
         return CUT, "opening"
     if _TERMINAL.search(t):
-        if number := _NUMBER_END.search(t[-_TAIL:]):
+        if t[-2:-1].isdecimal() and (number := _NUMBER_END.search(t[-_TAIL:])):
             return DOUBT, "n:" + number.group(1)
         return COMPLETE, ""
     if last.startswith(("{", "}")) or t.endswith("```") or t.endswith("}\n```"):
@@ -151,4 +151,4 @@ def is_copy(text: str, question: str | None, least: float = 0.72) -> bool:
     x, y = Counter(words(text)), Counter(words(question))
     n, asked = sum(x.values()), sum(y.values())
     times = max(1, round(n / max(1, asked)))
-    return sum(min(c, times * y[w]) for w, c in x.items()) >= least * max(1, n, times * asked)
+    return sum([min(c, times * y[w]) for w, c in x.items() if w in y]) >= least * max(1, n, times * asked)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from skarn.llm.chars import Apart
+
 #: Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the and of to is in for that with it on as are was be by this from or which you must may how when if at but what so not an has can will before after then an into only its does do should a",
@@ -33,23 +35,27 @@ def _weights() -> dict[str, tuple[float, ...]]:
 
 
 WEIGHTS = _weights()
+_SHARES = {word: tuple((k, x) for k, x in enumerate(w) if x) for word, w in WEIGHTS.items()}
 NONE = (0.0,) * len(LANGUAGES)
 CODE = re.compile(r"```.*?```|`[^`\n]*`|(?<!\S)[^\s/{}=]*[/{}=]\S*|\"[^\"\n]{0,400}\"", re.S)
-_WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = Apart(lambda c: c.isalnum() and not c.isdecimal())
+
+
+def letters(text: str) -> str:
+    """The lower-case letters outside code, paths and quotations, all else as spaces."""
+    return _LETTERS(CODE.sub(" ", text).lower())
 
 
 def language_words(text: str) -> list[str]:
     """Lower-case words outside code, paths and quotations."""
-    return _WORD.findall(CODE.sub(" ", text).lower())
+    return letters(text).split()
 
 
 def language_scores(tokens: list[str]) -> list[float]:
     """Share of function words by language, in the order of ``LANGUAGES``."""
     total = [0.0] * len(LANGUAGES)
-    for word in tokens:
-        if (w := WEIGHTS.get(word)) is not None:
-            for k, x in enumerate(w):
-                if x:
-                    total[k] += x
+    for shares in filter(None, map(_SHARES.get, tokens)):
+        for k, x in shares:
+            total[k] += x
     n = max(1, len(tokens))
     return [x / n for x in total]

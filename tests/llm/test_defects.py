@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+
 import duckdb
 import numpy as np
 import pytest
 
-from skarn.llm import defects
+from skarn.llm import chars, defects, endings
 from skarn.llm.endings import is_copy
+from skarn.llm.language import CODE, language_words
 
 EVAL = "/root/testdata/sf0.01/eval_results.parquet"
 Q = "Which call lets the cashier change the arrival date of the stay at Hotel North?"
@@ -92,6 +97,45 @@ def test_every_row_counts(spark):
     assert {c * 5 for c in "abcdefghijklmnopqrstuvwxy"} <= model.trade and np.abs(model.dense).sum() > 0
 
 
+def test_each_text_is_read_once(rows):
+    """A text that stands in several examples, or is made and then read, has its ending settled once."""
+    pairs, calls = [(q, a + " Then page 7.") for q, a in rows[-100:]], 0
+
+    def count(frame, event, _):
+        nonlocal calls
+        calls += event == "call" and frame.f_code is endings.ending.__code__
+
+    sys.setprofile(count)
+    try:
+        q, a, _ = defects.synthetic(pairs)
+        defects.Features(defects.Profiles([]), frozenset())(q, a)
+    finally:
+        sys.setprofile(None)
+    assert 0 < calls <= len({*a} | {a for _, a in pairs}) + 100  # and the cut texts that look whole
+
+
+def test_texts_as_by_expression():
+    """Tables give the words and letters that the regular expressions of their definition give."""
+    every = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000] + [chr(0x1D5A0), chr(0x20000), chr(0xE0101)]
+    texts = ["".join(every[k::97]) for k in range(97)] + [f"a{c}b 1{c}" for c in every[:0x3000]] + ["", " ", "x", "\n/v1 `a"]
+    for t in texts:
+        plain = t if t.isascii() else unicodedata.normalize("NFC", t.translate(str.maketrans(chars.REPLACEMENTS)))
+        assert chars.plain(t) == plain and chars.words(t) == re.findall(r"[^\W_]+", plain.lower())
+        assert language_words(t) == re.findall(r"[^\W\d_]+", CODE.sub(" ", t).lower())
+        assert defects._spelled(t) == re.sub(r"[\W\d_]+", " ", CODE.sub(" ", t).lower())
+
+
+@pytest.mark.parametrize("text", [c + "." + t for c in defects.CORES for t in ("", " I DON'T KNOW.", " Désolé", " I wouldn’t be able to say", " I ſay I decline to anſwer", " nothİng")])
+def test_declines_as_by_expression(text):
+    for t in (text, text.upper(), text.lower()):
+        assert defects._declines(t) == (defects.DECLINES.search(t) is not None)
+
+
+@pytest.mark.parametrize("text", ["Q: a", "q: b\nA:", "x answer: ", "A:\n", "> Frage: x", "one: two", "a : a :", ""])
+def test_labels_as_by_expression(text):
+    assert defects._unlabelled(text) == defects.LABEL.sub("", text)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "result_id long, question string, generated_answer string")
     assert defects.defective_pairs(df).count() == 0
