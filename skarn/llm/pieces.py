@@ -9,7 +9,8 @@ Sizes are characters by default, the offsets then the positions themselves. With
 at the first character of each token of a public tokenizer) limit and overlap are tokens.
 
 A boundary of a better kind is taken if it leaves the piece at least ``1 - window`` full; otherwise the next kind is
-tried. Where the overlap leaves no boundary in reach, it is shortened so far that the next one is. So a hard cut is made
+tried. Where the overlap leaves no boundary in reach, or no room for a character of several tokens, it is shortened so far
+that there is. So a hard cut is made
 only inside an unbroken stretch that is longer than the limit: a text with one is 'forced', told by its cuts. Pieces are
 exact substrings: dropping each piece's first ``overlap`` characters and joining gives the text back.
 
@@ -84,6 +85,10 @@ def split_text(text: str, limit: int, overlap: int = OVERLAP, window: float = WI
             start = int(np.searchsorted(offsets, offsets[after] - limit, "left"))
             lead = fresh - start
             continue
+        if lead and offsets[fresh + 1] - offsets[start] > limit:  # so must the first character beyond it
+            start = min(fresh, int(np.searchsorted(offsets, offsets[fresh + 1] - limit, "left")))
+            lead = fresh - start
+            continue
         most = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
         most = max(most, fresh + 1)  # one character at least, whatever it weighs
         least = int(np.searchsorted(offsets, offsets[start] + int(limit * (1 - window)), "left"))

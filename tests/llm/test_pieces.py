@@ -57,6 +57,14 @@ def test_limit_by_weights(text, limit, overlap, rng):
     assert all(weights[s:e].sum() <= limit for s, e, *_ in out) and all(weights[s : s + lead].sum() <= overlap for s, _, lead, _ in out)
 
 
+def test_overlap_gives_way_to_heavy_characters():
+    weights = np.array([2, 1] * 9)
+    out = pieces.split_text("a" * 18, 4, 3, weights=weights)
+    assert all(weights[s:e].sum() <= 4 for s, e, *_ in out) and "".join("a" * (e - s - lead) for s, e, lead, _ in out) == "a" * 18
+    heavy = np.array([1, 9, 1, 1, 1, 1])
+    assert any(e - s == 1 and heavy[s] == 9 for s, e, *_ in pieces.split_text("a" * 6, 4, 3, weights=heavy))
+
+
 def test_limit_in_tokens():
     text = "The guest asks for a late check-out. " * 80
     weigh = pieces.token_weights(packing.TOKENIZER)
